@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from keyspan.llm.packing import op4_best_fit_packing
 from keyspan.llm.token_store import op8_token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_token_store,)}
+    return {f.__name__: f for f in (op4_best_fit_packing, op8_token_store)}
 
 
 def oracle_sql() -> dict[str, str]:
