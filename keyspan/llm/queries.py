@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from keyspan.llm.language import op3_language_id
 from keyspan.llm.packing import op4_best_fit_packing
+from keyspan.llm.quality import op5_quality_classifier
 from keyspan.llm.token_store import op8_token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_language_id, op4_best_fit_packing, op8_token_store)}
+    return {f.__name__: f for f in (op3_language_id, op4_best_fit_packing, op5_quality_classifier, op8_token_store)}
 
 
 def oracle_sql() -> dict[str, str]:
