@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from keyspan.llm.language import op3_language_id
+from keyspan.llm.minhash import op6_minhash_dedup
 from keyspan.llm.mixing import op10_mix_sources
 from keyspan.llm.packing import op4_best_fit_packing
 from keyspan.llm.quality import op5_quality_classifier
@@ -14,7 +15,7 @@ from keyspan.llm.token_store import op8_token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_language_id, op4_best_fit_packing, op5_quality_classifier, op8_token_store, op10_mix_sources)}
+    return {f.__name__: f for f in (op3_language_id, op4_best_fit_packing, op5_quality_classifier, op6_minhash_dedup, op8_token_store, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
