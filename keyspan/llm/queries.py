@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from keyspan.llm.embeddings import OP2_SQL, op2_embedding_dedup
 from keyspan.llm.language import op3_language_id
 from keyspan.llm.minhash import op6_minhash_dedup
 from keyspan.llm.mixing import op10_mix_sources
@@ -15,8 +16,8 @@ from keyspan.llm.token_store import op8_token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_language_id, op4_best_fit_packing, op5_quality_classifier, op6_minhash_dedup, op8_token_store, op10_mix_sources)}
+    return {f.__name__: f for f in (op2_embedding_dedup, op3_language_id, op4_best_fit_packing, op5_quality_classifier, op6_minhash_dedup, op8_token_store, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_embedding_dedup": OP2_SQL}
