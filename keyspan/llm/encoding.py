@@ -8,16 +8,14 @@ once per worker. A text in which the cut isn't certain (unusual white space, spe
 from __future__ import annotations
 
 import os
-import re
-from itertools import chain
+from array import array
 
 import numpy as np
 
-#: White space other than blank and line feed, as any of the libraries sees it, or the start of a special token.
-_ODD = re.compile("[^\\S \\n]|[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff\u200b]|<\\|")
+#: White space other than blank and line feed, as any of the libraries sees it, and what may be white space to one of them.
+_ODD = frozenset(map(chr, [*range(9), *range(11, 32), 0x7F, 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF]))
 #: ASCII marks that each of the files splits off letters, in runs; the apostrophe has rules of its own.
 _MARKS = ".,!?;:*#%&$|"
-_LINES = re.compile(r" \n|\n |  |^[ \n]|[ \n]$|\n\n")
 
 MODES = ("attached", "words")
 
@@ -29,10 +27,23 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(moved)}
 
 
+class _Units(dict):
+    """Unit to its number; a new unit gets the next number and is noted."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        n = self[unit] = len(self)
+        self.new.append(unit)
+        return n
+
+
 class CachedEncoder:
     """Encodes texts; mode 'attached': a blank belongs to the word after it; 'words': white space is dropped."""
 
-    def __init__(self, path: str, mode: str, max_cached: int = 1_000_000):
+    def __init__(self, path: str, mode: str, max_cached: int = 500_000):
         if mode not in MODES:
             raise ValueError(f"mode is one of {MODES}")
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -41,15 +52,15 @@ class CachedEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.model = self.library.model
+        self.tokenize = self.library.model.tokenize
         self.attached = mode == "attached"
         self.letters = _byte_letters()
         self.max_cached = max_cached
         self._reset()
 
     def _reset(self) -> None:
-        self.known: dict[str, int] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.known = _Units()
+        self.pieces: dict[str, bytes] = {}
         self.start = np.zeros(1024, np.int64)
         self.length = np.zeros(1024, np.int64)
         self.flat = np.zeros(8192, np.uint32)
@@ -59,74 +70,79 @@ class CachedEncoder:
     def _grown(a: np.ndarray, n: int) -> np.ndarray:
         if n <= len(a):
             return a
-        out = np.zeros(max(n, 2 * len(a)), a.dtype)
+        out = np.zeros(max(n, len(a) + len(a) // 2), a.dtype)
         out[: len(a)] = a
         return out
 
-    def _whole(self, text: str) -> list[int]:
-        return self.library.encode(text, add_special_tokens=False).ids
-
-    def _word(self, word: str) -> list[int]:
-        """Ids of a run of letters, in mode 'attached' with the blank before it: one split, so the merges apply directly."""
-        plain = word.lower() if word.isascii() else self.library.normalizer.normalize_str(word)
-        if not plain.isalpha():
-            return self._whole(word)
-        return [t.id for t in self.model.tokenize(plain.encode().decode("latin-1").translate(self.letters))]
-
-    def _blank_word(self, word: str) -> list[int]:
-        return [t.id for t in self.model.tokenize(f" {word}".encode().decode("latin-1").translate(self.letters))]
-
-    def _learn(self, units: list[str]) -> None:
-        pieces, one, rest = self.pieces, self._blank_word if self.attached else self._word, " " if self.attached else ""
-        found: list[list[int]] = []
-        for unit in units:
-            core = unit.rstrip(_MARKS)
-            if not core.isalpha():
-                found.append(self._whole(rest + unit))
-                continue
-            if (ids := pieces.get(core)) is None:
-                ids = pieces[core] = one(core)
-            if len(core) < len(unit):
-                tail = unit[len(core) :]
-                if (more := pieces.get(tail)) is None:
-                    more = pieces[tail] = self._whole(tail)
-                ids = ids + more
-            found.append(ids)
-        n = len(self.known)
-        self.known.update(zip(units, range(n, n + len(units)), strict=True))
-        length = np.fromiter(map(len, found), np.int64, len(found))
-        total = int(length.sum())
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _letters(self, word: str, blank: bool) -> bytes:
+        """Ids of a run of letters with or without the blank before it: one split, so the merges apply to it directly."""
+        if word.isascii():
+            plain = word if self.attached else word.lower()
+        else:
+            plain = word if self.attached else self.library.normalizer.normalize_str(word)
+            if not plain.isalpha():
+                return self._whole(word)
+            plain = plain.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.tokenize("\u0120" + plain if blank else plain)]).tobytes()
+
+    def _unit(self, unit: str, blank: bool) -> bytes:
+        """Ids of what stands between white space, in mode 'attached' with the blank before it."""
+        core = unit.rstrip(_MARKS)
+        if not core.isalpha():
+            if "\n" in unit:
+                first, *lines = unit.split("\n")
+                return self._unit(first, blank) + b"".join(self._piece("\n", False) + self._unit(x, False) for x in lines)
+            return self._whole(" " + unit if blank else unit)
+        ids = self._piece(core, blank)
+        return ids + self._piece(unit[len(core) :], False) if len(core) < len(unit) else ids
+
+    def _piece(self, piece: str, blank: bool) -> bytes:
+        key = " " + piece if blank else piece
+        if (ids := self.pieces.get(key)) is None:
+            ids = self.pieces[key] = self._letters(piece, blank) if piece.isalpha() else self._whole(piece)
+        return ids
+
+    def _learn(self) -> None:
+        units, blank = self.known.new, self.attached
+        found = [self._unit(u, blank) for u in units]
+        n, total = len(self.known) - len(units), sum(map(len, found)) // 4
         self.start, self.length, self.flat = self._grown(self.start, n + len(units)), self._grown(self.length, n + len(units)), self._grown(self.flat, self.used + total)
+        length = np.fromiter(map(len, found), np.int64, len(found)) // 4
         self.length[n : n + len(units)] = length
         self.start[n : n + len(units)] = self.used + np.cumsum(length) - length
-        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
+        self.flat[self.used : self.used + total] = np.frombuffer(b"".join(found), np.uint32)
         self.used += total
+        self.known.new = []
+
+    def _certain(self, text: str) -> bool:
+        if "<|" in text or not _ODD.isdisjoint(set(text)):
+            return False
+        return not self.attached or not (text[:1] in " \n" or text[-1:] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text)
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of one whole text, uint32."""
-        if _ODD.search(text) or self.attached and _LINES.search(text):
-            return np.array(self._whole(text), np.uint32)
-        first: list[int] = []
+        if not self._certain(text):
+            return np.frombuffer(self._whole(text), np.uint32)
+        first = b""
         if self.attached:
-            head, _, text = text.partition(" ")
-            first = self._whole(head)
-            units = text.split(" ") if text else []
+            head, *units = text.split(" ")
+            first = self._unit(head, False)
         else:
             units = text.split()
         if not units:
-            return np.array(first, np.uint32)
-        if len(self.known) > self.max_cached:
+            return np.frombuffer(first, np.uint32)
+        if len(self.known) + len(self.pieces) > 2 * self.max_cached:
             self._reset()
-        known = self.known
-        try:
-            at = np.fromiter(map(known.__getitem__, units), np.int64, len(units))
-        except KeyError:
-            self._learn([u for u in dict.fromkeys(units) if u not in known])
-            at = np.fromiter(map(known.__getitem__, units), np.int64, len(units))
+        at = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
+        if self.known.new:
+            self._learn()
         n = self.length[at]
         ends = np.cumsum(n)
         out = self.flat[np.arange(ends[-1]) + np.repeat(self.start[at] - (ends - n), n)]
-        return np.concatenate([np.array(first, np.uint32), out]) if first else out
+        return np.concatenate([np.frombuffer(first, np.uint32), out]) if first else out
 
 
 _ENCODERS: dict[tuple[str, str], CachedEncoder] = {}

@@ -13,11 +13,12 @@ from keyspan.llm.mixing import op10_mix_sources
 from keyspan.llm.packing import op4_best_fit_packing
 from keyspan.llm.quality import op5_quality_classifier
 from keyspan.llm.token_store import op8_token_store
+from keyspan.llm.topk import OP1_SQL, op1_topk_search
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_embedding_dedup, op3_language_id, op4_best_fit_packing, op5_quality_classifier, op6_minhash_dedup, op8_token_store, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_topk_search, op2_embedding_dedup, op3_language_id, op4_best_fit_packing, op5_quality_classifier, op6_minhash_dedup, op8_token_store, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_embedding_dedup": OP2_SQL}
+    return {"op1_topk_search": OP1_SQL, "op2_embedding_dedup": OP2_SQL}

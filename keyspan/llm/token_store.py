@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,6 +29,7 @@ from keyspan.llm.common import Scratch
 from keyspan.llm.encoding import encoder
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
+_INVERSE = pow(_MULTIPLIER, -1, 2**64)
 _WINDOW = 16
 ENCODED = "doc_id long, n_tokens long, digests array<binary>, lengths array<int>, widths array<int>, payloads array<binary>"
 
@@ -43,6 +45,15 @@ def _powers(n: int, base: int) -> np.ndarray:
     return out
 
 
+@lru_cache(4)
+def _power_table(n: int, base: int) -> np.ndarray:
+    return _powers(n, base)
+
+
+def _first_powers(n: int, base: int) -> np.ndarray:
+    return _power_table(1 << max(12, (n - 1).bit_length()), base)[:n]
+
+
 def cut_points(ids: np.ndarray, mean: int = 512, least: int = 64, most: int = 4096) -> list[int]:
     """Ends of the chunks: where the hash of the last 16 ids says so, between least and most ids after the last cut."""
     n = len(ids)
@@ -51,9 +62,9 @@ def cut_points(ids: np.ndarray, mean: int = 512, least: int = 64, most: int = 40
     with np.errstate(over="ignore"):
         mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
         mixed ^= mixed >> np.uint64(29)
-        sums = np.cumsum(mixed * _powers(n, _MULTIPLIER), dtype=np.uint64)
+        sums = np.cumsum(mixed * _first_powers(n, _MULTIPLIER), dtype=np.uint64)
         sums[_WINDOW:] -= sums[:-_WINDOW].copy()
-        hashed = sums * _powers(n, pow(_MULTIPLIER, -1, 2**64)) * np.uint64(0x94D049BB133111EB)
+        hashed = sums * _first_powers(n, _INVERSE) * np.uint64(0x94D049BB133111EB)
     marks = np.flatnonzero((hashed >> np.uint64(32)) % np.uint64(mean) == 0) + 1
     cuts, last = [], 0
     for m in marks.tolist():
