@@ -106,8 +106,16 @@ class CachedEncoder:
         return ids
 
     def _learn(self) -> None:
-        units, blank = self.known.new, self.attached
-        found = [self._unit(u, blank) for u in units]
+        units, blank, pieces = self.known.new, self.attached, self.pieces
+        found: list[bytes] = []
+        for u in units:
+            if u.isalpha():
+                key = " " + u if blank else u
+                if (ids := pieces.get(key)) is None:
+                    ids = pieces[key] = self._letters(u, blank)
+                found.append(ids)
+            else:
+                found.append(self._unit(u, blank))
         n, total = len(self.known) - len(units), sum(map(len, found)) // 4
         self.start, self.length, self.flat = self._grown(self.start, n + len(units)), self._grown(self.length, n + len(units)), self._grown(self.flat, self.used + total)
         length = np.fromiter(map(len, found), np.int64, len(found)) // 4

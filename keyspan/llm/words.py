@@ -11,6 +11,8 @@ _INVERSE = pow(_MULTIPLIER, -1, 2**64)
 _SLICE = 1 << 20
 _SPACE = np.array([i == 32 or 9 <= i <= 13 for i in range(256)])
 _VALUES = np.random.default_rng(20240229).integers(1, 2**64, 256, np.uint64)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] = _LOWER[97:123]
 _VALUES[65:91] = _VALUES[97:123]  # A-Z as a-z
 
 
@@ -48,10 +50,10 @@ def _slice_words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mix64(h + (end - start).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019)), start, end
 
 
-def word_hashes(text: str) -> np.ndarray:
-    """Hashes of the words [^\\x20\\x09-\\x0D]+ in order, with A-Z as a-z."""
+def words_and_ends(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words [^\\x20\\x09-\\x0D]+ in order, with A-Z as a-z, and the last two bytes of each as one number."""
     raw = np.frombuffer(text.encode(), np.uint8)
-    found, at = [], 0
+    found, ends, at = [], [], 0
     with np.errstate(over="ignore"):
         while at < len(raw):
             end = at + _SLICE
@@ -61,6 +63,15 @@ def word_hashes(text: str) -> np.ndarray:
                     end += _SLICE
                     gap = np.flatnonzero(_SPACE[raw[end : end + _SLICE]])
                 end += int(gap[0]) if len(gap) else 0
-            found.append(_slice_words(raw[at:end])[0])
+            part = raw[at:end]
+            h, first, last = _slice_words(part)
+            low = _LOWER[part]
+            found.append(h)
+            ends.append(low[last - 1].astype(np.int64) | np.where(last - first > 1, low[last - 2], 0).astype(np.int64) << 8 if len(h) else np.zeros(0, np.int64))
             at = end
-    return np.concatenate(found) if found else np.zeros(0, np.uint64)
+    return (np.concatenate(found), np.concatenate(ends)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """Hashes of the words in order."""
+    return words_and_ends(text)[0]
