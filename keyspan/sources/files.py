@@ -21,10 +21,19 @@ MEMBERS = "path string, kind string, mode int, mtime long, link_target string, b
 
 
 def read_directory(spark: SparkSession, where: str) -> DataFrame:
-    """key, kind, size, mtime, content_hash, bytes of all files below a folder."""
+    """key, kind, size, mtime, content_hash, bytes of all files below a folder, empty ones (which the file source skips) included."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(where)
     base = spark._jvm.org.apache.hadoop.fs.Path(where)
-    root = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toUri().getPath().rstrip("/")
+    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    root = fs.makeQualified(base).toUri().getPath().rstrip("/")
+    empty, listing = [], fs.listFiles(base, True)
+    while listing.hasNext():
+        f = listing.next()
+        if f.getLen() == 0:
+            empty.append((f.getPath().toString(), f.getModificationTime()))
+    if empty:
+        rows = spark.createDataFrame(empty, "path string, t long")
+        files = files.unionByName(rows.select("path", F.timestamp_millis("t").alias("modificationTime"), F.lit(0).cast("long").alias("length"), F.lit("").cast("binary").alias("content")))
     plain = F.regexp_replace("path", r"^[A-Za-z0-9+.-]+:(//[^/]*)?", "")
     key = normalize_path(F.expr(f"substring(_p, {len(root) + 2})"))
     return files.withColumn("_p", plain).select(key.alias("key"), F.lit("file").alias("kind"), F.col("length").alias("size"), F.unix_seconds("modificationTime").alias("mtime"), content_hash(F.col("content")).alias("content_hash"), F.col("content").alias("bytes"))
