@@ -70,7 +70,8 @@ def rake(cells: list[tuple[tuple[str, str, str], float]], p: Params) -> list[flo
     codes, targets = [], []
     for axis, margin in enumerate(MARGINS):
         values = sorted({c[0][axis] for c in cells})
-        code = np.array([values.index(c[0][axis]) for c in cells]) if len(values) < 50 else np.searchsorted(values, [c[0][axis] for c in cells])
+        place = {v: i for i, v in enumerate(values)}
+        code = np.array([place[c[0][axis]] for c in cells], np.int64)
         goal = _target(dict(zip(values, np.bincount(code, n, len(values)), strict=True)), p, margin)
         codes.append(code)
         targets.append(np.array([goal[v] for v in values]))

@@ -10,7 +10,7 @@ from keyspan.llm.embeddings import OP2_SQL, op2_embedding_dedup
 from keyspan.llm.html import op9_html_text
 from keyspan.llm.language import op3_language_id
 from keyspan.llm.lm import op7_lm_scoring
-from keyspan.llm.minhash import op6_minhash_dedup
+from keyspan.llm.minhash import OP6_SQL, op6_minhash_dedup
 from keyspan.llm.mixing import op10_mix_sources
 from keyspan.llm.packing import op4_best_fit_packing
 from keyspan.llm.quality import op5_quality_classifier
@@ -23,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk_search": OP1_SQL, "op2_embedding_dedup": OP2_SQL}
+    return {"op1_topk_search": OP1_SQL, "op2_embedding_dedup": OP2_SQL, "op6_minhash_dedup": OP6_SQL}
