@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -42,6 +43,11 @@ class Scratch:
         out.keyspan_path = where
         return out
 
+    def settle(self) -> None:
+        """Lets Spark delete the shuffle files of jobs that nothing refers to any more."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *tables: DataFrame | str) -> None:
         """Deletes tables that nothing reads any more."""
         jvm = self.spark._jvm

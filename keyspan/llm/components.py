@@ -1,8 +1,7 @@
 """Connected components of a table of links, without gathering a component anywhere.
 
-Each round every node takes the neighbour of least hashed rank as its parent if that ranks below itself, links are rewritten
-to parents and links within a parent vanish; the expected number of nodes shrinks by a constant factor a round whatever the
-components' shapes. Groupings combine before the shuffle and joins are plain equi-joins, which Spark can split where a node
+Each round every node takes the neighbour of least rank as its parent if that ranks below itself, links are rewritten to parents
+and links within a parent vanish. Ranks are the ids in two rounds of three, which contracts any star, and hashes in the third, so that the expected number of nodes shrinks by a constant factor whatever the components' shapes. Groupings combine before the shuffle and joins are plain equi-joins, which Spark can split where a node
 has many links. Every round's tables are written to the shared folder.
 """
 
@@ -19,7 +18,8 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     edges = scratch.table(_plain(links), "links")
     hops: list[DataFrame] = []
     while not edges.isEmpty():
-        rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(len(hops))).alias("r"), F.col(c).alias("n"))  # noqa: E731, B023
+        order = (lambda c: F.lit(0).cast("long")) if len(hops) % 3 < 2 else (lambda c: F.xxhash64(F.col(c), F.lit(len(hops))))  # noqa: B023
+        rank = lambda c: F.struct(order(c).alias("r"), F.col(c).alias("n"))  # noqa: E731, B023
         both = edges.select(F.col("a").alias("node"), rank("b").alias("near")).unionByName(edges.select(F.col("b").alias("node"), rank("a").alias("near")))
         best = both.groupBy("node").agg(F.min("near").alias("near")).where(F.col("near") < rank("node"))
         hop = scratch.table(best.select("node", F.col("near.n").alias("parent")), "parents")
@@ -29,16 +29,21 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         after = scratch.table(_plain(moved), "links")
         scratch.drop(edges)
         edges = after
+        scratch.settle()
         hops.append(hop)
-    root = links.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0)
+    if not hops:
+        return links.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0)
+    used = list(hops)
+    root = hops.pop().withColumnRenamed("parent", "root")
     for hop in reversed(hops):
         far = root.select(F.col("node").alias("parent"), "root")
         near = hop.join(far, "parent", "left").select("node", F.coalesce("root", "parent").alias("root"))
-        root = near.unionByName(root).groupBy("node").agg(F.min("root").alias("root"))
-    root = scratch.table(root, "roots")
+        root = scratch.table(near.unionByName(root).groupBy("node").agg(F.min("root").alias("root")), "roots")
     least = root.groupBy("root").agg(F.least(F.min("node"), F.col("root")).alias("component"))
     members = root.unionByName(least.select(F.col("root").alias("node"), "root")).distinct()
-    return scratch.table(members.join(least, "root").select("node", "component"), "components")
+    out = scratch.table(members.join(least, "root").select("node", "component"), "components")
+    scratch.drop(edges, *used)
+    return out
 
 
 def _plain(links: DataFrame) -> DataFrame:

@@ -6,8 +6,10 @@ and t = 0.8 a link without such a run has a chance under 1e-14, and sets of at m
 
 1. documents with equal shingle sets form a class; its smallest doc_id stands for it;
 2. inverted lists: runs of two retained values point to the classes that hold them;
-3. each list's first class is compared with the list's other classes, and links found there join classes into components;
-4. lists that still hold several components yield all pairs between components, if the list is short. A class most of whose
+3. each list's most central class (the one whose lists are longest in all) is compared with those others of the list that share
+   three lists with it, and links found there join classes into components;
+4. lists that still hold several components yield all pairs between components, if the list is short; pairs with at least three
+   runs in common are candidates (a link has fewer with a chance under 1e-9), or with one if the sets are small. A class most of whose
    runs lie in long lists (large groups of near copies, or texts that consist mainly of a passage many others share) is paired by
    an exact prefix filter instead: its rarest shingles, a share of 1 - t of the set and one more, meet those of each partner;
 5. a candidate pair passes if the union sketch's estimate reaches t less six standard deviations, and is a link if the whole
@@ -42,6 +44,8 @@ class Params:
     words: int = 5
     percent: int = 80
     k: int = 48
+    least_runs: int = 3
+    small_set: int = 15
     long_list: int = 64
     filter_bits: int = 1 << 26
 
@@ -75,7 +79,7 @@ def _sketches(docs: DataFrame, p: Params) -> DataFrame:
 
 
 def _runs(nodes: DataFrame) -> DataFrame:
-    """(run, node, n): each pair of neighbouring values in a sketch."""
+    """(run, node): each pair of neighbouring values in a sketch."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -85,13 +89,24 @@ def _runs(nodes: DataFrame) -> DataFrame:
                 made = [mix64(v[:-1] * np.uint64(3) + v[1:]) for v in values]
                 size = [len(m) for m in made]
                 if sum(size):
-                    yield pd.DataFrame({"run": _signed(np.concatenate(made)), "node": np.repeat(b["node"].to_numpy(), size), "n": np.repeat(b["n"].to_numpy(), size)})
+                    yield pd.DataFrame({"run": _signed(np.concatenate(made)), "node": np.repeat(b["node"].to_numpy(), size)})
 
-    return nodes.where("n >= 2").select("node", "n", "sketch").mapInPandas(run, "run long, node long, n long")
+    return nodes.where("n >= 2").select("node", "sketch").mapInPandas(run, "run long, node long")
 
 
-def _near_sizes(p: Params, a: str = "na", b: str = "nb"):
-    return F.least(a, b) * 100 >= F.greatest(a, b) * p.percent
+def _lists(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(run, node, c) of the runs that several nodes hold, with their number."""
+    runs = _runs(nodes)
+    several = runs.groupBy("run").agg(F.count("*").alias("c")).where("c > 1")
+    return scratch.table(runs.join(several, "run"), "lists")
+
+
+def _stars(lists: DataFrame, least: int) -> DataFrame:
+    """Pairs (a, b) of a list's most central node, the one whose lists are longest in all, and others that share so many lists with it."""
+    weight = lists.groupBy("node").agg(F.sum("c").alias("weight"))
+    heads = lists.select("run", "node").join(weight, "node").groupBy("run").agg(F.max(F.struct("weight", (-F.col("node")).alias("n")))["n"].alias("n"))
+    pairs = lists.select("run", "node").join(heads.select("run", (-F.col("n")).alias("head")), "run").where("node <> head")
+    return pairs.groupBy(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).agg(F.count("*").alias("lists")).where(F.col("lists") >= least).select("a", "b")
 
 
 def _estimate(p: Params):
@@ -115,11 +130,20 @@ def _shared(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(a, b, strict=True)], dtype="int64")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
-    """The links among pairs (a, b)."""
-    sketch = nodes.select("node", "sketch")
-    near = pairs.join(sketch.toDF("a", "sa"), "a").join(sketch.toDF("b", "sb"), "b").where(_estimate(p)("sa", "sb")).select("a", "b")
-    full = near.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b").withColumn("both", _shared("xa", "xb"))
+def _likely(pairs: DataFrame, nodes: DataFrame, p: Params) -> DataFrame:
+    """The pairs (a, b) of near sizes that the union sketch lets through."""
+    a, b = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
+    both = pairs.join(a, "a").join(b, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * p.percent)
+    return both.where(_estimate(p)("sa", "sb")).select("a", "b")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
+    """The links among the pairs (a, b), by whole sets."""
+    full = pairs.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b").withColumn("both", _shared("xa", "xb"))
     size = lambda c: F.octet_length(c) / 8
     return full.where(F.col("both") * 100 >= (size("xa") + size("xb") - F.col("both")) * p.percent).select("a", "b")
 
@@ -147,8 +171,8 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, scratch: Scratch, p: Params)
     return scratch.table(slots.mapInPandas(run, "node long, whole binary").join(wanted.select("node").distinct(), "node", "left_semi"), "sets")
 
 
-def _prefix_pairs(sets: DataFrame, hot: DataFrame, scratch: Scratch, p: Params) -> DataFrame:
-    """Pairs (a, b, na, nb) of hot nodes that share one of their rarest shingles, as every link's ends do."""
+def _prefix_lists(sets: DataFrame, hot: DataFrame, scratch: Scratch, p: Params) -> DataFrame:
+    """(value, node, n, at, before): the rarest shingles of hot nodes, of which the ends of every link among them share one."""
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -162,16 +186,30 @@ def _prefix_pairs(sets: DataFrame, hot: DataFrame, scratch: Scratch, p: Params)
     ranked = values.join(common, "value", "left").select("node", "n", F.struct(F.coalesce("df", F.lit(1)).alias("df"), "value").alias("x"))
     rarest = ranked.groupBy("node", "n").agg(F.sort_array(F.collect_list("x")).alias("x"))
     keep = F.floor(F.col("n") * (100 - p.percent) / 100) + 1
-    listed = rarest.select("node", "n", F.explode(F.slice("x", 1, keep.cast("int"))).alias("x")).where("x.df > 1").select("node", "n", F.col("x.value").alias("value"))
+    prefix = F.slice("x", 1, keep.cast("int"))
+    early = F.slice(F.filter(prefix, lambda x: x["df"] > 1), 1, 16)
+    spread = rarest.select("node", "n", early.alias("early"), F.posexplode(prefix).alias("at", "x")).where("x.df > 1")
+    before = F.transform(F.filter("early", lambda e: e < F.col("x")), lambda e: e["value"])
+    listed = spread.select(F.col("x.value").alias("value"), "node", "n", "at", before.alias("before"))
     return scratch.table(listed, "hot-lists")
 
 
-def _pairs_between(lists: DataFrame, key: str, p: Params) -> DataFrame:
-    """Distinct pairs of one list's nodes in different components and of near sizes."""
-    a, b = lists.toDF(*[f"a_{c}" if c != key else key for c in lists.columns]), lists.toDF(*[f"b_{c}" if c != key else key for c in lists.columns])
-    pairs = a.join(b, key).where((F.col("a_node") < F.col("b_node")) & (F.col("a_component") != F.col("b_component")))
-    pairs = pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), F.col("a_n").alias("na"), F.col("b_n").alias("nb"))
-    return pairs.where(_near_sizes(p)).select("a", "b").distinct()
+def _prefix_pairs(lists: DataFrame, p: Params) -> DataFrame:
+    """Pairs (a, b) in different components that can still reach the similarity if the value is the first they share.
+
+    Of a link's two sets, what comes before the first shared value isn't shared; so many more values than follow it can't be.
+    Where two lists of first values show that an earlier one is shared, that one stands for the pair.
+    """
+    a, b = (lists.select("value", F.col("node").alias(x), F.col("component").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("at").alias(f"i{x}"), F.col("before").alias(f"e{x}")) for x in "ab")
+    most = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
+    return a.join(b, "value").where("a < b AND ca <> cb").where(most * (100 + p.percent) >= p.percent * (F.col("na") + F.col("nb"))).where(~F.arrays_overlap("ea", "eb")).select("a", "b").distinct()
+
+
+def _pairs_between(lists: DataFrame, key: str, least: int) -> DataFrame:
+    """Pairs (a, b) of nodes in different components that share at least so many lists."""
+    a, b = (lists.select(key, F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+    pairs = a.join(b, key).where("a < b AND ca <> cb")
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("lists"), F.first("ca").alias("ca")).where(F.col("lists") >= least).select("a", "b")
 
 
 def _open_lists(lists: DataFrame, key: str, comp: DataFrame) -> DataFrame:
@@ -181,6 +219,23 @@ def _open_lists(lists: DataFrame, key: str, comp: DataFrame) -> DataFrame:
     return named.join(several, key)
 
 
+def _small_pairs(open_: DataFrame, nodes: DataFrame, p: Params) -> DataFrame:
+    """Likely pairs of small sets: these may share a single run."""
+    small = open_.where(F.col("c") <= p.long_list).join(nodes.where(F.col("n") <= p.small_set).select("node"), "node", "left_semi")
+    return _likely(_pairs_between(small, "run", 1), nodes, p)
+
+
+def _merged(comp: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """Components after further links: only the components that these join are looked at again."""
+    between = links
+    for end in ("a", "b"):
+        between = between.join(comp.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left").withColumn(end, F.coalesce(f"c{end}", end)).drop(f"c{end}")
+    joined = components(between, scratch)
+    above = joined.select(F.col("node").alias("component"), F.col("component").alias("least"))
+    moved = comp.join(above, "component", "left").select("node", F.coalesce("least", "component").alias("component"))
+    return moved.unionByName(joined.join(comp, "node", "left_anti").select("node", "component"))
+
+
 def near_duplicates(docs: DataFrame, params: Params | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     p, scratch = params or Params(), Scratch(docs.sparkSession)
@@ -188,25 +243,26 @@ def near_duplicates(docs: DataFrame, params: Params | None = None, id_col: str =
     rows = scratch.table(_sketches(docs, p), "sketches")
     classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("mark").agg(F.min(F.struct("doc_id", "n", "sketch")).alias("x"))
     nodes = scratch.table(classes.select("mark", F.col("x.doc_id").alias("node"), "x.n", "x.sketch"), "classes")
-    runs = _runs(nodes)
-    heads = runs.groupBy("run").agg(F.count("*").alias("c"), F.min(F.struct("node", "n")).alias("head")).where("c > 1")
-    lists = scratch.table(runs.join(heads, "run").select("run", "node", "n", "c", F.col("head.node").alias("head"), F.col("head.n").alias("head_n")), "lists")
-    sets = _full_sets(docs, lists.select("node"), scratch, p)
-    stars = lists.where((F.col("node") != F.col("head")) & _near_sizes(p, "n", "head_n")).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    links = scratch.table(_verified(stars, nodes, sets, p), "links")
+    lists = _lists(nodes, scratch)
+    scratch.settle()
+    stars = scratch.table(_likely(_stars(lists, p.least_runs), nodes, p), "stars")
+    links = scratch.table(_verified(stars, _full_sets(docs, _ends(stars), scratch, p), p), "links")
     comp = components(links, scratch)
-    left = scratch.table(_open_lists(lists.select("run", "node", "n", "c"), "run", comp), "open")
-    short = _pairs_between(left.where(F.col("c") <= p.long_list).drop("c"), "run", p)
-    more = [_verified(short, nodes, sets, p)]
-    crowded = left.where(F.col("c") > p.long_list).groupBy("node", "n").agg(F.count("*").alias("hot"))
+    scratch.drop(stars, links)
+    left = scratch.table(_open_lists(lists.select("run", "node", "c"), "run", comp), "open")
+    scratch.drop(lists)
+    scratch.settle()
+    pairs = scratch.table(_likely(_pairs_between(left.where(F.col("c") <= p.long_list), "run", p.least_runs), nodes, p).union(_small_pairs(left, nodes, p)).distinct(), "pairs")
+    crowded = left.where(F.col("c") > p.long_list).groupBy("node").agg(F.count("*").alias("hot")).join(nodes.select("node", "n"), "node")
     hot = scratch.table(crowded.where(F.col("hot") * 10 >= (F.least(F.col("n"), F.lit(p.k)) - 1) * 4).select("node"), "hot")
+    sets = _full_sets(docs, _ends(pairs).unionByName(hot), scratch, p)
+    found = _verified(pairs, sets, p)
     if not hot.isEmpty():
-        inside = _open_lists(_prefix_pairs(sets, hot, scratch, p), "value", comp)
-        more.append(_verified(_pairs_between(inside, "value", p), nodes, sets, p))
-    found = more[0] if len(more) == 1 else more[0].unionByName(more[1])
+        inside = _open_lists(_prefix_lists(sets, hot, scratch, p), "value", comp)
+        found = found.unionByName(_verified(_likely(_prefix_pairs(inside, p), nodes, p), sets, p))
     found = scratch.table(found, "links")
     if not found.isEmpty():
-        comp = components(found.unionByName(comp.select(F.col("node").alias("a"), F.col("component").alias("b"))), scratch)
+        comp = _merged(comp, found, scratch)
     named = nodes.select("mark", "node").join(comp, "node", "left").select("mark", F.coalesce("component", "node").alias("component"))
     out = rows.select("doc_id", "n", "mark").join(named, "mark", "left")
     out = out.withColumn("component_id", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")))
@@ -223,3 +279,16 @@ def keep_one(docs: DataFrame, params: Params | None = None) -> DataFrame:
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents by 2-word shingles at 80 %."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), Params(words=2))
+
+
+OP6_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 2 THEN w ELSE [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))] END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS x FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n na ON a = na.doc_id JOIN n nb ON b = nb.doc_id WHERE 100 * x >= 80 * (na.n + nb.n - x)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d JOIN c ON d.doc_id = c.a LEFT JOIN n ON d.doc_id = n.doc_id
+"""
