@@ -6,7 +6,7 @@ P(token | class). The class model is a maximum-entropy model over hashed feature
 word before that and the one before that (skips), and the pair of words before. P(token | class) is add-one over the class's words with
 one slot for unknown words, so that the whole is a distribution.
 
-Word counts cover all training documents. The class model is trained by gradient steps on positions spread by a hash over whole
+Word counts cover all training documents. The class model is trained by gradient steps on positions spread evenly over whole
 training texts, `1 / stride` of them a round; each partition steps from the common weights, and the weighted mean of the
 partitions' changes, summed in a tree, updates them. Frequent words' counts (at most `head` entries) go to the scorers; counts of
 all other words are joined in Spark.
@@ -42,7 +42,7 @@ class Params:
     singles: int = 40
     classes: int = 64
     buckets: int = 8192
-    stride: int = 16
+    stride: int = 24
     rounds: int = 3
     batch: int = 1024
     rate: float = 0.3
@@ -61,23 +61,23 @@ def surface_class(ends: np.ndarray, p: Params) -> np.ndarray:
     return p.singles + (mix64(ends.astype(np.uint64)) % np.uint64(p.classes - p.singles)).astype(np.int64)
 
 
-def context_features(h: np.ndarray, p: Params) -> np.ndarray:
-    """[token, feature]: rows of the weight matrix that are on before each token."""
+def context_features(h: np.ndarray, p: Params, at: np.ndarray | None = None) -> np.ndarray:
+    """[token, feature]: rows of the weight matrix that are on before each token (of those at the given places)."""
     padded = np.concatenate([np.full(3, START), h])
-    one, two, three = padded[2:-1], padded[1:-2], padded[:-3]
+    one, two, three = (padded[2:-1], padded[1:-2], padded[:-3]) if at is None else (padded[at + 2], padded[at + 1], padded[at])
     with np.errstate(over="ignore"):
         keys = [one + np.uint64(1), two + np.uint64(2), three + np.uint64(3), one * np.uint64(31) + two]
-        return np.stack([(mix64(k) % np.uint64(p.buckets)).astype(np.int64) for k in keys], 1)
+        return np.stack([(mix64(k) & np.uint64(p.buckets - 1)).astype(np.int64) for k in keys], 1)
 
 
 def log_class(weights: np.ndarray, features: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """Natural log-probability of each class given its features."""
     out = np.empty(len(classes))
-    for a in range(0, len(classes), 8192):
-        z = _logits(weights, features[a : a + 8192])
+    for a in range(0, len(classes), 1024):
+        z = _logits(weights, features[a : a + 1024])
         z -= z.max(1, keepdims=True)
-        c = classes[a : a + 8192]
-        out[a : a + 8192] = z[np.arange(len(c)), c] - np.log(np.exp(z).sum(1))
+        c = classes[a : a + 1024]
+        out[a : a + 1024] = z[np.arange(len(c)), c] - np.log(np.exp(z).sum(1))
     return out
 
 
@@ -124,12 +124,36 @@ class Model:
     class_total: np.ndarray  # tokens, words and 1 of each surface class
     weights: np.ndarray
 
+    def __post_init__(self) -> None:
+        """A direct-mapped table of the head; words whose slot is taken go to a sorted rest."""
+        self.slots = 1 << max(10, (8 * len(self.head)).bit_length())
+        self.key, self.where = np.zeros(self.slots, np.uint64), np.full(self.slots, -1, np.int32)
+        slot = self._slot(self.head)
+        self.key[slot], self.where[slot] = self.head, np.arange(len(self.head))
+        self.rest = np.flatnonzero(self.where[slot] != np.arange(len(self.head)))
+
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(24)).astype(np.int64) & (self.slots - 1)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Place in the head of each token, or -1."""
+        slot = self._slot(h)
+        at = np.where(self.key[slot] == h, self.where[slot], -1)
+        if len(self.rest):
+            lost = np.flatnonzero(at < 0)
+            keys = self.head[self.rest]
+            near = np.minimum(np.searchsorted(keys, h[lost]), len(keys) - 1)
+            at[lost] = np.where(keys[near] == h[lost], self.rest[near], -1)
+        return at
+
     def classes(self, h: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Class, count (0 outside the head) and whether in the head, of each token."""
-        at = np.minimum(np.searchsorted(self.head, h), max(len(self.head) - 1, 0))
-        known = self.head[at] == h if len(self.head) else np.zeros(len(h), bool)
-        own = np.where(known, self.single[at], -1) if len(self.head) else np.full(len(h), -1)
-        return np.where(own >= 0, own, surface_class(ends, self.params)), np.where(known, self.head_count[at], 0) if len(self.head) else np.zeros(len(h), np.int64), known
+        at = self.find(h)
+        known = at >= 0
+        if not len(self.head):
+            return surface_class(ends, self.params), np.zeros(len(h), np.int64), known
+        own = np.where(known, self.single[at], -1)
+        return np.where(own >= 0, own, surface_class(ends, self.params)), np.where(known, self.head_count[at], 0), known
 
 
 def _split(docs: DataFrame, p: Params, id_col: str, text_col: str) -> DataFrame:
@@ -137,8 +161,11 @@ def _split(docs: DataFrame, p: Params, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), (fold == p.held_out).alias("held_out"))
 
 
-def _counted(train: DataFrame, p: Params) -> DataFrame:
-    """(h, class, c): count of each word of the training documents."""
+def _read(train: DataFrame, p: Params) -> DataFrame:
+    """The training documents read once: rows (h, class, c) of word counts, and rows (round, size, sample) of training positions.
+
+    A sample packs the features, hashes and last bytes of about 100,000 positions.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def merged(parts):
@@ -146,26 +173,48 @@ def _counted(train: DataFrame, p: Params) -> DataFrame:
             u, first, back = np.unique(h, return_index=True, return_inverse=True)
             return u, e[first], np.bincount(back, c, len(u)).astype(np.int64)
 
+        def sampled(r: int) -> pd.DataFrame:
+            f, h, e = (np.concatenate(x) for x in zip(*picked[r], strict=True))
+            picked[r].clear()
+            return pd.DataFrame({"h": [None], "class": [None], "c": [None], "round": [r], "size": [len(h)], "sample": [f.astype("<u2").tobytes() + h.astype("<u8").tobytes() + e.astype("<u2").tobytes()]}).astype({"h": "Int64", "class": "Int32", "c": "Int64"})
+
         held, size = [], 0
+        picked: dict[int, list] = {r: [] for r in range(p.rounds)}
         for batch in batches:
             for text in batch["text"]:
                 h, e = tokens(text)
                 held.append((h, e, np.ones(len(h), np.int64)))
                 size += len(h)
-                if size > 4_000_000:
+                start = int(h[0] % np.uint64(p.stride)) + len(h)
+                for r in range(p.rounds):
+                    at = np.arange((start + r * (p.stride // p.rounds)) % p.stride, len(h), p.stride)
+                    if len(at):
+                        picked[r].append((context_features(h, p, at), h[at], e[at]))
+                if size > 3_000_000:
                     held = [merged(held)]
                     if len(held[0][0]) > 2_000_000:
                         yield _frame(*held.pop(), p)
                     size = sum(len(x[0]) for x in held)
+            for r in picked:
+                if sum(len(x[1]) for x in picked[r]) > 100_000:
+                    yield sampled(r)
         if held:
             yield _frame(*merged(held), p)
+        for r in picked:
+            if picked[r]:
+                yield sampled(r)
 
-    rows = train.select("text").mapInPandas(run, "h long, class int, c long")
-    return rows.groupBy("h").agg(F.min("class").alias("class"), F.sum("c").alias("c"))
+    return train.select("text").mapInPandas(run, "h long, class int, c long, round int, size int, sample binary")
 
 
 def _frame(h: np.ndarray, ends: np.ndarray, c: np.ndarray, p: Params) -> pd.DataFrame:
-    return pd.DataFrame({"h": h.view(np.int64), "class": surface_class(ends, p).astype(np.int32), "c": c})
+    return pd.DataFrame({"h": h.view(np.int64), "class": surface_class(ends, p).astype(np.int32), "c": c, "round": pd.array([None] * len(h), "Int32"), "size": pd.array([None] * len(h), "Int32"), "sample": None})
+
+
+def _unpacked(sample: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    f = np.frombuffer(sample, "<u2", n * FEATURES).reshape(n, FEATURES).astype(np.int64)
+    at = n * FEATURES * 2
+    return f, np.frombuffer(sample, "<u8", n, at), np.frombuffer(sample, "<u2", n, at + 8 * n).astype(np.int64)
 
 
 def _head(counts: DataFrame, p: Params) -> pd.DataFrame:
@@ -182,9 +231,9 @@ def _head(counts: DataFrame, p: Params) -> pd.DataFrame:
     return counts.where(F.col("c") >= least).toArrow().to_pandas()
 
 
-def fit(train: DataFrame, counts: DataFrame, p: Params) -> Model:
-    """The model from the training documents and their word counts."""
-    spark = train.sparkSession
+def fit(samples: DataFrame, counts: DataFrame, p: Params) -> Model:
+    """The model from samples of training positions and the word counts."""
+    spark = counts.sparkSession
     head = _head(counts, p).assign(u=lambda d: d["h"].to_numpy(np.int64).view(np.uint64)).sort_values("u").reset_index(drop=True)
     u, c = head["u"].to_numpy(np.uint64), head["c"].to_numpy(np.int64)
     order = sorted(range(len(u)), key=lambda i: (u[i] != END, -c[i], u[i]))[: p.singles]
@@ -197,29 +246,20 @@ def fit(train: DataFrame, counts: DataFrame, p: Params) -> Model:
         totals[r["class"]] = r["n"] + r["v"]
     model = Model(p, sums["n"] or 0, sums["v"], u, c, single, totals + 1, np.zeros((p.buckets + 1, p.classes), np.float32))
     for round_ in range(p.rounds):
-        model.weights = _trained(train, model, round_)
+        model.weights = _trained(samples.where(F.col("round") == round_), model)
     return model
 
 
-def _trained(train: DataFrame, model: Model, round_: int) -> np.ndarray:
-    p, held = model.params, train.sparkSession.sparkContext.broadcast(model)
+def _trained(samples: DataFrame, model: Model) -> np.ndarray:
+    p, held = model.params, samples.sparkSession.sparkContext.broadcast(model)
 
     def steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = held.value
-        w, seen, fs, cs, size = m.weights, 0, [], [], 0
+        w, seen = m.weights, 0
         for batch in batches:
-            for text in batch["text"]:
-                h, e = tokens(text)
-                f = context_features(h, p)
-                with np.errstate(over="ignore"):
-                    pick = np.flatnonzero(mix64(h + np.arange(len(h), dtype=np.uint64) * np.uint64(7919) + np.uint64(len(h) * 1009)) % np.uint64(p.stride) == round_ % p.stride)
-                fs.append(f[pick])
-                cs.append(m.classes(h[pick], e[pick])[0])
-                size += len(pick)
-                if size >= 100_000:
-                    w, seen, fs, cs, size = gradient_steps(w, np.concatenate(fs), np.concatenate(cs), p), seen + size, [], [], 0
-        if size:
-            w, seen = gradient_steps(w, np.concatenate(fs), np.concatenate(cs), p), seen + size
+            for sample, n in zip(batch["sample"], batch["size"], strict=True):
+                f, h, e = _unpacked(sample, n)
+                w, seen = gradient_steps(w, f, m.classes(h, e)[0], p), seen + n
         if seen:
             change = (w - m.weights) * np.float32(seen)
             pid = TaskContext.get().partitionId()
@@ -231,8 +271,8 @@ def _trained(train: DataFrame, model: Model, round_: int) -> np.ndarray:
         return pd.DataFrame({"part": [group["part"].iloc[0]], "pid": [group["pid"].iloc[0] // p.fan_in], "n": [group["n"].sum()], "change": [total.astype("<f4").tobytes()]})
 
     schema = "part int, pid long, n long, change binary"
-    sums = train.select("text").mapInPandas(steps, schema)
-    left = train.rdd.getNumPartitions()
+    sums = samples.select("sample", "size").mapInPandas(steps, schema)
+    left = samples.rdd.getNumPartitions()
     while True:
         sums = sums.groupBy("part", F.floor(F.col("pid") / p.fan_in)).applyInPandas(add, schema)
         left = -(-left // p.fan_in)
@@ -279,9 +319,12 @@ def score_documents(docs: DataFrame, params: Params | None = None, id_col: str =
     """Counts, fits and scores."""
     p, scratch = params or Params(), Scratch(docs.sparkSession)
     split = _split(docs, p, id_col, text_col)
-    train = split.where(~F.col("held_out"))
-    counts = scratch.table(_counted(train, p), "counts")
-    return scored(split, fit(train, counts, p), counts, scratch)
+    read = scratch.table(_read(split.where(~F.col("held_out")), p), "read")
+    counts = scratch.table(read.where("h IS NOT NULL").groupBy("h").agg(F.min("class").alias("class"), F.sum("c").alias("c")), "counts")
+    model = fit(read.where("sample IS NOT NULL"), counts, p)
+    scratch.drop(read)
+    scratch.settle()
+    return scored(split, model, counts, scratch)
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
