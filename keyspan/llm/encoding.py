@@ -156,8 +156,8 @@ class CachedEncoder:
 _ENCODERS: dict[tuple[str, str], CachedEncoder] = {}
 
 
-def encoder(path: str, mode: str) -> CachedEncoder:
-    """One encoder per worker process and file."""
+def encoder(path: str, mode: str, max_cached: int = 500_000) -> CachedEncoder:
+    """One encoder per worker process and file; it stays there with what it has cached."""
     if (path, mode) not in _ENCODERS:
-        _ENCODERS[path, mode] = CachedEncoder(path, mode)
+        _ENCODERS[path, mode] = CachedEncoder(path, mode, max_cached)
     return _ENCODERS[path, mode]

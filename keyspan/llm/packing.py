@@ -36,7 +36,7 @@ def cut_documents(docs: DataFrame, path: str, end_id: int, capacity: int, id_col
     """One row per piece; k numbers the pieces of one length within the partition pid."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, pid, seen = encoder(path, "words"), TaskContext.get().partitionId(), Counter()
+        enc, pid, seen = encoder(path, "words", 150_000), TaskContext.get().partitionId(), Counter()
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["i"], batch["t"], strict=True):
