@@ -13,8 +13,8 @@ Trigram tables come from all documents that declare a language; the other three
 documents of the text's own best guess. A document is accepted if it holds a letter and its best posterior reaches
 ``least_posterior``.
 
-Defined cases: null or empty text, or one without letters, gives language null, posterior 0 and is not accepted; a null
-declared language, address or host is a value of its own; ties go to the language first in alphabetical order; repeated rows
+Defined cases: null or empty text, or one without letters, gives language null, posterior 0 and is not accepted; a missing
+declared language or address is no evidence, a null host is a host of its own; ties go to the language first in alphabetical order; repeated rows
 get the same answer each; an empty table gives an empty result. Texts are processed whole, in slices of bounded size. The
 most frequent ``max_languages`` declared codes are the candidates.
 """
@@ -150,7 +150,7 @@ def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang",
     prior, said = scratch.table(prior, "prior"), scratch.table(said, "declared")
     joined = evidence.join(bounded_broadcast(prior, p.max_broadcast_hosts), ["suffix", "host"], "left").join(bounded_broadcast(said, p.max_broadcast_hosts), "declared", "left")
     none = F.array(*[F.lit(0.0) for _ in k])
-    total = F.zip_with(F.zip_with(F.transform("s", lambda x: x * p.text_weight), F.coalesce("prior", none), lambda a, b: a + b), F.zip_with(F.coalesce("from_suffix", none), F.coalesce("from_declared", none), lambda a, b: a + b), lambda a, b: a + b)
+    total = F.zip_with(F.zip_with(F.transform("s", lambda x: x * p.text_weight), F.coalesce("prior", none), lambda a, b: a + b), F.zip_with(F.coalesce(F.when(F.col("suffix") != "", F.col("from_suffix")), none), F.coalesce(F.when(F.col("declared") != "", F.col("from_declared")), none), lambda a, b: a + b), lambda a, b: a + b)
     fused = joined.withColumn("s", score("text")).withColumn("z", F.when(F.size("s") > 0, total))
     best = F.array_max("z")
     posterior = F.lit(1.0) / F.aggregate("z", F.lit(0.0), lambda acc, x: acc + F.exp(x - best))

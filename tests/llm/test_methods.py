@@ -179,7 +179,7 @@ def test_language_accuracy(spark):
 
 def test_language_evidence_helps(spark):
     texts = ["the house and the garden are green", "das haus und der garten sind gruen", "la casa y el jardin son verdes"]
-    rows = [(i, f"{texts[i % 3]} {i}", ["en", "de", "es"][i % 3], f"h{i % 3}") for i in range(60)] + [(100, "ok 17", None, "h1"), (101, '<html lang="es"><p>ok 17</p>', None, None)]
+    rows = [(i, f"{texts[i % 3]} {i}", ["en", "de", "es"][i % 3], f"h{i % 3}") for i in range(60)] + [(100, "qq", None, "h1"), (101, "<html lang=\"es\"><p>qq</p>", None, None)]
     got = {r["doc_id"]: r for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).select("row.doc_id", "language", "declared").collect()}
     assert got[100]["language"] == "de" and got[101]["language"] == "es" and got[101]["declared"] == "es"
 
