@@ -6,8 +6,8 @@ P(token | class). The class model is a maximum-entropy model over hashed feature
 word before that and the one before that (skips), and the pair of words before. P(token | class) is add-one over the class's words with
 one slot for unknown words, so that the whole is a distribution.
 
-Word counts cover all training documents. The class model is trained by gradient steps on positions spread evenly over whole
-training texts, `1 / stride` of them a round; each partition steps from the common weights, and the weighted mean of the
+Word counts cover all training documents. The class model is trained by gradient steps on every position of every training text in
+each round (one in `stride` of them, if that is above 1); each partition steps from the common weights, and the weighted mean of the
 partitions' changes, summed in a tree, updates them. Frequent words' counts (at most `head` entries) go to the scorers; counts of
 all other words are joined in Spark.
 
@@ -33,6 +33,7 @@ from keyspan.llm.words import mix64, words_and_ends
 END = np.uint64(0x0E0D)
 START = np.uint64(0x0B0E)
 FEATURES = 4
+SAMPLE = 100_000
 
 
 @dataclass(frozen=True)
@@ -42,7 +43,7 @@ class Params:
     singles: int = 40
     classes: int = 64
     buckets: int = 8192
-    stride: int = 24
+    stride: int = 1
     rounds: int = 3
     batch: int = 1024
     rate: float = 0.3
@@ -88,6 +89,19 @@ def _logits(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
     return z
 
 
+def _sums(z: np.ndarray, order: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the rows order[first[i]:first[i + 1]] of z; most of these groups are short, for which reduceat is slow."""
+    n = np.diff(first, append=len(order))
+    d = z.take(order[first], 0)
+    short = np.flatnonzero((n > 1) & (n <= 8))
+    for k in range(1, 8):
+        short = short[n[short] > k]
+        d[short] += z.take(order[first[short] + k], 0)
+    for i in np.flatnonzero(n > 8):
+        d[i] = z.take(order[first[i] : first[i] + n[i]], 0).sum(0)
+    return d
+
+
 def gradient_steps(weights: np.ndarray, features: np.ndarray, classes: np.ndarray, p: Params) -> np.ndarray:
     """The weights after one pass of adaptive gradient steps; the last row is the bias."""
     w, g = weights.copy(), np.full(len(weights), 1.0, np.float32)
@@ -102,9 +116,10 @@ def gradient_steps(weights: np.ndarray, features: np.ndarray, classes: np.ndarra
         order = np.argsort(rows, kind="stable")
         rows = rows[order]
         first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-        d, at = np.add.reduceat(z[order // f.shape[1]], first, 0), rows[first]
-        g[at] += (d * d).mean(1)
-        w[at] -= p.rate * d / np.sqrt(g[at])[:, None]
+        d, at = _sums(z, order // f.shape[1], first), rows[first]
+        g[at] += np.einsum("ij,ij->i", d, d) / d.shape[1]
+        d *= (p.rate / np.sqrt(g[at]))[:, None]
+        w[at] -= d
         d = z.sum(0)
         g[-1] += (d * d).mean()
         w[-1] -= p.rate * d / np.sqrt(g[-1])
@@ -162,10 +177,7 @@ def _split(docs: DataFrame, p: Params, id_col: str, text_col: str) -> DataFrame:
 
 
 def _read(train: DataFrame, p: Params) -> DataFrame:
-    """The training documents read once: rows (h, class, c) of word counts, and rows (round, size, sample) of training positions.
-
-    A sample packs the features, hashes and last bytes of about 100,000 positions.
-    """
+    """Rows (h, class, c) of word counts of the training documents."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def merged(parts):
@@ -173,48 +185,55 @@ def _read(train: DataFrame, p: Params) -> DataFrame:
             u, first, back = np.unique(h, return_index=True, return_inverse=True)
             return u, e[first], np.bincount(back, c, len(u)).astype(np.int64)
 
-        def sampled(r: int) -> pd.DataFrame:
-            f, h, e = (np.concatenate(x) for x in zip(*picked[r], strict=True))
-            picked[r].clear()
-            return pd.DataFrame({"h": [None], "class": [None], "c": [None], "round": [r], "size": [len(h)], "sample": [f.astype("<u2").tobytes() + h.astype("<u8").tobytes() + e.astype("<u2").tobytes()]}).astype({"h": "Int64", "class": "Int32", "c": "Int64"})
-
         held, size = [], 0
-        picked: dict[int, list] = {r: [] for r in range(p.rounds)}
         for batch in batches:
             for text in batch["text"]:
                 h, e = tokens(text)
                 held.append((h, e, np.ones(len(h), np.int64)))
                 size += len(h)
-                start = int(h[0] % np.uint64(p.stride)) + len(h)
-                for r in range(p.rounds):
-                    at = np.arange((start + r * (p.stride // p.rounds)) % p.stride, len(h), p.stride)
-                    if len(at):
-                        picked[r].append((context_features(h, p, at), h[at], e[at]))
                 if size > 3_000_000:
                     held = [merged(held)]
                     if len(held[0][0]) > 2_000_000:
                         yield _frame(*held.pop(), p)
                     size = sum(len(x[0]) for x in held)
-            for r in picked:
-                if sum(len(x[1]) for x in picked[r]) > 100_000:
-                    yield sampled(r)
         if held:
             yield _frame(*merged(held), p)
-        for r in picked:
-            if picked[r]:
-                yield sampled(r)
 
-    return train.select("text").mapInPandas(run, "h long, class int, c long, round int, size int, sample binary")
+    return train.select("text").mapInPandas(run, "h long, class int, c long")
+
+
+def _positions(train: DataFrame, model: Model) -> DataFrame:
+    """Rows (size, sample) that pack the features and classes of all positions of the training documents, at most 100,000 in each."""
+    p, held = model.params, train.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def packed(n: int) -> pd.DataFrame:
+            f, c = (np.concatenate(x) for x in zip(*parts, strict=True))
+            parts[:] = [(f[n:], c[n:])] if n < len(c) else []
+            return pd.DataFrame({"size": [len(c[:n])], "sample": [f[:n].tobytes() + c[:n].tobytes()]})
+
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+        for batch in batches:
+            for text in batch["text"]:
+                h, e = tokens(text)
+                parts.append((context_features(h, p).astype("<u2"), held.value.classes(h, e)[0].astype("<u2")))
+                size += len(h)
+                while size >= SAMPLE:
+                    yield packed(SAMPLE)
+                    size -= SAMPLE
+        if size:
+            yield packed(size)
+
+    return train.select("text").mapInPandas(run, "size int, sample binary")
 
 
 def _frame(h: np.ndarray, ends: np.ndarray, c: np.ndarray, p: Params) -> pd.DataFrame:
-    return pd.DataFrame({"h": h.view(np.int64), "class": surface_class(ends, p).astype(np.int32), "c": c, "round": pd.array([None] * len(h), "Int32"), "size": pd.array([None] * len(h), "Int32"), "sample": None})
+    return pd.DataFrame({"h": h.view(np.int64), "class": surface_class(ends, p).astype(np.int32), "c": c})
 
 
-def _unpacked(sample: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    f = np.frombuffer(sample, "<u2", n * FEATURES).reshape(n, FEATURES).astype(np.int64)
-    at = n * FEATURES * 2
-    return f, np.frombuffer(sample, "<u8", n, at), np.frombuffer(sample, "<u2", n, at + 8 * n).astype(np.int64)
+def _unpacked(sample: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(sample, "<u2", n * FEATURES).reshape(n, FEATURES), np.frombuffer(sample, "<u2", n, n * FEATURES * 2).astype(np.int64)
 
 
 def _head(counts: DataFrame, p: Params) -> pd.DataFrame:
@@ -231,8 +250,8 @@ def _head(counts: DataFrame, p: Params) -> pd.DataFrame:
     return counts.where(F.col("c") >= least).toArrow().to_pandas()
 
 
-def fit(samples: DataFrame, counts: DataFrame, p: Params) -> Model:
-    """The model from samples of training positions and the word counts."""
+def fit(train: DataFrame, counts: DataFrame, p: Params, scratch: Scratch) -> Model:
+    """The model from the training documents and their word counts."""
     spark = counts.sparkSession
     head = _head(counts, p).assign(u=lambda d: d["h"].to_numpy(np.int64).view(np.uint64)).sort_values("u").reset_index(drop=True)
     u, c = head["u"].to_numpy(np.uint64), head["c"].to_numpy(np.int64)
@@ -245,23 +264,24 @@ def fit(samples: DataFrame, counts: DataFrame, p: Params) -> Model:
     for r in counts.join(F.broadcast(own), "h", "left_anti").groupBy("class").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():
         totals[r["class"]] = r["n"] + r["v"]
     model = Model(p, sums["n"] or 0, sums["v"], u, c, single, totals + 1, np.zeros((p.buckets + 1, p.classes), np.float32))
+    samples = scratch.table(_positions(train, model), "positions")
     for round_ in range(p.rounds):
-        model.weights = _trained(samples.where(F.col("round") == round_), model)
+        model.weights = _trained(samples, model, round_)
+    scratch.drop(samples)
     return model
 
 
-def _trained(samples: DataFrame, model: Model) -> np.ndarray:
-    p, held = model.params, samples.sparkSession.sparkContext.broadcast(model)
+def _trained(samples: DataFrame, model: Model, round_: int) -> np.ndarray:
+    p, held = model.params, samples.sparkSession.sparkContext.broadcast(model.weights)
 
     def steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = held.value
-        w, seen = m.weights, 0
+        w, seen = held.value, 0
         for batch in batches:
             for sample, n in zip(batch["sample"], batch["size"], strict=True):
-                f, h, e = _unpacked(sample, n)
-                w, seen = gradient_steps(w, f, m.classes(h, e)[0], p), seen + n
+                f, c = (x[round_ % p.stride :: p.stride] for x in _unpacked(sample, n))
+                w, seen = gradient_steps(w, f, c, p), seen + len(c)
         if seen:
-            change = (w - m.weights) * np.float32(seen)
+            change = (w - held.value) * np.float32(seen)
             pid = TaskContext.get().partitionId()
             for k, part in enumerate(np.array_split(change, 16)):
                 yield pd.DataFrame({"part": [k], "pid": [pid], "n": [seen], "change": [part.astype("<f4").tobytes()]})
@@ -319,10 +339,9 @@ def score_documents(docs: DataFrame, params: Params | None = None, id_col: str =
     """Counts, fits and scores."""
     p, scratch = params or Params(), Scratch(docs.sparkSession)
     split = _split(docs, p, id_col, text_col)
-    read = scratch.table(_read(split.where(~F.col("held_out")), p), "read")
-    counts = scratch.table(read.where("h IS NOT NULL").groupBy("h").agg(F.min("class").alias("class"), F.sum("c").alias("c")), "counts")
-    model = fit(read.where("sample IS NOT NULL"), counts, p)
-    scratch.drop(read)
+    train = split.where(~F.col("held_out"))
+    counts = scratch.table(_read(train, p).groupBy("h").agg(F.min("class").alias("class"), F.sum("c").alias("c")), "counts")
+    model = fit(train, counts, p, scratch)
     scratch.settle()
     return scored(split, model, counts, scratch)
 

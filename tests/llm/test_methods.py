@@ -237,6 +237,24 @@ def test_lm_is_a_distribution_and_learns(spark):
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
 
 
+def test_lm_steps_over_every_position(spark):
+    """Three positions of a short text: with one left out of training its probability would stay at a sixty-fourth."""
+    docs = spark.createDataFrame([(i, "alpha beta") for i in range(700)], "doc_id long, text string")
+    rows = lm.score_documents(docs, lm.Params(batch=16)).collect()
+    assert len(rows) == 700 and min(r["score"] for r in rows) > 3 * math.log10(0.8)
+
+
+def test_lm_packs_every_position(spark):
+    p, texts = lm.Params(), ["a b c", "", "x", " ".join(f"w{i % 700}" for i in range(250_000))]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    model = lm.Model(p, 0, 0, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.ones(p.classes), np.zeros((p.buckets + 1, p.classes), np.float32))
+    got = [lm._unpacked(r["sample"], r["size"]) for r in lm._positions(docs, model).collect()]
+    tokens = [lm.tokens(t) for t in texts]
+    assert max(len(c) for _, c in got) <= lm.SAMPLE
+    assert np.array_equal(np.concatenate([f for f, _ in got]), np.concatenate([lm.context_features(h, p) for h, _ in tokens]))
+    assert np.array_equal(np.concatenate([c for _, c in got]), np.concatenate([lm.surface_class(e, p) for _, e in tokens]))
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><div class="cookie-notice">We use cookies</div><header><h1>Site</h1><nav><a href=/>Home</a></nav></header>
 <div id="content" class="post post-12"><h1>Title &amp; more</h1><p>One <b>bold</b> word<br>next.<p>Two<ul><li>first<li>second</ul><div class="ad">Buy</div><aside>side</aside><form><input>Send</form>
 <pre> x   y </pre><!-- hidden --><script>if (a < b) { "</p>" }</script><section class="comments"><p>reader says</section></div><footer>foot</footer></body></html>"""
