@@ -62,8 +62,8 @@ def trigram_counts(text: str) -> np.ndarray:
 
 
 def declared_language(text: Column, declared: Column | None) -> Column:
-    """Two-letter code from the text's html tag, else from the declared column, else the empty string."""
-    markup = F.lower(F.regexp_extract(F.substring(text, 1, 2048), r"(?i)<html[^>]*\blang\s*=\s*[\"']?([a-z]{2})", 1))
+    """Code of two or three letters from the first html tag with one, wherever in the text, else from the declared column, else the empty string."""
+    markup = F.when(F.contains(text, F.lit("<")), F.lower(F.regexp_extract(text, r"(?i)<html[^>]*\blang\s*=\s*[\"']?\s*([a-z]{2,3})(?:$|[^a-z])", 1)))
     given = F.lower(F.regexp_extract(declared, r"^\s*([A-Za-z]{2,3})(?:$|[^A-Za-z])", 1)) if declared is not None else F.lit("")
     return F.coalesce(F.when(markup != "", markup), given, F.lit(""))
 

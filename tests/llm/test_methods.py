@@ -184,6 +184,14 @@ def test_language_evidence_helps(spark):
     assert got[100]["language"] == "de" and got[101]["language"] == "es" and got[101]["declared"] == "es"
 
 
+def test_declared_language_after_a_long_prologue(spark):
+    long = "<!-- " + "licence " * 1000 + "-->\n"
+    rows = [(long + '<!DOCTYPE html><HTML class="x" lang="DE-at">', "en"), ('<html lang="fil">', "en"), ("<html lang=gsw>", None), ('<html lang="english">', "fr"), ("<html>" + long, "pt-BR"), (None, "sv"), (long, None)]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    got = [r["d"] for r in docs.select(language.declared_language(docs["text"], docs["lang"]).alias("d")).collect()]
+    assert got == ["de", "fil", "gsw", "fr", "pt", "sv", ""]
+
+
 def test_quality_accuracy(spark):
     sf = SF.replace("0.001", "0.01")
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet").selectExpr("doc_id", "quality AS truth")
