@@ -15,8 +15,8 @@ documents of the text's own best guess. A document is accepted if it holds a let
 
 Defined cases: null or empty text, or one without letters, gives language null, posterior 0 and is not accepted; a missing
 declared language or address is no evidence, a null host is a host of its own; ties go to the language first in alphabetical order; repeated rows
-get the same answer each; an empty table gives an empty result. Texts are processed whole, in slices of bounded size. The
-most frequent ``max_languages`` declared codes are the candidates.
+get the same answer each; an empty table gives an empty result. Texts are processed whole, in slices of bounded size. All declared
+codes are candidates; their trigram tables are collected, broadcast and multiplied in blocks of ``max_languages``, 64 KB a language.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,8 +86,8 @@ def _evidence(docs: DataFrame, text: str, declared: str | None, address: str | N
         (F.coalesce(F.col(host).cast("string"), F.lit("")) if host else F.lit("")).alias("host"))
 
 
-def fit_text(evidence: DataFrame, p: Params) -> tuple[list[str], np.ndarray]:
-    """Candidate languages, and log-probabilities [bucket, language] of trigrams."""
+def fit_text(evidence: DataFrame, p: Params, scratch: Scratch) -> tuple[list[str], list[Broadcast]]:
+    """Candidate languages in alphabetical order, and log-probabilities [bucket, language] of trigrams for each block of max_languages of them."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(BUCKETS, np.int64))
@@ -99,64 +100,95 @@ def fit_text(evidence: DataFrame, p: Params) -> tuple[list[str], np.ndarray]:
 
     named = evidence.where("declared <> ''").select("text", "declared")
     cells = named.mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    by_lang = cells.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("cells"), F.sum("n").alias("total"))
-    found = by_lang.orderBy(F.desc("total"), "lang").limit(p.max_languages).collect()  # at most max_languages rows of BUCKETS cells
-    langs = sorted(r["lang"] for r in found)
-    counts = np.full((BUCKETS, len(langs)), 0.5)
-    for r in found:
-        cells = r["cells"]
-        counts[[c["bucket"] for c in cells], langs.index(r["lang"])] += [c["n"] for c in cells]
-    return langs, np.log(counts / counts.sum(0))
-
-
-def _scorer(spark: SparkSession, logp: np.ndarray):
-    model = spark.sparkContext.broadcast(logp)
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series([trigram_counts(t) @ model.value if any(map(str.isalpha, t)) else np.zeros(0) for t in texts])
-
-    return score
-
-
-def _smoothed(parent: list[Column], counts: list[Column], weight: float) -> list[Column]:
-    total = sum(counts[1:], counts[0])
-    return [(n + F.lit(weight) * q) / (total + F.lit(weight)) for n, q in zip(counts, parent, strict=True)]
+    cells = scratch.table(cells, "trigrams")
+    langs = [r["lang"] for r in cells.select("lang").distinct().orderBy("lang").collect()]
+    blocks = []
+    for first in range(0, len(langs), p.max_languages):
+        block = langs[first : first + p.max_languages]
+        found = cells.where(F.col("lang").between(block[0], block[-1])).toArrow().to_pandas()  # at most BUCKETS rows a language
+        counts = np.full((BUCKETS, len(block)), 0.5)
+        counts[found["bucket"], np.searchsorted(block, found["lang"].to_numpy(str))] += found["n"]
+        blocks.append(evidence.sparkSession.sparkContext.broadcast(np.log(counts / counts.sum(0))))
+    scratch.drop(cells)
+    return langs, blocks
+
+
+def _text_scores(text: str, blocks: list[Broadcast]) -> np.ndarray | None:
+    """Log-likelihood of the text for each language; None if it has no letter."""
+    if not any(map(str.isalpha, text)):
+        return None
+    n = trigram_counts(text)
+    return np.concatenate([n @ b.value for b in blocks])
+
+
+def _guesser(blocks: list[Broadcast]):
+    @F.pandas_udf(T.IntegerType())
+    def guess(texts: pd.Series) -> pd.Series:
+        scores = (_text_scores(t, blocks) for t in texts)
+        return pd.Series([-1 if s is None else int(s.argmax()) for s in scores], dtype="int32")
+
+    return guess
+
+
+def _fuser(blocks: list[Broadcast], whole: np.ndarray, p: Params):
+    """The place of the best language (-1 if the text has no letter) and its posterior, from the text and the counts (sparse, by guess) of its suffix, host and declared language."""
+    top = whole / whole.sum()
+
+    def dense(places: np.ndarray | None, counts: np.ndarray | None) -> np.ndarray:
+        out = np.zeros(len(whole))
+        if places is not None:
+            out[places] = counts
+        return out
+
+    @F.pandas_udf("g int, posterior double")
+    def fuse(texts: pd.Series, suffix: pd.Series, declared: pd.Series, sg: pd.Series, sn: pd.Series, hg: pd.Series, hn: pd.Series, dg: pd.Series, dn: pd.Series) -> pd.DataFrame:
+        best, posterior = [], []
+        for t, of_suffix, said, *cells in zip(texts, suffix, declared, sg, sn, hg, hn, dg, dn, strict=True):
+            s = _text_scores(t, blocks)
+            if s is None:
+                best.append(-1)
+                posterior.append(0.0)
+                continue
+            n_suffix, n_host, n_said = (dense(*cells[i : i + 2]) for i in (0, 2, 4))
+            prior = (n_suffix + p.smoothing * top) / (n_suffix.sum() + p.smoothing)
+            z = s * p.text_weight + np.log((n_host + p.smoothing * prior) / (n_host.sum() + p.smoothing))
+            if of_suffix:
+                z += np.log((n_suffix + 0.5) / (whole + 1))
+            if said:
+                z += np.log((n_said + 0.5) / (whole + 1))
+            best.append(int(z.argmax()))
+            posterior.append(1 / np.exp(z - z.max()).sum())
+        return pd.DataFrame({"g": np.array(best, np.int32), "posterior": posterior})
+
+    return fuse
+
+
+def _tally(cells: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """For each key the guesses and their counts, as two arrays."""
+    sums = cells.groupBy(*keys, "g").agg(F.sum("count").alias("n"))
+    pairs = sums.groupBy(*keys).agg(F.collect_list(F.struct("g", "n")).alias("x"))
+    return pairs.select(*keys, F.col("x.g").alias(f"{name}g"), F.col("x.n").alias(f"{name}n"))
 
 
 def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang", address: str | None = None, host: str | None = "source", params: Params | None = None) -> DataFrame:
     """Columns row (the input row), declared, language, posterior, accepted."""
     p, spark = params or Params(), docs.sparkSession
     evidence = _evidence(docs, text, declared, address, host)
-    langs, logp = fit_text(evidence, p)
+    scratch = Scratch(spark)
+    langs, blocks = fit_text(evidence, p, scratch)
     if not langs:
         return evidence.select("row", "declared", F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("posterior"), F.lit(False).alias("accepted"))
-    score, names = _scorer(spark, logp), F.array(*map(F.lit, langs))
-    guess = F.expr("array_position(s, array_max(s))").cast("int")
-    scratch = Scratch(spark)
-    guesses = evidence.select("suffix", "host", "declared", score("text").alias("s")).where("size(s) > 0").withColumn("g", guess - 1)
+    guesses = evidence.select("suffix", "host", "declared", _guesser(blocks)("text").alias("g")).where("g >= 0")
     cells = scratch.table(guesses.groupBy("suffix", "host", "declared", "g").count(), "cells")
-    k = range(len(langs))
-    tally = [F.sum(F.when(F.col("g") == i, F.col("count")).otherwise(0)).alias(f"n{i}") for i in k]
-    whole = cells.agg(*tally).first()
-    n = [(whole[f"n{i}"] or 0) + 1.0 for i in k]
-    top = [F.lit(x / sum(n)) for x in n]
-    by_suffix = cells.groupBy("suffix").agg(*tally)
-    suffix_prior = by_suffix.select("suffix", *[q.alias(f"p{i}") for i, q in zip(k, _smoothed(top, [F.col(f"n{i}") for i in k], p.smoothing), strict=True)])
-    emitted = by_suffix.select("suffix", F.array(*[F.log((F.col(f"n{i}") + F.lit(0.5)) / F.lit(n[i] + 1)) for i in k]).alias("from_suffix"))
-    hosts = cells.groupBy("suffix", "host").agg(*tally).join(suffix_prior, "suffix")
-    prior = hosts.select("suffix", "host", F.array(*[F.log(q) for q in _smoothed([F.col(f"p{i}") for i in k], [F.col(f"n{i}") for i in k], p.smoothing)]).alias("prior")).join(emitted, "suffix")
-    said = cells.groupBy("declared").agg(*tally).select("declared", F.array(*[F.log((F.col(f"n{i}") + F.lit(0.5)) / F.lit(n[i] + 1)) for i in k]).alias("from_declared"))
-    prior, said = scratch.table(prior, "prior"), scratch.table(said, "declared")
+    whole = np.ones(len(langs))
+    for r in cells.groupBy("g").agg(F.sum("count").alias("n")).collect():  # at most a row per language
+        whole[r["g"]] += r["n"]
+    prior = scratch.table(_tally(cells, ["suffix", "host"], "h").join(_tally(cells, ["suffix"], "s"), "suffix"), "prior")
+    said = scratch.table(_tally(cells, ["declared"], "d"), "declared")
     joined = evidence.join(bounded_broadcast(prior, p.max_broadcast_hosts), ["suffix", "host"], "left").join(bounded_broadcast(said, p.max_broadcast_hosts), "declared", "left")
-    none = F.array(*[F.lit(0.0) for _ in k])
-    total = F.zip_with(F.zip_with(F.transform("s", lambda x: x * p.text_weight), F.coalesce("prior", none), lambda a, b: a + b), F.zip_with(F.coalesce(F.when(F.col("suffix") != "", F.col("from_suffix")), none), F.coalesce(F.when(F.col("declared") != "", F.col("from_declared")), none), lambda a, b: a + b), lambda a, b: a + b)
-    fused = joined.withColumn("s", score("text")).withColumn("z", F.when(F.size("s") > 0, total))
-    best = F.array_max("z")
-    posterior = F.lit(1.0) / F.aggregate("z", F.lit(0.0), lambda acc, x: acc + F.exp(x - best))
-    return fused.select(
-        "row", "declared", F.when(F.col("z").isNotNull(), F.element_at(names, F.array_position("z", best).cast("int"))).alias("language"),
-        F.coalesce(posterior, F.lit(0.0)).alias("posterior")).withColumn("accepted", F.col("language").isNotNull() & (F.col("posterior") >= p.least_posterior))
+    names = F.array(*map(F.lit, langs))
+    fused = joined.withColumn("found", _fuser(blocks, whole, p)("text", "suffix", "declared", "sg", "sn", "hg", "hn", "dg", "dn"))
+    return fused.select("row", "declared", F.when(F.col("found.g") >= 0, F.element_at(names, F.col("found.g") + 1)).alias("language"), F.col("found.posterior").alias("posterior")).withColumn("accepted", F.col("language").isNotNull() & (F.col("posterior") >= p.least_posterior))
 
 
 def accept(docs: DataFrame) -> DataFrame:

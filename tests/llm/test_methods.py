@@ -192,6 +192,15 @@ def test_declared_language_after_a_long_prologue(spark):
     assert got == ["de", "fil", "gsw", "fr", "pt", "sv", ""]
 
 
+def test_every_declared_language_is_a_candidate(spark):
+    codes = [a + b for a in "abcdefghijklmno" for b in "abcdefghijklmno"]
+    words = {c: " ".join(random.Random(c).choices("bcdfghjklmnpqrstvwxz", k=400)).replace(" ", "") for c in codes}
+    rows = [(i, words[c][:400 if c != "hh" else 200], c, "s") for i, c in enumerate(codes)] + [(1000, words["hh"][:200], None, "s"), (1001, words["aa"], None, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r["language"] for r in language.identify(docs).select("row.doc_id", "language").collect()}
+    assert len(codes) == 225 and got == {i: c for i, c in enumerate(codes)} | {1000: "hh", 1001: "aa"}
+
+
 def test_quality_accuracy(spark):
     sf = SF.replace("0.001", "0.01")
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet").selectExpr("doc_id", "quality AS truth")
