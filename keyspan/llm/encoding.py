@@ -1,70 +1,104 @@
 """Exact, cached encoding of whole texts with tokenizer files of the tokenizers library.
 
 Both supported files split a text before any merge is applied, so the ids of a text are the ids of its splits in order.
-Texts are cut at white space where such a cut is certain to be a split, and every distinct piece is encoded by the library
-once per worker. A text in which the cut isn't certain (unusual white space, special-token markers) is encoded whole.
+Texts are cut at white space, where a cut is always a split, into units; Arrow finds the distinct units of a slice of texts and
+every unit that isn't known yet is encoded by the library. Units of letters go to the file's own merges in joined strings:
+merges act within a unit only, since no entry of the vocabulary crosses the boundary, and the ids that begin (or end) a unit show
+where each one stands. A text with unusual white space or special-token markers is encoded whole.
+
+What is known is held to a number of bytes: beyond it the most used half stays. When a task ends, a small head stays alone, so that
+a worker that goes on to other work holds little.
 """
 
 from __future__ import annotations
 
+import json
 import os
-from array import array
+import re
+from collections.abc import Iterator
+from contextlib import contextmanager
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: White space other than blank and line feed, as any of the libraries sees it, and what may be white space to one of them.
-_ODD = frozenset(map(chr, [*range(9), *range(11, 32), 0x7F, 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF]))
+#: White space other than blank, tab and line feed, as any of the libraries sees it, and what may be white space to one of them.
+_ODD = "".join(map(chr, [*range(9), *range(11, 32), 0x7F, 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF]))
+_WHOLE = "[" + "".join(f"\\x{{{ord(c):X}}}" for c in _ODD) + r"]|<\|"
+#: White space of which more than single blanks and line feeds between words must be told apart.
+_SPACED = r"\A[ \t\n]|[ \t\n][ \t\n]|[ \t\n]\z|\t"
+_UNIT = re.compile(r" ?[^ \t\n]+|[ \t\n]+(?![^ \t\n])|[ \t\n]+")
 #: ASCII marks that each of the files splits off letters, in runs; the apostrophe has rules of its own.
 _MARKS = ".,!?;:*#%&$|"
+#: Where the last letters of words stand in the files that mark word ends: one private character for each byte.
+_FINAL = 0xE000
+_JOINED = 64
+_SLICE_BYTES = 1 << 23
+_NONE = np.zeros(0, np.uint32)
+#: Bytes of a unit's string, table entry and numbers beside its letters and ids.
+_ENTRY = 180
 
 MODES = ("attached", "words")
 
 
-def _byte_letters() -> dict[int, str]:
-    """Byte to the printable letter that byte-level files write for it: printable bytes stand for themselves, others move up from 256."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    moved = (b for b in range(256) if b not in set(plain))
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(moved)}
+def _byte_letters() -> np.ndarray:
+    """Byte to the code of the printable letter that byte-level files write for it: printable bytes stand for themselves, others move up from 256."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    moved = [b for b in range(256) if b not in plain]
+    return np.array([b if b in plain else 256 + moved.index(b) for b in range(256)], np.uint16)
+
+
+_LETTERS = _byte_letters()
+_BLANK = chr(_LETTERS[32])
 
 
-class _Units(dict):
-    """Unit to its number; a new unit gets the next number and is noted."""
+def _marked(entry: str, suffix: str) -> str:
+    """An entry of a file that marks word ends, its last letter replaced by the private one."""
+    if not suffix or not entry.endswith(suffix) or entry == suffix:
+        return entry
+    last = int(np.flatnonzero(_LETTERS == ord(entry[-len(suffix) - 1]))[0])
+    return entry[: -len(suffix) - 1] + chr(_FINAL + last)
 
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
 
-    def __missing__(self, unit: str) -> int:
-        n = self[unit] = len(self)
-        self.new.append(unit)
-        return n
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places starts[i], starts[i] + 1, ... up to lengths[i] of them, for each i in turn."""
+    done = np.cumsum(lengths)
+    return np.arange(int(done[-1]) if len(done) else 0) + np.repeat(starts - (done - lengths), lengths)
 
 
 class CachedEncoder:
     """Encodes texts; mode 'attached': a blank belongs to the word after it; 'words': white space is dropped."""
 
-    def __init__(self, path: str, mode: str, max_cached: int = 500_000):
+    def __init__(self, path: str, mode: str, max_bytes: int = 96 << 20):
         if mode not in MODES:
             raise ValueError(f"mode is one of {MODES}")
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.tokenize = self.library.model.tokenize
         self.attached = mode == "attached"
-        self.letters = _byte_letters()
-        self.max_cached = max_cached
+        self.max_bytes = max_bytes
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        suffix = model.get("end_of_word_suffix") or ""
+        special = {t.content for t in self.library.get_added_tokens_decoder().values()}
+        vocab = {entry if entry in special else _marked(entry, suffix): i for entry, i in model["vocab"].items()}
+        pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
+        self.merges = models.BPE(vocab=vocab, merges=[(_marked(a, suffix), _marked(b, suffix)) for a, b in pairs], cache_capacity=0)
+        self.edge = np.zeros(max(vocab.values()) + 1, bool)  # ids that begin a unit, or that end one
+        for entry, i in vocab.items():
+            self.edge[i] = entry not in special and (entry.startswith(_BLANK) if self.attached else ord(entry[-1]) >= _FINAL)
         self._reset()
 
     def _reset(self) -> None:
-        self.known = _Units()
-        self.pieces: dict[str, bytes] = {}
-        self.start = np.zeros(1024, np.int64)
-        self.length = np.zeros(1024, np.int64)
+        self.known: tuple[dict[str, int], dict[str, int]] = ({}, {})  # units without and with a blank before them
+        self.n = 0
+        self.start, self.length, self.uses = (np.zeros(1024, np.int64) for _ in range(3))
         self.flat = np.zeros(8192, np.uint32)
-        self.used = 0
+        self.used = self.bytes = 0
 
     @staticmethod
     def _grown(a: np.ndarray, n: int) -> np.ndarray:
@@ -74,90 +108,233 @@ class CachedEncoder:
         out[: len(a)] = a
         return out
 
-    def _whole(self, text: str) -> bytes:
-        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def _letters(self, word: str, blank: bool) -> bytes:
-        """Ids of a run of letters with or without the blank before it: one split, so the merges apply to it directly."""
-        if word.isascii():
-            plain = word if self.attached else word.lower()
-        else:
-            plain = word if self.attached else self.library.normalizer.normalize_str(word)
-            if not plain.isalpha():
-                return self._whole(word)
-            plain = plain.encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.tokenize("\u0120" + plain if blank else plain)]).tobytes()
-
-    def _unit(self, unit: str, blank: bool) -> bytes:
-        """Ids of what stands between white space, in mode 'attached' with the blank before it."""
-        core = unit.rstrip(_MARKS)
-        if not core.isalpha():
-            if "\n" in unit:
-                first, *lines = unit.split("\n")
-                return self._unit(first, blank) + b"".join(self._piece("\n", False) + self._unit(x, False) for x in lines)
-            return self._whole(" " + unit if blank else unit)
-        ids = self._piece(core, blank)
-        return ids + self._piece(unit[len(core) :], False) if len(core) < len(unit) else ids
-
-    def _piece(self, piece: str, blank: bool) -> bytes:
-        key = " " + piece if blank else piece
-        if (ids := self.pieces.get(key)) is None:
-            ids = self.pieces[key] = self._letters(piece, blank) if piece.isalpha() else self._whole(piece)
-        return ids
-
-    def _learn(self) -> None:
-        units, blank, pieces = self.known.new, self.attached, self.pieces
-        found: list[bytes] = []
-        for u in units:
-            if u.isalpha():
-                key = " " + u if blank else u
-                if (ids := pieces.get(key)) is None:
-                    ids = pieces[key] = self._letters(u, blank)
-                found.append(ids)
-            else:
-                found.append(self._unit(u, blank))
-        n, total = len(self.known) - len(units), sum(map(len, found)) // 4
-        self.start, self.length, self.flat = self._grown(self.start, n + len(units)), self._grown(self.length, n + len(units)), self._grown(self.flat, self.used + total)
-        length = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        self.length[n : n + len(units)] = length
-        self.start[n : n + len(units)] = self.used + np.cumsum(length) - length
-        self.flat[self.used : self.used + total] = np.frombuffer(b"".join(found), np.uint32)
-        self.used += total
-        self.known.new = []
-
-    def _certain(self, text: str) -> bool:
-        if "<|" in text or not _ODD.isdisjoint(set(text)):
-            return False
-        return not self.attached or not (text[:1] in " \n" or text[-1:] in " \n" or "  " in text or "\n\n" in text or " \n" in text or "\n " in text)
+    def _whole(self, units: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.library.encode_batch(units, add_special_tokens=False)]
+
+    def _written(self, words: pa.Array, joined: bool) -> tuple[str, np.ndarray]:
+        """Words of letters, one after the other as the file's merges take them, and where each ends."""
+        if self.attached and joined:
+            words = pc.binary_join_element_wise("", words, " ")
+        wide = np.int64 if pa.types.is_large_string(words.type) else np.int32
+        offsets = np.frombuffer(words.buffers()[1], wide)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+        raw, ends = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets[1:] - offsets[0]
+        codes = _LETTERS[raw]
+        if not self.attached:
+            codes[ends - 1] = _FINAL + raw[ends - 1].astype(np.uint16)
+        return codes.astype("<u2").tobytes().decode("utf-16-le"), ends
+
+    def _letters(self, words: pa.Array, joined: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of letters alone one after the other, and their number for each word."""
+        if not len(words):
+            return _NONE, np.zeros(0, np.int64)
+        text, ends = self._written(words, joined)
+        step = _JOINED if joined else 1
+        found, lengths = [], []
+        at = 0
+        for a in range(0, len(ends), step):
+            part = ends[a : a + step]
+            ids = np.array([t.id for t in self.merges.tokenize(text[at : part[-1]])], np.uint32)
+            at = part[-1]
+            found.append(ids)
+            if not joined:
+                lengths.append([len(ids)])
+                continue
+            edges = np.flatnonzero(self.edge[ids])
+            if len(edges) != len(part):
+                raise ValueError("the file's merges cross words")
+            lengths.append(np.diff(edges, append=len(ids)) if self.attached else np.diff(edges, prepend=-1))
+        return np.concatenate(found), np.concatenate(lengths).astype(np.int64)
+
+    def _plain(self, cores: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The words as the file's normaliser writes them, and whether that is letters alone."""
+        sure = pc.ascii_is_alpha(cores).to_numpy(zero_copy_only=False).copy()
+        plain = cores if self.attached else pc.ascii_lower(cores)
+        other = np.flatnonzero(~sure & ~pc.string_is_ascii(cores).to_numpy(zero_copy_only=False))
+        if len(other):
+            words = cores.take(pa.array(other)).to_pylist()
+            letters = np.array([w.isalpha() for w in words])
+            if not self.attached and letters.any():
+                asked = [w for w, x in zip(words, letters.tolist(), strict=True) if x]
+                normal = self.library.normalizer.normalize_str("\n".join(asked)).split(" ")
+                if len(normal) != len(asked):
+                    normal = [self.library.normalizer.normalize_str(w) for w in asked]
+                letters[letters] = [w.isalpha() for w in normal]
+                swapped = np.zeros(len(plain), bool)
+                swapped[other[letters]] = True
+                plain = pc.replace_with_mask(plain, pa.array(swapped), pa.array([w for w in normal if w.isalpha()], plain.type))
+            sure[other] = letters
+        return plain, sure
+
+    def _learn(self, units: pa.Array, names: list[str], joined: bool) -> None:
+        """Notes the ids of distinct units that aren't known: words without their marks are encoded once, units with marks put together."""
+        known = self.known[joined]
+        cores = pc.ascii_rtrim(units, characters=_MARKS)
+        tail = pc.subtract(pc.binary_length(units), pc.binary_length(cores)).to_numpy()
+        coded = cores.dictionary_encode()
+        core_of, cores = coded.indices.to_numpy(), coded.dictionary
+        start, length = np.zeros(len(cores), np.int64), np.zeros(len(cores), np.int64)
+        todo, sure = np.ones(len(cores), bool), np.ones(len(cores), bool)
+        asked = pc.ascii_is_alpha(cores).to_numpy(zero_copy_only=False).copy()  # words that may be known as units
+        asked[core_of[tail == 0]] = False
+        held = np.flatnonzero(asked)
+        at = np.fromiter(map(known.get, cores.take(pa.array(held)).to_numpy(zero_copy_only=False).tolist(), repeat(-1)), np.int64, len(held))
+        held, at = held[at >= 0], at[at >= 0]
+        start[held], length[held], todo[held] = self.start[at], self.length[at], False
+        rest = np.flatnonzero(todo)
+        plain, letters = self._plain(cores.take(pa.array(rest)))
+        sure[rest] = letters
+        ids, n = self._letters(plain.filter(pa.array(letters)), joined or not self.attached)
+        start[rest[letters]], length[rest[letters]] = self._append(ids, n), n
+        unit_start, unit_length = start[core_of], length[core_of]
+        whole = np.flatnonzero(~sure[core_of])
+        if len(whole):
+            found = self._whole([" " + names[i] if joined else names[i] for i in whole.tolist()])
+            unit_length[whole] = n = np.array([len(x) for x in found], np.int64)
+            unit_start[whole] = self._append(np.concatenate(found), n)
+        long = np.flatnonzero(sure[core_of] & (tail > 0))
+        if len(long):
+            marks = [names[i][-k:] for i, k in zip(long.tolist(), tail[long].tolist(), strict=True)]
+            number = {m: k for k, m in enumerate(dict.fromkeys(marks))}
+            found = self._whole(list(number))
+            n = np.array([len(x) for x in found], np.int64)
+            first, which = self._append(np.concatenate(found), n), np.array([number[m] for m in marks])
+            pairs = np.stack([unit_length[long], n[which]], 1)
+            ids = self.flat[_ranges(np.stack([unit_start[long], first[which]], 1).ravel(), pairs.ravel())]
+            unit_length[long] = pairs.sum(1)
+            unit_start[long] = self._append(ids, unit_length[long])
+        self._note(names, joined, unit_start, unit_length)
+
+    def _append(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Where each run of ids starts, once it stands at the end of flat."""
+        self.flat = self._grown(self.flat, self.used + len(ids))
+        self.flat[self.used : self.used + len(ids)] = ids
+        starts = self.used + np.cumsum(lengths) - lengths
+        self.used += len(ids)
+        self.bytes += 4 * len(ids)
+        return starts
+
+    def _note(self, names: list[str], joined: bool, starts: np.ndarray, lengths: np.ndarray) -> None:
+        n, m = self.n, self.n + len(names)
+        self.start, self.length, self.uses = self._grown(self.start, m), self._grown(self.length, m), self._grown(self.uses, m)
+        self.start[n:m], self.length[n:m], self.uses[n:m] = starts, lengths, 0
+        self.known[joined].update(zip(names, range(n, m), strict=True))
+        self.n = m
+        self.bytes += sum(map(len, names)) + _ENTRY * len(names)
+
+    def keep(self, max_bytes: int) -> None:
+        """Forgets all but the most used units, so that they take at most max_bytes."""
+        if self.bytes <= max_bytes:
+            return
+        was, start, length, uses, flat = self.known, self.start, self.length, self.uses, self.flat
+        sizes = np.zeros(self.n, np.int64)
+        for known in was:
+            sizes[np.fromiter(known.values(), np.int64, len(known))] = np.fromiter(map(len, known), np.int64, len(known))
+        order = np.argsort(-uses[: self.n], kind="stable")
+        kept = np.zeros(self.n, bool)
+        kept[order[np.cumsum((sizes + _ENTRY + 4 * length[: self.n])[order]) <= max_bytes]] = True
+        self._reset()
+        for joined, known in enumerate(was):
+            names = [u for u, i in known.items() if kept[i]]
+            at = np.fromiter((known[u] for u in names), np.int64, len(names))
+            first = self.n
+            self._note(names, bool(joined), self._append(flat[_ranges(start[at], length[at])], length[at]), length[at])
+            self.uses[first : self.n] = uses[at] // 2
+
+    def _numbers(self, units: pa.Array, joined: bool) -> np.ndarray:
+        """The number of each unit; joined: with a blank before it."""
+        coded = units.dictionary_encode()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known = self.known[joined]
+        at = np.fromiter(map(known.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            first = self.n
+            self._learn(coded.dictionary.take(pa.array(new)), [names[i] for i in new.tolist()], joined)
+            at[new] = np.arange(first, self.n)
+        codes = coded.indices.to_numpy()
+        self.uses[at] += np.bincount(codes, minlength=len(names))
+        return at[codes]
+
+    def _gathered(self, numbers: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+        """The ids of the texts whose units end at the given places."""
+        n = self.length[numbers]
+        out = self.flat[_ranges(self.start[numbers], n)]
+        bounds = np.append(0, np.cumsum(n))[ends].tolist()
+        return [out[a:b] for a, b in zip([0, *bounds], bounds, strict=False)]
+
+    def _cut(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of texts that can be cut at white space."""
+        if not self.attached:
+            lists = pc.ascii_split_whitespace(texts)
+            numbers = self._numbers(lists.flatten(), False)
+            return self._gathered(numbers, lists.offsets.to_numpy()[1:])
+        spaced = pc.match_substring_regex(texts, _SPACED).to_numpy(zero_copy_only=False)
+        if spaced.any():
+            out = np.empty(len(texts), object)
+            out[~spaced] = _boxed(self._cut(texts.filter(pa.array(~spaced))))
+            found = [_UNIT.findall(t) for t in texts.filter(pa.array(spaced)).to_pylist()]
+            numbers = np.empty(sum(map(len, found)), np.int64)
+            joined = np.array([u[:1] == " " and u != " " for units in found for u in units], bool)
+            for k in (False, True):
+                numbers[joined == k] = self._numbers(pa.array([u[k:] for units in found for u in units if (u[:1] == " " and u != " ") == k], texts.type), k)
+            out[spaced] = _boxed(self._gathered(numbers, np.cumsum([len(units) for units in found])))
+            return list(out)
+        lines = pc.split_pattern(pc.replace_substring(texts, "\n", "\0\n\0"), "\0")  # a line feed between words is a unit
+        words = pc.split_pattern(lines.flatten(), " ")
+        flat, first = words.flatten(), words.offsets.to_numpy()
+        begins = np.zeros(len(flat), bool)
+        begins[first[:-1]] = True
+        numbers = np.empty(len(flat), np.int64)
+        numbers[~begins] = self._numbers(flat.filter(pa.array(~begins)), True)
+        numbers[begins] = self._numbers(flat.filter(pa.array(begins)), False)
+        return self._gathered(numbers, first[lines.offsets.to_numpy()[1:]])
+
+    def encode_all(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of whole texts, uint32, one text after the other."""
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size < _SLICE_BYTES):
+                size += len(texts[end])
+                end += 1
+            yield from self._slice(pa.array(texts[at:end], pa.large_string() if size > 1 << 28 else pa.string()))
+            at = end
+            if self.bytes > self.max_bytes:
+                self.keep(self.max_bytes // 2)
+
+    def _slice(self, texts: pa.Array) -> list[np.ndarray]:
+        whole = pc.match_substring_regex(texts, _WHOLE).to_numpy(zero_copy_only=False)
+        out = np.empty(len(texts), object)
+        if not whole.all():
+            out[~whole] = _boxed(self._cut(texts.filter(pa.array(~whole)) if whole.any() else texts))
+        if whole.any():
+            out[whole] = _boxed(self._whole(texts.filter(pa.array(whole)).to_pylist()))
+        return list(out)
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of one whole text, uint32."""
-        if not self._certain(text):
-            return np.frombuffer(self._whole(text), np.uint32)
-        first = b""
-        if self.attached:
-            head, *units = text.split(" ")
-            first = self._unit(head, False)
-        else:
-            units = text.split()
-        if not units:
-            return np.frombuffer(first, np.uint32)
-        if len(self.known) + len(self.pieces) > 2 * self.max_cached:
-            self._reset()
-        at = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
-        if self.known.new:
-            self._learn()
-        n = self.length[at]
-        ends = np.cumsum(n)
-        out = self.flat[np.arange(ends[-1]) + np.repeat(self.start[at] - (ends - n), n)]
-        return np.concatenate([np.frombuffer(first, np.uint32), out]) if first else out
+        return next(self.encode_all([text]))
+
+
+def _boxed(arrays: list[np.ndarray]) -> np.ndarray:
+    out = np.empty(len(arrays), object)
+    for i, a in enumerate(arrays):
+        out[i] = a
+    return out
 
 
 _ENCODERS: dict[tuple[str, str], CachedEncoder] = {}
+_HEAD_BYTES = 8 << 20
 
 
-def encoder(path: str, mode: str, max_cached: int = 500_000) -> CachedEncoder:
-    """One encoder per worker process and file; it stays there with what it has cached."""
+@contextmanager
+def encoder(path: str, mode: str, max_bytes: int = 96 << 20) -> Iterator[CachedEncoder]:
+    """This worker's encoder of a file. It holds max_bytes of known units at most, and 8 MB (the most used) once the task is done."""
     if (path, mode) not in _ENCODERS:
-        _ENCODERS[path, mode] = CachedEncoder(path, mode, max_cached)
-    return _ENCODERS[path, mode]
+        _ENCODERS.clear()
+        _ENCODERS[path, mode] = CachedEncoder(path, mode, max_bytes)
+    held = _ENCODERS[path, mode]
+    try:
+        yield held
+    finally:
+        held.keep(_HEAD_BYTES)

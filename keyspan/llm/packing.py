@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,20 +36,31 @@ PLACED = T.StructType([T.StructField("sequence_id", T.LongType()), T.StructField
 def cut_documents(docs: DataFrame, path: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece; k numbers the pieces of one length within the partition pid."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, pid, seen = encoder(path, "words", 150_000), TaskContext.get().partitionId(), Counter()
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["i"], batch["t"], strict=True):
-                ids = np.append(enc.encode(text), np.uint32(end_id)).astype("<u4")
-                for piece, at in enumerate(range(0, len(ids), capacity)):
-                    part = ids[at : at + capacity]
-                    rows.append((doc_id, piece, at, len(part), zlib.crc32(part.tobytes()), pid, seen[len(part)]))
-                    seen[len(part)] += 1
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "pid", "k"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pid, seen = TaskContext.get().partitionId(), Counter()
+        with encoder(path, "words") as enc:
+            for batch in batches:
+                rows: list[list] = [[] for _ in range(6)]
+                doc, number, start, length, crc, rank = rows
+                for doc_id, ids in zip(batch["i"].to_pylist(), enc.encode_all(batch["t"].to_pylist()), strict=True):
+                    ids = np.append(ids, np.uint32(end_id)).astype("<u4", copy=False)
+                    for piece, at in enumerate(range(0, len(ids), capacity)):
+                        part = ids[at : at + capacity]
+                        n = len(part)
+                        doc.append(doc_id)
+                        number.append(piece)
+                        start.append(at)
+                        length.append(n)
+                        crc.append(zlib.crc32(part))
+                        rank.append(seen[n])
+                        seen[n] += 1
+                types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+                arrays = [pa.array(x, t) for x, t in zip(rows, types, strict=True)]
+                arrays.insert(5, pa.array([pid] * len(doc), pa.int32()))
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "piece", "start", "length", "ids_crc32", "pid", "k"])
 
     source = docs.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    return source.mapInPandas(run, PIECES)
+    return source.mapInArrow(run, PIECES)
 
 
 def best_two_fit(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
@@ -70,7 +82,7 @@ def best_two_fit(counts: dict[int, int], capacity: int) -> list[tuple[list[int],
             used[sizes[at]] += 1
             gap -= sizes[at]
         smallest = bin_[-1]
-        if gap and len(bin_) > 1:
+        if gap:
             pair = tightest_pair([n for n in sizes if n <= gap + smallest], spare, gap + smallest)
             if pair and sum(pair) > smallest:
                 bin_[-1:] = pair

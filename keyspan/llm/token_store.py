@@ -21,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,32 +55,44 @@ def _first_powers(n: int, base: int) -> np.ndarray:
     return _power_table(1 << max(12, (n - 1).bit_length()), base)[:n]
 
 
-def cut_points(ids: np.ndarray, mean: int = 512, least: int = 64, most: int = 4096) -> list[int]:
-    """Ends of the chunks: where the hash of the last 16 ids says so, between least and most ids after the last cut."""
+def cut_all(ids: np.ndarray, ends: np.ndarray, mean: int = 512, least: int = 64, most: int = 4096) -> list[list[int]]:
+    """For each of the documents that stand one after the other in ids, the ends of its chunks, counted from its first id: where
+    the hash of the document's last 16 ids says so, between least and most ids after the last cut."""
+    begins = np.append(0, ends[:-1])
     n = len(ids)
-    if n <= least:
-        return [n] if n else []
     with np.errstate(over="ignore"):
         mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
         mixed ^= mixed >> np.uint64(29)
-        sums = np.cumsum(mixed * _first_powers(n, _MULTIPLIER), dtype=np.uint64)
-        sums[_WINDOW:] -= sums[:-_WINDOW].copy()
-        hashed = sums * _first_powers(n, _INVERSE) * np.uint64(0x94D049BB133111EB)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(mixed * _first_powers(n, _MULTIPLIER), dtype=np.uint64, out=sums[1:])
+        first = np.repeat(begins, ends - begins)  # a window doesn't reach into the document before
+        hashed = (sums[1:] - sums[np.maximum(np.arange(1 - _WINDOW, n + 1 - _WINDOW), first)]) * _first_powers(n, _INVERSE) * np.uint64(0x94D049BB133111EB)
     marks = np.flatnonzero((hashed >> np.uint64(32)) % np.uint64(mean) == 0) + 1
-    cuts, last = [], 0
-    for m in marks.tolist():
-        while m - last > most:
+    bounds = np.searchsorted(marks, begins, "right").tolist()
+    marks = marks.tolist()
+    out = []
+    for k, (begin, end) in enumerate(zip(begins.tolist(), ends.tolist(), strict=True)):
+        cuts, last = [], begin
+        for i in range(bounds[k], bounds[k + 1] if k + 1 < len(bounds) else len(marks)):
+            m = marks[i]
+            while m - last > most:
+                last += most
+                cuts.append(last - begin)
+            if m - last >= least:
+                cuts.append(m - begin)
+                last = m
+        while end - last > most:
             last += most
-            cuts.append(last)
-        if m - last >= least:
-            cuts.append(m)
-            last = m
-    while n - last > most:
-        last += most
-        cuts.append(last)
-    if last < n:
-        cuts.append(n)
-    return cuts
+            cuts.append(last - begin)
+        if last < end:
+            cuts.append(end - begin)
+        out.append(cuts)
+    return out
+
+
+def cut_points(ids: np.ndarray) -> list[int]:
+    """Ends of the chunks of one document."""
+    return cut_all(ids, np.array([len(ids)]))[0] if len(ids) else []
 
 
 def _digest(data: bytes) -> bytes:
@@ -89,23 +102,44 @@ def _digest(data: bytes) -> bytes:
 def encode_documents(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document with its chunks; ENCODED."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def stored(doc_ids: list, documents: list[np.ndarray], pack) -> pa.RecordBatch:
+        ids = np.concatenate(documents).astype("<u4", copy=False)
+        ends = np.cumsum([len(d) for d in documents])
+        digests, lengths, widths, payloads, first = [], [], [], [], [0]
+        for begin, cuts in zip(np.append(0, ends[:-1]).tolist(), cut_all(ids, ends), strict=True):
+            last = begin
+            for cut in cuts:
+                part = ids[last : begin + cut]
+                last = begin + cut
+                width = 2 if part.max() < 65536 else 4
+                digests.append(_digest(part))
+                lengths.append(len(part))
+                widths.append(width)
+                payloads.append(pack.compress(part.astype("<u2") if width == 2 else part))
+            first.append(len(digests))
+        offsets = pa.array(first, pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x, t)) for x, t in ((digests, pa.binary()), (lengths, pa.int32()), (widths, pa.int32()), (payloads, pa.binary()))]
+        return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array([len(d) for d in documents], pa.int64()), *lists], ["doc_id", "n_tokens", "digests", "lengths", "widths", "payloads"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        enc, pack = encoder(path, "attached"), zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["i"], batch["t"], strict=True):
-                ids = np.append(enc.encode(text), np.uint32(end_id)).astype("<u4")
-                width = 2 if ids.max() < 65536 else 4
-                small = ids.astype("<u2") if width == 2 else ids
-                ends = cut_points(ids)
-                begins = [0, *ends[:-1]]
-                rows.append((doc_id, len(ids), [_digest(ids[a:b].tobytes()) for a, b in zip(begins, ends, strict=True)], [b - a for a, b in zip(begins, ends, strict=True)], [width] * len(ends), [pack.compress(small[a:b].tobytes()) for a, b in zip(begins, ends, strict=True)]))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "digests", "lengths", "widths", "payloads"])
+        pack = zstandard.ZstdCompressor(level=1)
+        with encoder(path, "attached") as enc:
+            for batch in batches:
+                doc_ids, documents, size = [], [], 0
+                for doc_id, ids in zip(batch["i"].to_pylist(), enc.encode_all(batch["t"].to_pylist()), strict=True):
+                    doc_ids.append(doc_id)
+                    documents.append(np.append(ids, np.uint32(end_id)))
+                    size += len(ids) + 1
+                    if size > 1 << 20:
+                        yield stored(doc_ids, documents, pack)
+                        doc_ids, documents, size = [], [], 0
+                if documents:
+                    yield stored(doc_ids, documents, pack)
 
     source = docs.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    return source.mapInPandas(run, ENCODED)
+    return source.mapInArrow(run, ENCODED)
 
 
 def merkle_root(leaves: list[bytes]) -> bytes:
@@ -152,6 +186,7 @@ def write_store(docs: DataFrame, where: str, path: str, end_id: int) -> None:
     roots.withColumn("start", before).coalesce(1).write.parquet(f"{where}/manifest")
 
 
+@lru_cache(1)
 def _shift_tables(bits: int = 48) -> np.ndarray:
     """[bit, byte, value]: the CRC-32 register after 2**bit zero bytes, for each byte of the register before."""
     table = np.array([zlib.crc32(bytes([i])) ^ zlib.crc32(b"\0") for i in range(256)], np.uint32)

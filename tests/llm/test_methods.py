@@ -21,7 +21,7 @@ ADVERSE = ["", " ", "\n", " \n ", "a  b", "a \n b", "a\n\nb", " a", "a ", "it's
 def test_encoder_is_the_library(spark, name, mode):
     import public_tokenizers
 
-    enc = encoding.CachedEncoder(public_tokenizers.path(name), mode, max_cached=500)
+    enc = encoding.CachedEncoder(public_tokenizers.path(name), mode, max_bytes=20_000)
     texts = ADVERSE + [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
     assert [t for t in texts if enc.encode(t).tolist() != enc.library.encode(t, add_special_tokens=False).ids] == []
 
