@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from keyspan.llm import components, embeddings, encoding, html, language, lm, minhash, mixing, packing, quality, token_store, topk, words
+from keyspan.llm import components, embeddings, encoding, language, lm, minhash, mixing, packing, quality, token_store, topk, words
 from keyspan.llm.common import Scratch
 from tests.conftest import SF
 
@@ -270,24 +270,3 @@ def test_lm_packs_every_position(spark):
     assert max(len(c) for _, c in got) <= lm.SAMPLE
     assert np.array_equal(np.concatenate([f for f, _ in got]), np.concatenate([lm.context_features(h, p) for h, _ in tokens]))
     assert np.array_equal(np.concatenate([c for _, c in got]), np.concatenate([lm.surface_class(e, p) for _, e in tokens]))
-
-
-PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><div class="cookie-notice">We use cookies</div><header><h1>Site</h1><nav><a href=/>Home</a></nav></header>
-<div id="content" class="post post-12"><h1>Title &amp; more</h1><p>One <b>bold</b> word<br>next.<p>Two<ul><li>first<li>second</ul><div class="ad">Buy</div><aside>side</aside><form><input>Send</form>
-<pre> x   y </pre><!-- hidden --><script>if (a < b) { "</p>" }</script><section class="comments"><p>reader says</section></div><footer>foot</footer></body></html>"""
-
-
-def test_extraction():
-    want = "Title & more\n\nOne bold word next.\n\nTwo\n\nfirst\n\nsecond\n\nx y"
-    assert html.extract(PAGE, None) == html.extract(PAGE, html.vote(PAGE)[0]) == html.extract(PAGE, "/nowhere") == want
-    for cut in range(0, len(PAGE), 7):
-        html.extract(PAGE[:cut], None)
-
-
-def test_host_consensus(spark):
-    odd = "<body><div class=main><p>short</div><div class=menu-list><p>" + "x " * 300 + "</div></body>"
-    usual = "<body><div class=main><p>" + "text " * 50 + "</div><div class=other><p>y</div></body>"
-    heavy = "<body><div class=main><p>short text</div><div class=other><p>" + "link farm " * 90 + "</div></body>"
-    rows = [(i, f"http://h.example/{i}", usual) for i in range(5)] + [(9, "http://h.example/9", heavy), (10, "http://h.example/10", odd)]
-    got = {r["page_id"]: r["text"] for r in html.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).select("row.page_id", "text").collect()}
-    assert got[9] == "short text" and got[10] == "short"
