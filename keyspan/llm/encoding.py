@@ -34,7 +34,7 @@ _MARKS = ".,!?;:*#%&$|"
 #: Where the last letters of words stand in the files that mark word ends: one private character for each byte.
 _FINAL = 0xE000
 _JOINED = 64
-_SLICE_BYTES = 1 << 23
+_SLICE_BYTES = 1 << 21
 _NONE = np.zeros(0, np.uint32)
 #: Bytes of a unit's string, table entry and numbers beside its letters and ids.
 _ENTRY = 180
@@ -70,7 +70,7 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class CachedEncoder:
     """Encodes texts; mode 'attached': a blank belongs to the word after it; 'words': white space is dropped."""
 
-    def __init__(self, path: str, mode: str, max_bytes: int = 96 << 20):
+    def __init__(self, path: str, mode: str, max_bytes: int = 40 << 20):
         if mode not in MODES:
             raise ValueError(f"mode is one of {MODES}")
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -289,15 +289,17 @@ class CachedEncoder:
         numbers[begins] = self._numbers(flat.filter(pa.array(begins)), False)
         return self._gathered(numbers, first[lines.offsets.to_numpy()[1:]])
 
-    def encode_all(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """The ids of whole texts, uint32, one text after the other."""
+    def encode_all(self, texts: pa.Array | list[str]) -> Iterator[np.ndarray]:
+        """The ids of whole texts, uint32, one text after the other; none is null."""
+        if isinstance(texts, list):
+            texts = pa.array(texts, pa.large_string())
+        bounds = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
         at = 0
         while at < len(texts):
-            end, size = at, 0
-            while end < len(texts) and (end == at or size < _SLICE_BYTES):
-                size += len(texts[end])
-                end += 1
-            yield from self._slice(pa.array(texts[at:end], pa.large_string() if size > 1 << 28 else pa.string()))
+            done = int(bounds[at - 1]) if at else 0
+            end = max(at + 1, int(np.searchsorted(bounds, done + _SLICE_BYTES, "right")))
+            part = pc.take(texts, pa.array(np.arange(at, end)))  # a copy whose offsets start at its first text
+            yield from self._slice(part.cast(pa.string()) if int(bounds[end - 1]) - done < 1 << 28 else part.cast(pa.large_string()))
             at = end
             if self.bytes > self.max_bytes:
                 self.keep(self.max_bytes // 2)
@@ -324,12 +326,12 @@ def _boxed(arrays: list[np.ndarray]) -> np.ndarray:
 
 
 _ENCODERS: dict[tuple[str, str], CachedEncoder] = {}
-_HEAD_BYTES = 8 << 20
+_HEAD_BYTES = 6 << 20
 
 
 @contextmanager
-def encoder(path: str, mode: str, max_bytes: int = 96 << 20) -> Iterator[CachedEncoder]:
-    """This worker's encoder of a file. It holds max_bytes of known units at most, and 8 MB (the most used) once the task is done."""
+def encoder(path: str, mode: str, max_bytes: int = 40 << 20) -> Iterator[CachedEncoder]:
+    """This worker's encoder of a file. It holds max_bytes of known units at most, and 6 MB (the most used) once the task is done."""
     if (path, mode) not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[path, mode] = CachedEncoder(path, mode, max_bytes)
@@ -338,3 +340,4 @@ def encoder(path: str, mode: str, max_bytes: int = 96 << 20) -> Iterator[CachedE
         yield held
     finally:
         held.keep(_HEAD_BYTES)
+        pa.default_memory_pool().release_unused()

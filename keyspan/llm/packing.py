@@ -42,7 +42,7 @@ def cut_documents(docs: DataFrame, path: str, end_id: int, capacity: int, id_col
             for batch in batches:
                 rows: list[list] = [[] for _ in range(6)]
                 doc, number, start, length, crc, rank = rows
-                for doc_id, ids in zip(batch["i"].to_pylist(), enc.encode_all(batch["t"].to_pylist()), strict=True):
+                for doc_id, ids in zip(batch["i"].to_pylist(), enc.encode_all(batch["t"]), strict=True):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4", copy=False)
                     for piece, at in enumerate(range(0, len(ids), capacity)):
                         part = ids[at : at + capacity]

@@ -128,7 +128,7 @@ def encode_documents(docs: DataFrame, path: str, end_id: int, id_col: str = "doc
         with encoder(path, "attached") as enc:
             for batch in batches:
                 doc_ids, documents, size = [], [], 0
-                for doc_id, ids in zip(batch["i"].to_pylist(), enc.encode_all(batch["t"].to_pylist()), strict=True):
+                for doc_id, ids in zip(batch["i"].to_pylist(), enc.encode_all(batch["t"]), strict=True):
                     doc_ids.append(doc_id)
                     documents.append(np.append(ids, np.uint32(end_id)))
                     size += len(ids) + 1
