@@ -103,7 +103,7 @@ def argv(shell: Column, words: Column) -> Column:
 
 def truncate(text: Column, n: int) -> Column:
     """At most n bytes stay whole; longer texts keep the whole characters of their first n - 1 bytes, then an ellipsis."""
-    sizes = F.transform(F.split(text, ""), lambda c: F.octet_length(c))
+    sizes = F.transform(F.split(F.substring(text, 1, n), ""), lambda c: F.octet_length(c))  # no more characters can stay
     keep = F.aggregate(sizes, F.struct(F.lit(0).alias("bytes"), F.lit(0).alias("chars")), lambda a, s: F.when((s > 0) & (a["bytes"] >= 0) & (a["bytes"] + s <= n - 1), F.struct((a["bytes"] + s).alias("bytes"), (a["chars"] + 1).alias("chars"))).otherwise(F.struct(F.lit(-1 << 30).alias("bytes"), a["chars"].alias("chars"))))
     return F.when(F.octet_length(text) <= n, text).otherwise(F.concat(F.substring(text, F.lit(1), keep["chars"]), F.lit("…")))
 

@@ -7,63 +7,80 @@ from collections import deque
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyspan.plans.scratch import written
+from keyspan.plans.scratch import numbered, written
 
-#: Graphs of up to this many commits are walked on the driver (hash and parents only); larger ones level by level in Spark.
+#: Graphs of up to this many commits are walked on the driver (hash and parents only); larger ones level by level in Spark, in the same order.
 DRIVER_COMMITS = 200_000
+RANKED = "hash string, depth int, rank long"
 
 
 class HistoryError(ValueError):
     """A commit or reference that can't be resolved."""
 
 
-def ancestors(commits: DataFrame, start: str | list[str], driver_commits: int = DRIVER_COMMITS) -> DataFrame:
-    """hash, depth, rank of all commits that the starts reach, themselves included; rank is the order of discovery."""
-    starts = [start] if isinstance(start, str) else list(start)
-    spark, slim = commits.sparkSession, commits.select("hash", "parents")
-    if slim.limit(driver_commits + 1).count() > driver_commits:
-        return _ancestors_by_level(slim, starts)
-    parents = {r["hash"]: r["parents"] for r in slim.collect()}
-    seen, queue, out = set(starts), deque((s, 0) for s in starts), []
+def _walked(parents: dict[str, list[str]], starts: list[str]) -> list[tuple[str, int, int]]:
+    """(hash, depth, rank) of what the starts reach, breadth first."""
+    seen, queue, out = set(starts), deque((s, 0) for s in dict.fromkeys(starts)), []
     while queue:
         h, d = queue.popleft()
         if h not in parents:
             raise HistoryError(f"missing commit {h}")
         out.append((h, d, len(out)))
-        for p in parents[h]:
+        for p in parents[h] or ():
             if p not in seen:
                 seen.add(p)
                 queue.append((p, d + 1))
-    return spark.createDataFrame(out, "hash string, depth int, rank long")
+    return out
+
+
+def _walks(commits: DataFrame, every: list[list[str]], driver_commits: int) -> list[DataFrame]:
+    """hash, depth, rank of what each list of starts reaches; the graph is read once."""
+    spark, slim = commits.sparkSession, commits.select("hash", "parents")
+    read = slim.limit(driver_commits + 1).collect()
+    if len(read) > driver_commits:
+        held = written(slim)
+        return [_by_level(held, starts) for starts in every]
+    parents = {r["hash"]: r["parents"] for r in read}
+    return [spark.createDataFrame(_walked(parents, starts), RANKED) for starts in every]
+
+
+def ancestors(commits: DataFrame, start: str | list[str], driver_commits: int = DRIVER_COMMITS) -> DataFrame:
+    """hash, depth, rank of all commits that the starts reach, themselves included; rank is the order of discovery: by level, then by the rank of the discovering commit and its order of parents."""
+    return _walks(commits, [[start] if isinstance(start, str) else list(start)], driver_commits)[0]
 
 
-def _ancestors_by_level(slim: DataFrame, starts: list[str]) -> DataFrame:
-    """The same for graphs beyond the driver; discovery within a level goes by hash."""
+def _by_level(slim: DataFrame, starts: list[str]) -> DataFrame:
+    """The walk for graphs beyond the driver."""
     spark, depth = slim.sparkSession, 0
-    front = spark.createDataFrame([(s,) for s in dict.fromkeys(starts)], "hash string")
-    known = written(front.withColumn("depth", F.lit(0)))
-    front = known.select("hash")
+    unique = list(dict.fromkeys(starts))
+    front = known = written(spark.createDataFrame([(s, 0, i) for i, s in enumerate(unique)], RANKED))
+    found = len(unique)
     while True:
         depth += 1
-        nxt = slim.join(front, "hash", "left_semi").select(F.explode("parents").alias("hash")).distinct().join(known, "hash", "left_anti")
-        front = written(nxt)
-        if front.isEmpty():
+        steps = slim.join(front.select("hash", "rank"), "hash").select("rank", F.posexplode("parents").alias("pos", "hash"))
+        new = steps.groupBy("hash").agg(F.min(F.struct("rank", "pos")).alias("by")).join(known.select("hash"), "hash", "left_anti")
+        front = written(numbered(new, [F.col("by.rank"), F.col("by.pos")], "rank", found).select("hash", F.lit(depth).alias("depth"), "rank"))
+        size = front.count()
+        if not size:
             break
-        known = written(known.unionByName(front.withColumn("depth", F.lit(depth)))) if depth % 16 == 0 else known.unionByName(front.withColumn("depth", F.lit(depth)))
+        found += size
+        known = known.unionByName(front) if depth % 16 else written(known.unionByName(front))
     lost = known.join(slim, "hash", "left_anti").limit(1).collect()
     if lost:
         raise HistoryError(f"missing commit {lost[0]['hash']}")
-    return known.select("hash", "depth", F.struct("depth", "hash").alias("rank"))
+    return known
 
 
-def log(commits: DataFrame, start: str) -> DataFrame:
-    """The commits from start back, newest first; equal times in order of discovery."""
-    return commits.join(ancestors(commits, start), "hash").orderBy(F.desc("ts"), "rank")
+def log(commits: DataFrame, start: str, driver_commits: int = DRIVER_COMMITS) -> DataFrame:
+    """The commits from start back with `position`, newest first; equal times in order of discovery."""
+    found = commits.join(ancestors(commits, start, driver_commits), "hash")
+    return numbered(found, [F.desc("ts"), F.col("rank")], "position").orderBy("position")
 
 
-def merge_base(commits: DataFrame, a: str, b: str) -> DataFrame:
+def merge_base(commits: DataFrame, a: str, b: str, driver_commits: int = DRIVER_COMMITS) -> DataFrame:
     """hash, ts of the best common ancestor: none of the others descends from it; of several the latest, then the largest hash. Empty if disjoint."""
-    common = ancestors(commits, a).select("hash").join(ancestors(commits, b).select("hash"), "hash", "left_semi")
+    left, right = _walks(commits, [[a], [b]], driver_commits)
+    common = left.select("hash").join(right.select("hash"), "hash", "left_semi")
     meta = commits.join(common, "hash", "left_semi")
     # a common ancestor is a proper ancestor of another common one iff it is a parent of a common one: the set is closed upwards
     covered = meta.select(F.explode("parents").alias("hash")).distinct()

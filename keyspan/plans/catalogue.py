@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyspan.functions import paths, scalars
@@ -90,10 +90,9 @@ def load_values(spark, sf):
     return snapshot.load_values(rows, big).select("doc_id", "status", F.octet_length("content").cast("long").alias("n_bytes"))
 
 
-@query("SELECT doc_id, substr(text, 11, 20) AS part FROM documents WHERE octet_length(encode(text)) = length(text)")
+@query("SELECT doc_id, substr(hex(encode(text)), 21, 40) AS part FROM documents")
 def read_range(spark, sf):
-    docs = table(spark, sf, "documents").where("octet_length(text) = char_length(text)")
-    return docs.select("doc_id", scalars.read_range(F.col("text"), F.lit(10), F.lit(20)).cast("string").alias("part"))
+    return table(spark, sf, "documents").select("doc_id", F.hex(scalars.read_range(F.col("text"), F.lit(10), F.lit(20))).alias("part"))
 
 
 # builds and changes
@@ -177,13 +176,17 @@ def union_right_wins(spark, sf):
 
 # merge
 
-_MERGE_SQL = f"""{SNAPSHOTS_SQL},
+def _aligned_sql(sides: str) -> str:
+    return f"""{sides},
 al AS (SELECT k.key, b.key IS NOT NULL AS hb, o.key IS NOT NULL AS ho, t.key IS NOT NULL AS ht, b.value AS b, o.value AS o, t.value AS t
   FROM (SELECT key FROM base UNION SELECT key FROM ours UNION SELECT key FROM theirs) k LEFT JOIN base b ON k.key = b.key LEFT JOIN ours o ON k.key = o.key LEFT JOIN theirs t ON k.key = t.key),
 me AS (SELECT *, CASE WHEN o IS NOT DISTINCT FROM t THEN o WHEN b IS NOT DISTINCT FROM o THEN t WHEN b IS NOT DISTINCT FROM t THEN o WHEN NOT ht THEN o ELSE t END AS value,
   CASE WHEN o IS NOT DISTINCT FROM t OR b IS NOT DISTINCT FROM o OR b IS NOT DISTINCT FROM t THEN NULL WHEN NOT hb THEN 'both added' WHEN NOT ho THEN 'delete/modify' WHEN NOT ht THEN 'modify/delete' ELSE 'both modified' END AS conflict FROM al)"""
 
 
+_MERGE_SQL = _aligned_sql(SNAPSHOTS_SQL)
+
+
 @query(f"WITH {_MERGE_SQL} SELECT key, value FROM me WHERE value IS NOT NULL")
 def merge3(spark, sf):
     return merge.three_way_merge(*three_snapshots(spark, sf))[0]
@@ -200,21 +203,23 @@ def merge3_conflict_counts(spark, sf):
     return done.groupBy(F.coalesce("conflict", F.lit("clean")).alias("conflict")).agg(F.count("*").alias("n"))
 
 
-_BLOCKED_SQL = f"{MERGE_TREES_SQL}, m AS (SELECT * FROM ours UNION ALL SELECT * FROM theirs), lost AS (SELECT DISTINCT a.key FROM m a JOIN m b ON starts_with(b.key, a.key || '/'))"
+_PATHS_SQL = _aligned_sql(MERGE_TREES_SQL) + """,
+m AS (SELECT key, value FROM me WHERE value IS NOT NULL), lost AS (SELECT DISTINCT a.key FROM m a JOIN m b ON starts_with(b.key, a.key || '/'))"""
 
 
-@query(f"WITH {_BLOCKED_SQL} SELECT key FROM lost")
+@query(f"WITH {MERGE_TREES_SQL}, m AS (SELECT key FROM ours UNION ALL SELECT key FROM theirs) SELECT key FROM m WHERE EXISTS (SELECT 1 FROM m b WHERE starts_with(b.key, m.key || '/'))")
 def file_dir_collisions(spark, sf):
     _, ours, theirs = merge_trees(spark, sf)
     return merge.blocked_files(ours.unionByName(theirs))
 
 
-@query(f"WITH {_BLOCKED_SQL} SELECT key, value FROM m WHERE key NOT IN (SELECT key FROM lost)")
+@query(f"WITH {_PATHS_SQL} SELECT key, value FROM m WHERE key NOT IN (SELECT key FROM lost)")
 def merge_paths(spark, sf):
     return merge.three_way_merge(*merge_trees(spark, sf), paths=True)[0]
 
 
-@query(f"WITH {_BLOCKED_SQL} SELECT key, 'file/directory' AS conflict, CAST(NULL AS VARCHAR) AS base, value AS ours, CAST(NULL AS VARCHAR) AS theirs, 1 AS conflict_rank FROM m WHERE key IN (SELECT key FROM lost)")
+@query(f"""WITH {_PATHS_SQL} SELECT key, conflict, b AS base, o AS ours, t AS theirs, 0 AS conflict_rank FROM me WHERE conflict IS NOT NULL
+UNION ALL SELECT key, 'file/directory', b, o, t, 1 FROM me WHERE key IN (SELECT key FROM lost)""")
 def merge_paths_conflicts(spark, sf):
     return merge.three_way_merge(*merge_trees(spark, sf), paths=True)[1]
 
@@ -294,26 +299,37 @@ def file_blocks(spark, sf):
     return document_tree(spark, sf).select("key", fsview.blocks(F.col("size")).cast("long").alias("blocks"))
 
 
-def _members(spark: SparkSession, sf: str, opaque: bool) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", "lang", "source", F.octet_length("text").cast("long").alias("size"))
-    put = docs.select(((F.col("doc_id") % 3) * 1000000 + F.col("doc_id")).alias("ord"), F.concat_ws("/", F.lit("./"), "lang", "source", (F.col("doc_id") % 50).cast("string")).alias("path"), F.lit("file").alias("kind"), "size")
-    marks = docs.where("doc_id % 7 = 0").select(((F.col("doc_id") % 3) * 1000000 + F.col("doc_id")).alias("ord"), F.concat_ws("/", "lang", "source", F.lit(".wh..wh..opq") if opaque else F.concat(F.lit(".wh."), (F.col("doc_id") % 50).cast("string"))).alias("path"), F.lit("file").alias("kind"), F.lit(0).cast("long").alias("size"))
-    return put.unionByName(marks.withColumn("ord", F.col("ord") + F.lit(500000)))
+def _members(spark: SparkSession, sf: str) -> DataFrame:
+    """Three layers of members from all documents: files, symlinks and directory members in nested directories, then hardlinks and whiteouts of files, directories and contents."""
+    docs = table(spark, sf, "documents").selectExpr("doc_id", "(doc_id % 3) * 10000000000 + doc_id AS ord", "concat(lang, '/', source) AS top", "concat(lang, '/', source, '/', doc_id % 4) AS dir", "cast(octet_length(text) AS long) AS size")
+    nothing, zero = "cast(NULL AS string) AS link_target", "cast(0 AS long) AS size"
+    put = docs.selectExpr("ord", "CASE WHEN doc_id % 13 = 5 THEN concat('./', dir, '/./') ELSE concat('./', dir, '/f', doc_id % 50) END AS path", "CASE WHEN doc_id % 13 = 5 THEN 'directory' WHEN doc_id % 11 = 3 THEN 'symlink' ELSE 'file' END AS kind", "size", nothing)
+    marks = docs.where("doc_id % 7 = 0").selectExpr("ord + 3000000000 AS ord", "CASE doc_id % 5 WHEN 0 THEN concat(top, '/.wh.', doc_id % 4) WHEN 1 THEN concat(dir, '/.wh..wh..opq') WHEN 2 THEN concat(top, '/.wh..wh..opq') ELSE concat(dir, '/.wh.f', doc_id % 50) END AS path", "'file' AS kind", zero, nothing)
+    links = docs.where("doc_id % 13 <> 5").selectExpr("ord + 1000000000 AS ord", "concat('links/', doc_id) AS path", "'hardlink' AS kind", zero, "concat(dir, '/f', doc_id % 50) AS link_target").where("ord < 10000000000")
+    return put.unionByName(marks).unionByName(links)
 
 
-_LAYERS_SQL = """puts AS (SELECT (doc_id % 3) * 1000000 + doc_id AS ord, lang || '/' || source AS dir, (doc_id % 50)::VARCHAR AS name, octet_length(encode(text))::BIGINT AS size FROM documents),
-marks AS (SELECT (doc_id % 3) * 1000000 + doc_id + 500000 AS ord, lang || '/' || source AS dir, (doc_id % 50)::VARCHAR AS name FROM documents WHERE doc_id % 7 = 0),
-l AS (SELECT * FROM puts QUALIFY row_number() OVER (PARTITION BY dir, name ORDER BY ord DESC) = 1)"""
+_LAYERS_SQL = """d AS (SELECT doc_id, (doc_id % 3) * 10000000000 + doc_id AS ord, lang || '/' || source AS top, lang || '/' || source || '/' || (doc_id % 4) AS dir, octet_length(encode(text))::BIGINT AS size FROM documents),
+puts AS (SELECT ord, CASE WHEN doc_id % 13 = 5 THEN dir ELSE dir || '/f' || (doc_id % 50) END AS key, CASE WHEN doc_id % 13 = 5 THEN 'directory' WHEN doc_id % 11 = 3 THEN 'symlink' ELSE 'file' END AS kind, size FROM d),
+marks AS (SELECT ord + 3000000000 AS ord, CASE doc_id % 5 WHEN 0 THEN top || '/' || (doc_id % 4) WHEN 1 THEN dir WHEN 2 THEN top ELSE dir || '/f' || (doc_id % 50) END AS at, doc_id % 5 NOT IN (1, 2) AS own FROM d WHERE doc_id % 7 = 0),
+linked AS (SELECT d.ord + 1000000000 AS ord, 'links/' || d.doc_id AS key, max_by(p.kind, p.ord) AS kind, max_by(p.size, p.ord) AS size FROM d JOIN puts p ON p.key = d.dir || '/f' || (d.doc_id % 50) AND p.ord < d.ord + 1000000000
+  WHERE d.doc_id % 13 <> 5 AND d.doc_id % 3 = 0 GROUP BY d.doc_id, d.ord),
+every AS (SELECT * FROM puts UNION ALL SELECT * FROM linked),
+hits AS (SELECT p.key, p.ord, min(m.ord) AS c FROM every p JOIN marks m ON m.ord > p.ord AND (starts_with(p.key, m.at || '/') OR p.key = m.at AND m.own) GROUP BY 1, 2),
+remade AS (SELECT DISTINCT m.ord, m.at AS key, 'directory' AS kind, NULL::BIGINT AS size FROM marks m JOIN hits h ON h.c = m.ord WHERE NOT m.own),
+l AS (SELECT * FROM (SELECT * FROM every UNION ALL SELECT * FROM remade) QUALIFY row_number() OVER (PARTITION BY key ORDER BY ord DESC) = 1)"""
 
 
-@query(f"WITH {_LAYERS_SQL} SELECT dir || '/' || name AS key, 'file' AS kind, size FROM l WHERE NOT EXISTS (SELECT 1 FROM marks m WHERE m.dir = l.dir AND m.name = l.name AND m.ord > l.ord)")
+@query(f"WITH {_LAYERS_SQL} SELECT key, kind, size FROM l WHERE NOT EXISTS (SELECT 1 FROM marks m WHERE m.ord > l.ord AND (starts_with(l.key, m.at || '/') OR l.key = m.at AND m.own))")
 def overlay_layers(spark, sf):
-    return overlay.apply_layers(_members(spark, sf, False).withColumn("link_target", F.lit(None).cast("string")))
+    return overlay.apply_layers(_members(spark, sf))
 
 
-@query(f"WITH {_LAYERS_SQL} SELECT dir || '/' || name AS key, 'file' AS kind, size FROM l WHERE NOT EXISTS (SELECT 1 FROM marks m WHERE m.dir = l.dir AND m.ord > l.ord)")
+@query(f"WITH {_LAYERS_SQL} SELECT key, ord AS opaque_ord FROM remade WHERE key NOT IN (SELECT dir FROM d)")
 def overlay_opaque(spark, sf):
-    return overlay.apply_layers(_members(spark, sf, True).withColumn("link_target", F.lit(None).cast("string")))
+    """The top directories that opaque whiteouts empty, at each of these whiteouts."""
+    members = _members(spark, sf)
+    return overlay.emptied_directories(members).where(F.size(F.split("key", "/")) == 2).select("key", F.col("ord").alias("opaque_ord"))
 
 
 # content
@@ -332,11 +348,9 @@ def dedup_ratio(spark, sf):
 # history
 
 
-@query(f"WITH RECURSIVE {GRAPH_SQL}, {TIPS_SQL} SELECT event_id::VARCHAR AS hash, user_id::VARCHAR AS author, event_type AS message, epoch_us(ts) AS ts, row_number() OVER (ORDER BY ts DESC, event_id)::INTEGER AS position FROM f WHERE event_id IN (SELECT h FROM up WHERE side = 'a')")
+@query(f"WITH RECURSIVE {GRAPH_SQL}, {TIPS_SQL} SELECT event_id::VARCHAR AS hash, user_id::VARCHAR AS author, event_type AS message, epoch_us(ts) AS ts, row_number() OVER (ORDER BY ts DESC) - 1 AS position FROM f WHERE event_id IN (SELECT h FROM up WHERE side = 'a')")
 def commit_log(spark, sf):
-    rows = history.log(commit_graph(spark, sf), tips(spark, sf)[0])
-    place = F.row_number().over(Window.orderBy(F.desc("ts"), F.col("hash").cast("long")))  # one history's log: as long as its own output order
-    return rows.select("hash", "author", "message", "ts", place.alias("position"))
+    return history.log(commit_graph(spark, sf), tips(spark, sf)[0]).select("hash", "author", "message", "ts", "position")
 
 
 @query(f"WITH RECURSIVE {GRAPH_SQL}, {TIPS_SQL} SELECT h::VARCHAR AS hash FROM up WHERE side = 'a'")
@@ -469,10 +483,9 @@ def branch_name_valid(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", scalars.valid_name(text).alias("valid"))
 
 
-@query("SELECT doc_id, CASE WHEN octet_length(encode(text)) <= 40 THEN text ELSE substr(text, 1, 39) || '…' END AS short FROM documents WHERE octet_length(encode(text)) = length(text)")
+@query("""SELECT doc_id, CASE WHEN octet_length(encode(text)) <= 40 THEN text ELSE substr(text, 1, list_max([i FOR i IN range(0, 40) IF octet_length(encode(substr(text, 1, i))) <= 39])) || '…' END AS short FROM documents""")
 def truncate(spark, sf):
-    docs = table(spark, sf, "documents").where("octet_length(text) = char_length(text)").select("doc_id", F.substring("text", 1, 60).alias("head"), "text")
-    return docs.select("doc_id", F.when(F.octet_length("text") <= 40, F.col("text")).otherwise(scalars.truncate(F.col("head"), 40)).alias("short"))
+    return table(spark, sf, "documents").select("doc_id", scalars.truncate(F.col("text"), 40).alias("short"))
 
 
 @query("SELECT doc_id, doc_id % 2 = 0 AS valid FROM documents")

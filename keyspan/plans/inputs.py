@@ -43,25 +43,32 @@ TREE_SQL = "entries AS (SELECT concat_ws('/', lang, source, doc_id::VARCHAR) AS
 
 
 def merge_trees(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Path-keyed snapshots in which ours adds files where theirs adds directories of that name."""
-    nation, region = table(spark, sf, "nation"), table(spark, sf, "region")
-    base = region.selectExpr("r_name AS key", "'dir' AS value").where("r_regionkey % 2 = 9")
-    ours = nation.selectExpr("concat('n/', n_name) AS key", "concat('o', n_regionkey) AS value")
-    theirs = table(spark, sf, "customer").where("c_custkey % 10 = 0").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).where("n_nationkey % 2 = 0").selectExpr("concat('n/', n_name, '/', c_custkey) AS key", "c_mktsegment AS value")
-    return base, ours, theirs.unionByName(nation.where("n_nationkey % 3 = 0").selectExpr("concat('n/', n_name, '-') AS key", "'x' AS value"))
+    """Path-keyed snapshots of all customers and nations. Both sides change, move and keep customers; ours adds files where theirs adds directories of that name."""
+    nation = table(spark, sf, "nation")
+    customers = table(spark, sf, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    base = customers.selectExpr("concat('c/', c_custkey) AS key", "c_mktsegment AS value").unionByName(nation.selectExpr("concat('r/', n_name) AS key", "concat('o', n_regionkey) AS value"))
+    ours = customers.selectExpr("CASE WHEN c_custkey % 7 = 0 THEN concat('moved/', c_custkey) ELSE concat('c/', c_custkey) END AS key", "CASE WHEN c_custkey % 5 = 0 THEN concat(c_mktsegment, '|o') ELSE c_mktsegment END AS value").unionByName(
+        nation.selectExpr("explode(array(concat('n/', n_name), concat('r/', n_name))) AS key", "concat('o', n_regionkey) AS value"))
+    theirs = customers.selectExpr("CASE WHEN c_custkey % 11 = 0 THEN concat('n/', n_name, '/', c_custkey) ELSE concat('c/', c_custkey) END AS key", "CASE WHEN c_custkey % 3 = 0 THEN concat(c_mktsegment, '|t') ELSE c_mktsegment END AS value").unionByName(
+        nation.selectExpr("explode(array(concat('n/', n_name, '-'), concat('r/', n_name))) AS key", "concat(CASE WHEN n_nationkey % 2 = 0 THEN 'p' ELSE 'o' END, n_regionkey) AS value"))
+    return base, ours, theirs
 
 
 MERGE_TREES_SQL = """
-ours AS (SELECT 'n/' || n_name AS key, 'o' || n_regionkey AS value FROM nation),
-theirs AS (SELECT 'n/' || n_name || '/' || c_custkey AS key, c_mktsegment AS value FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 10 = 0 AND n_nationkey % 2 = 0
-  UNION ALL SELECT 'n/' || n_name || '-', 'x' FROM nation WHERE n_nationkey % 3 = 0)"""
+cn AS (SELECT * FROM customer JOIN nation ON c_nationkey = n_nationkey),
+base AS (SELECT 'c/' || c_custkey AS key, c_mktsegment AS value FROM cn UNION ALL SELECT 'r/' || n_name, 'o' || n_regionkey FROM nation),
+ours AS (SELECT CASE WHEN c_custkey % 7 = 0 THEN 'moved/' ELSE 'c/' END || c_custkey AS key, c_mktsegment || CASE WHEN c_custkey % 5 = 0 THEN '|o' ELSE '' END AS value FROM cn
+  UNION ALL SELECT 'n/' || n_name, 'o' || n_regionkey FROM nation UNION ALL SELECT 'r/' || n_name, 'o' || n_regionkey FROM nation),
+theirs AS (SELECT CASE WHEN c_custkey % 11 = 0 THEN 'n/' || n_name || '/' ELSE 'c/' END || c_custkey AS key, c_mktsegment || CASE WHEN c_custkey % 3 = 0 THEN '|t' ELSE '' END AS value FROM cn
+  UNION ALL SELECT 'n/' || n_name || '-', CASE WHEN n_nationkey % 2 = 0 THEN 'p' ELSE 'o' END || n_regionkey FROM nation
+  UNION ALL SELECT 'r/' || n_name, CASE WHEN n_nationkey % 2 = 0 THEN 'p' ELSE 'o' END || n_regionkey FROM nation)"""
 
 
 def commit_graph(spark: SparkSession, sf: str) -> DataFrame:
-    """Commits of events: the first parent is the user's event before, purchases among the first 2,000 also merge the event before."""
+    """Commits of all events: the first parent is the user's event before, purchases also merge the event before."""
     w = Window.partitionBy("user_id").orderBy("event_id")
     first = F.lag("event_id").over(w)
-    second = F.when((F.col("event_type") == "purchase") & (F.col("event_id") < 2000) & (F.col("event_id") > 0), F.col("event_id") - 1)
+    second = F.when((F.col("event_type") == "purchase") & (F.col("event_id") > 0), F.col("event_id") - 1)
     parents = F.transform(F.array_distinct(F.array_compact(F.array(first, second))), lambda x: x.cast("string"))
     return table(spark, sf, "events").select(
         F.col("event_id").cast("string").alias("hash"), parents.alias("parents"), F.col("user_id").cast("string").alias("tree"), F.col("user_id").cast("string").alias("author"),
@@ -70,18 +77,17 @@ def commit_graph(spark: SparkSession, sf: str) -> DataFrame:
 
 GRAPH_SQL = """
 f AS (SELECT event_id, user_id, event_type, ts, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS p1 FROM events),
-edges AS (SELECT event_id AS h, p1 AS p FROM f WHERE p1 IS NOT NULL UNION SELECT event_id, event_id - 1 FROM f WHERE event_type = 'purchase' AND event_id < 2000 AND event_id > 0)"""
-#: Two tips of the graph, as SQL over events and as values.
+edges AS (SELECT event_id AS h, p1 AS p FROM f WHERE p1 IS NOT NULL UNION SELECT event_id, event_id - 1 FROM f WHERE event_type = 'purchase' AND event_id > 0)"""
+#: Two tips of the graph, as SQL over events and as values: the last purchase and the last event that is none.
 TIPS_SQL = """
-tips AS (SELECT max(event_id) AS a, (SELECT max(event_id) FROM events WHERE event_id < 2000 AND event_id < (SELECT max(event_id) FROM events WHERE event_type = 'purchase' AND event_id < 2000)) AS b
-  FROM events WHERE event_type = 'purchase' AND event_id < 2000),
+tips AS (SELECT max(event_id) FILTER (event_type = 'purchase') AS a, max(event_id) FILTER (event_type <> 'purchase') AS b FROM events),
 up AS (SELECT 'a' AS side, a AS h FROM tips UNION SELECT 'b', b FROM tips UNION SELECT up.side, edges.p FROM up JOIN edges ON up.h = edges.h)"""
 
 
 def tips(spark: SparkSession, sf: str) -> tuple[str, str]:
-    events = table(spark, sf, "events").where("event_id < 2000")
-    a = events.where("event_type = 'purchase'").agg(F.max("event_id")).first()[0]
-    return str(a), str(events.where(F.col("event_id") < a).agg(F.max("event_id")).first()[0])
+    bought = F.col("event_type") == "purchase"
+    r = table(spark, sf, "events").agg(F.max(F.when(bought, F.col("event_id"))).alias("a"), F.max(F.when(~bought, F.col("event_id"))).alias("b")).first()
+    return str(r["a"]), str(r["b"])
 
 
 def objects(spark: SparkSession, sf: str) -> DataFrame:

@@ -3,6 +3,8 @@ from pyspark.sql import functions as F
 
 from keyspan.operators import history, maintenance
 from keyspan.operators.history import HistoryError
+from keyspan.plans import catalogue, inputs
+from tests.conftest import SF
 
 
 def graph(spark, edges, ts=None):
@@ -16,11 +18,32 @@ def test_log_newest_first_ties_by_discovery(spark):
 
 
 def test_levels_agree_with_the_driver(spark):
-    edges = {str(i): [str(i - 1)] * (i > 0) + [str(i - 5)] * (i > 9 and i % 3 == 0) for i in range(40)}
-    g = graph(spark, edges)
-    near = {(r["hash"], r["depth"]) for r in history.ancestors(g, "39").collect()}
-    far = {(r["hash"], r["depth"]) for r in history.ancestors(g, "39", driver_commits=3).collect()}
-    assert near == far and len(near) == 40
+    """The walk by level finds what the walk on the driver does, in the same order, with ties in time too."""
+    edges = {str(i): [str(i - 1)] * (i > 0) + [str(i - 5)] * (i > 9 and i % 3 == 0) for i in range(40)} | {"z": [], "a": [], "m": ["z", "a"], "top": ["m", "39"]}
+    g = graph(spark, edges, {h: 1 for h in ("z", "a", "m")})
+    for starts in ("39", "top", ["m", "20", "m"]):
+        near = {tuple(r) for r in history.ancestors(g, starts).collect()}
+        far = {tuple(r) for r in history.ancestors(g, starts, driver_commits=3).collect()}
+        assert near == far and len(near) >= 22
+    near, far = ([(r["position"], r["hash"]) for r in history.log(g, "top", limit).collect()] for limit in (100, 3))
+    assert near == far and [p for p, _ in near] == list(range(len(edges)))
+    for pair in (("39", "m"), ("39", "38"), ("top", "20")):
+        assert history.merge_base(g, *pair).collect() == history.merge_base(g, *pair, driver_commits=3).collect()
+
+
+def test_walk_of_all_events(spark):
+    """The catalogue's graph against a plain walk."""
+    commits = inputs.commit_graph(spark, SF)
+    parents = {r["hash"]: r["parents"] for r in commits.collect()}
+    events = spark.read.parquet(f"{SF}/events.parquet").count()
+    start = inputs.tips(spark, SF)[0]
+    seen, todo = {start}, [start]
+    while todo:
+        for p in parents[todo.pop()]:
+            if p not in seen:
+                seen.add(p)
+                todo.append(p)
+    assert len(parents) == events and {r["hash"] for r in catalogue.ancestors(spark, SF).collect()} == seen
 
 
 def test_merge_bases(spark):

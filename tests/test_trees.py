@@ -97,10 +97,29 @@ def test_overlay(spark):
         spark, ("./a/x", "file", None, "1"), ("a/y", "file", None, "2"), ("b/z", "file", None, "3"), ("../up", "file", None, "!"), ("c", "file", None, "4"), ("h", "hardlink", "a/x", None),
         ("a/.wh.y", "file", None, None), ("b/.wh..wh..opq", "file", None, None), ("b/new", "file", None, "5"), ("c", "file", None, "6"), (".wh.", "file", None, None), ("s", "symlink", "c", None), ("p", "fifo", None, None))
     got = {r["key"]: (r["kind"], r["value"]) for r in overlay.apply_layers(m).collect()}
-    assert got == {"a/x": ("file", "1"), "b/new": ("file", "5"), "c": ("file", "6"), "h": ("file", "1"), "s": ("symlink", None)}
+    assert got == {"a/x": ("file", "1"), "b": ("directory", None), "b/new": ("file", "5"), "c": ("file", "6"), "h": ("file", "1"), "s": ("symlink", None)}
 
 
 def test_overlay_whiteout_of_directory_then_again(spark):
     m = layers(spark, ("d/one", "file", None, "1"), ("d/two", "file", None, "2"), (".wh.d", "file", None, None), ("d/one", "file", None, "3"))
     assert {r["key"]: r["value"] for r in overlay.apply_layers(m).collect()} == {"d/one": "3"}
     assert overlay.apply_layers(m.where(F.lit(False))).count() == 0
+
+
+def test_overlay_emptied_directories_stay(spark):
+    m = layers(spark, ("d/x/one", "file", None, "1"), ("d/.wh..wh..opq", "file", None, None), ("e/.wh..wh..opq", "file", None, None), ("f/x", "file", None, "2"), ("f/.wh.x", "file", None, None), ("f/.wh..wh..opq", "file", None, None), ("g", "directory", None, "3"), ("g/y", "file", None, "4"), ("g/.wh..wh..opq", "file", None, None), ("g/.wh..wh..opq", "file", None, None), ("h/z", "file", None, "5"), ("h/.wh..wh..opq", "file", None, None), (".wh.h", "file", None, None))
+    assert {r["key"]: (r["kind"], r["value"]) for r in overlay.apply_layers(m).collect()} == {"d": ("directory", None), "g": ("directory", None)}
+
+
+def test_overlay_links(spark):
+    m = layers(spark, ("d/x/one", "file", None, "1"), ("d/two", "file", None, "2"), ("d/three", "hardlink", "d/two", None), ("copy", "hardlink", "./d", None), ("d/late", "file", None, "3"), ("d/.wh.two", "file", None, None))
+    assert {r["key"]: r["value"] for r in overlay.apply_layers(m).collect()} == {"d/x/one": "1", "d/three": "2", "d/late": "3", "copy/x/one": "1", "copy/two": "2", "copy/three": "2"}
+    with pytest.raises(overlay.OverlayError):
+        overlay.apply_layers(layers(spark, ("a", "hardlink", "nowhere", None)))
+
+
+def test_overlay_refuses_members_below_a_file(spark):
+    with pytest.raises(Exception, match="lies below"):
+        overlay.apply_layers(layers(spark, ("a/x", "file", None, "1"), ("a/x/y", "file", None, "2"))).collect()
+    m = layers(spark, ("a/x", "file", None, "1"), (".wh.a", "file", None, None), ("a/x/y", "file", None, "2"))
+    assert {r["key"]: r["value"] for r in overlay.apply_layers(m).collect()} == {"a/x/y": "2"}
