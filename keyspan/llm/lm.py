@@ -1,19 +1,21 @@
 """Scoring texts with a hashed maximum-entropy language model.
 
-Tokens are the words of the lower-cased whole text and one end. The softmax is factored by classes: the most frequent words are
-classes of their own, all others fall into classes by their last two bytes. P(token | context) = P(class | context) *
-P(token | class). The class model is a maximum-entropy model over hashed features of the context: the word before, the
-word before that and the one before that (skips), and the pair of words before. P(token | class) is add-one over the class's words with
-one slot for unknown words, so that the whole is a distribution.
-
-Word counts cover all training documents. The class model is trained by gradient steps on every position of every training text in
-each round (one in `stride` of them, if that is above 1); each partition steps from the common weights, and the weighted mean of the
-partitions' changes, summed in a tree, updates them. Frequent words' counts (at most `head` entries) go to the scorers; counts of
-all other words are joined in Spark.
+Tokens are the words of the lower-cased whole text and one end. The softmax is factored by classes: P(token | context) =
+P(class | context) * P(slot | class, context) * P(token | slot). The most frequent words are dealt to classes of like weight and
+have a slot of their own there; all others share their class's last slot, their class going by their last two bytes. The first two
+factors are maximum-entropy models over hashed features of the context: the word before, the word before that and the one
+before that (skips), and the pair of words before; for the slot each is taken together with the class. The third factor is 1 for a
+word with its own slot, else add-one counts over the slot's words with one place for unknown words, so that the whole is a
+distribution. It doesn't see the context: beyond the most frequent words the model tells classes apart, not words.
+
+Word counts cover all training documents. The two models are trained by gradient steps on every position of every training text:
+a hash deals the texts to `rounds` rounds, in each of which every partition steps from the common weights through its texts of
+that round, and the weighted mean of the partitions' changes, summed in a tree, updates them. Frequent words' counts (at most `head`
+entries) go to the scorers; counts of all other words are joined in Spark.
 
 Words are known by 64-bit hashes of their bytes. Defined cases: null or empty text is the end alone; a null id counts as a training
-document; repeated rows are scored (and, if for training, counted) each; ties don't arise; other columns are ignored; an empty
-table gives an empty result.
+document; repeated rows are scored (and, if for training, counted and stepped through) each; words of equal count go by hash; very
+long texts are taken whole, their positions in pieces of bounded size; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,25 +29,25 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyspan.llm.common import Scratch
+from keyspan.llm.common import Scratch, trimmed
 from keyspan.llm.words import mix64, words_and_ends
 
 END = np.uint64(0x0E0D)
 START = np.uint64(0x0B0E)
 FEATURES = 4
-SAMPLE = 100_000
+PIECE = 1 << 16
 
 
 @dataclass(frozen=True)
 class Params:
     folds: int = 7
     held_out: int = 2
-    singles: int = 40
-    classes: int = 64
+    classes: int = 16
+    slots: int = 32
     buckets: int = 8192
-    stride: int = 1
+    slot_buckets: int = 16384
     rounds: int = 3
-    batch: int = 1024
+    batch: int = 2048
     rate: float = 0.3
     head: int = 1 << 17
     fan_in: int = 32
@@ -58,27 +60,43 @@ def tokens(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def surface_class(ends: np.ndarray, p: Params) -> np.ndarray:
-    """Class of a word that isn't one of its own."""
-    return p.singles + (mix64(ends.astype(np.uint64)) % np.uint64(p.classes - p.singles)).astype(np.int64)
+    """Class of a word without a slot of its own."""
+    return (mix64(ends.astype(np.uint64)) % np.uint64(p.classes)).astype(np.int64)
 
 
-def context_features(h: np.ndarray, p: Params, at: np.ndarray | None = None) -> np.ndarray:
-    """[token, feature]: rows of the weight matrix that are on before each token (of those at the given places)."""
+def context_keys(h: np.ndarray) -> np.ndarray:
+    """[token, feature]: 64-bit values of the features of what stands before each token."""
     padded = np.concatenate([np.full(3, START), h])
-    one, two, three = (padded[2:-1], padded[1:-2], padded[:-3]) if at is None else (padded[at + 2], padded[at + 1], padded[at])
+    one, two, three = padded[2:-1], padded[1:-2], padded[:-3]
+    with np.errstate(over="ignore"):
+        return mix64(np.stack([one + np.uint64(1), two + np.uint64(2), three + np.uint64(3), one * np.uint64(31) + two], 1))
+
+
+def _narrow(n: int) -> type:
+    """A type for numbers below n; short ones sort fast."""
+    return np.uint16 if n <= 1 << 16 else np.uint32
+
+
+def class_rows(keys: np.ndarray, p: Params) -> np.ndarray:
+    """[token, feature]: rows of the class model's weights that are on."""
+    return (keys & np.uint64(p.buckets - 1)).astype(_narrow(p.buckets))
+
+
+def slot_rows(keys: np.ndarray, classes: np.ndarray, p: Params) -> np.ndarray:
+    """[token, feature]: rows of the slot model's weights that are on."""
     with np.errstate(over="ignore"):
-        keys = [one + np.uint64(1), two + np.uint64(2), three + np.uint64(3), one * np.uint64(31) + two]
-        return np.stack([(mix64(k) & np.uint64(p.buckets - 1)).astype(np.int64) for k in keys], 1)
+        mixed = ((keys >> np.uint64(13)) + classes.astype(np.uint64)[:, None] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(40) & np.uint64(p.slot_buckets - 1)).astype(_narrow(p.slot_buckets))
 
 
-def log_class(weights: np.ndarray, features: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """Natural log-probability of each class given its features."""
-    out = np.empty(len(classes))
-    for a in range(0, len(classes), 1024):
-        z = _logits(weights, features[a : a + 1024])
+def log_softmax(weights: np.ndarray, rows: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    """Natural log-probability of each target given the rows that are on."""
+    out = np.empty(len(targets))
+    for a in range(0, len(targets), 2048):
+        z = _logits(weights, rows[a : a + 2048])
         z -= z.max(1, keepdims=True)
-        c = classes[a : a + 1024]
-        out[a : a + 1024] = z[np.arange(len(c)), c] - np.log(np.exp(z).sum(1))
+        c = targets[a : a + 2048]
+        out[a : a + 2048] = z[np.arange(len(c)), c] - np.log(np.exp(z).sum(1))
     return out
 
 
@@ -102,28 +120,26 @@ def _sums(z: np.ndarray, order: np.ndarray, first: np.ndarray) -> np.ndarray:
     return d
 
 
-def gradient_steps(weights: np.ndarray, features: np.ndarray, classes: np.ndarray, p: Params) -> np.ndarray:
-    """The weights after one pass of adaptive gradient steps; the last row is the bias."""
-    w, g = weights.copy(), np.full(len(weights), 1.0, np.float32)
-    for a in range(0, len(classes), p.batch):
-        f, c = features[a : a + p.batch], classes[a : a + p.batch]
+def gradient_steps(w: np.ndarray, g: np.ndarray, rows: np.ndarray, targets: np.ndarray, p: Params) -> None:
+    """One adaptive gradient step for each batch, on the weights w and their sums of squares g in place; the last row is the bias."""
+    for a in range(0, len(targets), p.batch):
+        f, c = rows[a : a + p.batch], targets[a : a + p.batch]
         z = _logits(w, f)
         z -= z.max(1, keepdims=True)
         np.exp(z, out=z)
         z /= z.sum(1, keepdims=True)
         z[np.arange(len(c)), c] -= 1
-        rows = f.ravel()
-        order = np.argsort(rows, kind="stable")
-        rows = rows[order]
-        first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-        d, at = _sums(z, order // f.shape[1], first), rows[first]
+        on = f.ravel()
+        order = np.argsort(on, kind="stable")
+        on = on[order]
+        first = np.flatnonzero(np.append(True, on[1:] != on[:-1]))
+        d, at = _sums(z, order // f.shape[1], first), on[first]
         g[at] += np.einsum("ij,ij->i", d, d) / d.shape[1]
         d *= (p.rate / np.sqrt(g[at]))[:, None]
         w[at] -= d
         d = z.sum(0)
         g[-1] += (d * d).mean()
         w[-1] -= p.rate * d / np.sqrt(g[-1])
-    return w
 
 
 @dataclass
@@ -135,9 +151,11 @@ class Model:
     n_words: int
     head: np.ndarray  # sorted hashes
     head_count: np.ndarray
-    single: np.ndarray  # class of its own of a head word, or -1
-    class_total: np.ndarray  # tokens, words and 1 of each surface class
-    weights: np.ndarray
+    own_class: np.ndarray  # class and slot of a head word with a slot of its own, or -1
+    own_slot: np.ndarray
+    class_total: np.ndarray  # tokens, words and 1 of each class's shared slot
+    class_weights: np.ndarray
+    slot_weights: np.ndarray
 
     def __post_init__(self) -> None:
         """A direct-mapped table of the head; words whose slot is taken go to a sorted rest."""
@@ -161,14 +179,14 @@ class Model:
             at[lost] = np.where(keys[near] == h[lost], self.rest[near], -1)
         return at
 
-    def classes(self, h: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Class, count (0 outside the head) and whether in the head, of each token."""
-        at = self.find(h)
+    def targets(self, h: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Class, slot, count (0 outside the head) and whether in the head, of each token."""
+        p, at = self.params, self.find(h)
         known = at >= 0
         if not len(self.head):
-            return surface_class(ends, self.params), np.zeros(len(h), np.int64), known
-        own = np.where(known, self.single[at], -1)
-        return np.where(own >= 0, own, surface_class(ends, self.params)), np.where(known, self.head_count[at], 0), known
+            return surface_class(ends, p), np.full(len(h), p.slots - 1), np.zeros(len(h), np.int64), known
+        slot = np.where(known, self.own_slot[at], -1)
+        return np.where(slot >= 0, self.own_class[at], surface_class(ends, p)), np.where(slot >= 0, slot, p.slots - 1), np.where(known, self.head_count[at], 0), known
 
 
 def _split(docs: DataFrame, p: Params, id_col: str, text_col: str) -> DataFrame:
@@ -199,43 +217,13 @@ def _read(train: DataFrame, p: Params) -> DataFrame:
         if held:
             yield _frame(*merged(held), p)
 
-    return train.select("text").mapInPandas(run, "h long, class int, c long")
-
-
-def _positions(train: DataFrame, model: Model) -> DataFrame:
-    """Rows (size, sample) that pack the features and classes of all positions of the training documents, at most 100,000 in each."""
-    p, held = model.params, train.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def packed(n: int) -> pd.DataFrame:
-            f, c = (np.concatenate(x) for x in zip(*parts, strict=True))
-            parts[:] = [(f[n:], c[n:])] if n < len(c) else []
-            return pd.DataFrame({"size": [len(c[:n])], "sample": [f[:n].tobytes() + c[:n].tobytes()]})
-
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
-        for batch in batches:
-            for text in batch["text"]:
-                h, e = tokens(text)
-                parts.append((context_features(h, p).astype("<u2"), held.value.classes(h, e)[0].astype("<u2")))
-                size += len(h)
-                while size >= SAMPLE:
-                    yield packed(SAMPLE)
-                    size -= SAMPLE
-        if size:
-            yield packed(size)
-
-    return train.select("text").mapInPandas(run, "size int, sample binary")
+    return train.select("text").mapInPandas(trimmed(run), "h long, class int, c long")
 
 
 def _frame(h: np.ndarray, ends: np.ndarray, c: np.ndarray, p: Params) -> pd.DataFrame:
     return pd.DataFrame({"h": h.view(np.int64), "class": surface_class(ends, p).astype(np.int32), "c": c})
 
 
-def _unpacked(sample: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(sample, "<u2", n * FEATURES).reshape(n, FEATURES), np.frombuffer(sample, "<u2", n, n * FEATURES * 2).astype(np.int64)
-
-
 def _head(counts: DataFrame, p: Params) -> pd.DataFrame:
     """Words of at least the count that at most `head` words reach."""
     sizes = counts.groupBy(F.floor(F.log2("c") * 16).alias("step")).agg(F.count("*").alias("n"), F.min("c").alias("least")).orderBy(F.desc("step")).collect()  # a row per sixteenth of a doubling
@@ -250,38 +238,70 @@ def _head(counts: DataFrame, p: Params) -> pd.DataFrame:
     return counts.where(F.col("c") >= least).toArrow().to_pandas()
 
 
-def fit(train: DataFrame, counts: DataFrame, p: Params, scratch: Scratch) -> Model:
+def dealt(counts: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """Class and slot of the most frequent words, in falling order of count: there and back over the classes, so that these weigh alike."""
+    rank = np.arange(min(len(counts), p.classes * (p.slots - 1)))
+    row, at = rank // p.classes, rank % p.classes
+    return np.where(row % 2 == 0, at, p.classes - 1 - at), row
+
+
+def fit(train: DataFrame, counts: DataFrame, p: Params) -> Model:
     """The model from the training documents and their word counts."""
     spark = counts.sparkSession
     head = _head(counts, p).assign(u=lambda d: d["h"].to_numpy(np.int64).view(np.uint64)).sort_values("u").reset_index(drop=True)
     u, c = head["u"].to_numpy(np.uint64), head["c"].to_numpy(np.int64)
-    order = sorted(range(len(u)), key=lambda i: (u[i] != END, -c[i], u[i]))[: p.singles]
-    single = np.full(len(u), -1)
-    single[order] = np.arange(len(order))
-    own = spark.createDataFrame([(int(u[i].view(np.int64)),) for i in order], "h long")
+    order = np.lexsort((u, -c))[: p.classes * (p.slots - 1)]
+    own_class, own_slot = np.full(len(u), -1), np.full(len(u), -1)
+    own_class[order], own_slot[order] = dealt(c[order], p)
+    own = spark.createDataFrame([(int(x),) for x in u[order].view(np.int64)], "h long")
     totals = np.zeros(p.classes)
     sums = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    for r in counts.join(F.broadcast(own), "h", "left_anti").groupBy("class").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():
+    for r in counts.join(F.broadcast(own), "h", "left_anti").groupBy("class").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():  # own: at most classes * slots rows
         totals[r["class"]] = r["n"] + r["v"]
-    model = Model(p, sums["n"] or 0, sums["v"], u, c, single, totals + 1, np.zeros((p.buckets + 1, p.classes), np.float32))
-    samples = scratch.table(_positions(train, model), "positions")
+    zeros = [np.zeros((n + 1, k), np.float32) for n, k in ((p.buckets, p.classes), (p.slot_buckets, p.slots))]
+    model = Model(p, sums["n"] or 0, sums["v"], u, c, own_class, own_slot, totals + 1, *zeros)
     for round_ in range(p.rounds):
-        model.weights = _trained(samples, model, round_)
-    scratch.drop(samples)
+        turn = F.pmod(F.xxhash64("text", "doc_id"), F.lit(p.rounds)) == round_
+        model.class_weights, model.slot_weights = _trained(train.where(turn), model)
     return model
 
 
-def _trained(samples: DataFrame, model: Model, round_: int) -> np.ndarray:
-    p, held = model.params, samples.sparkSession.sparkContext.broadcast(model.weights)
+def steps_through(model: Model, texts: Iterator[str]) -> tuple[np.ndarray, np.ndarray, int]:
+    """Both models' weights after a step over every position of the texts, and the number of positions."""
+    p, seen = model.params, 0
+    w1, w2 = model.class_weights.copy(), model.slot_weights.copy()
+    g1, g2 = np.ones(len(w1), np.float32), np.ones(len(w2), np.float32)
+    held: list[tuple[np.ndarray, ...]] = []
+    size = 0
+
+    def stepped() -> None:
+        nonlocal size
+        keys, cls, slot = (np.concatenate(x) for x in zip(*held, strict=True))
+        for a in range(0, len(cls), PIECE):
+            k, c, t = keys[a : a + PIECE], cls[a : a + PIECE], slot[a : a + PIECE]
+            gradient_steps(w1, g1, class_rows(k, p), c, p)
+            gradient_steps(w2, g2, slot_rows(k, c, p), t, p)
+        held.clear()
+        size = 0
+
+    for text in texts:
+        h, ends = tokens(text)
+        held.append((context_keys(h), *model.targets(h, ends)[:2]))
+        size, seen = size + len(h), seen + len(h)
+        if size >= PIECE:
+            stepped()
+    if held:
+        stepped()
+    return w1, w2, seen
+
+
+def _trained(docs: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    p, held = model.params, docs.sparkSession.sparkContext.broadcast(model)
 
     def steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w, seen = held.value, 0
-        for batch in batches:
-            for sample, n in zip(batch["sample"], batch["size"], strict=True):
-                f, c = (x[round_ % p.stride :: p.stride] for x in _unpacked(sample, n))
-                w, seen = gradient_steps(w, f, c, p), seen + len(c)
+        w1, w2, seen = steps_through(held.value, (t for batch in batches for t in batch["text"]))
         if seen:
-            change = (w - held.value) * np.float32(seen)
+            change = np.concatenate([(w1 - held.value.class_weights).ravel(), (w2 - held.value.slot_weights).ravel()]) * np.float32(seen)
             pid = TaskContext.get().partitionId()
             for k, part in enumerate(np.array_split(change, 16)):
                 yield pd.DataFrame({"part": [k], "pid": [pid], "n": [seen], "change": [part.astype("<f4").tobytes()]})
@@ -291,8 +311,8 @@ def _trained(samples: DataFrame, model: Model, round_: int) -> np.ndarray:
         return pd.DataFrame({"part": [group["part"].iloc[0]], "pid": [group["pid"].iloc[0] // p.fan_in], "n": [group["n"].sum()], "change": [total.astype("<f4").tobytes()]})
 
     schema = "part int, pid long, n long, change binary"
-    sums = samples.select("sample", "size").mapInPandas(steps, schema)
-    left = samples.rdd.getNumPartitions()
+    sums = docs.select("text").mapInPandas(trimmed(steps), schema)
+    left = docs.rdd.getNumPartitions()
     while True:
         sums = sums.groupBy("part", F.floor(F.col("pid") / p.fan_in)).applyInPandas(add, schema)
         left = -(-left // p.fan_in)
@@ -301,9 +321,10 @@ def _trained(samples: DataFrame, model: Model, round_: int) -> np.ndarray:
     found = sorted(sums.collect(), key=lambda r: r["part"])  # 16 rows of a sixteenth of the weights each
     held.destroy()
     if not found:
-        return model.weights
-    change = np.concatenate([np.frombuffer(r["change"], "<f4") for r in found]).reshape(model.weights.shape)
-    return model.weights + change / np.float32(found[0]["n"])
+        return model.class_weights, model.slot_weights
+    change = np.concatenate([np.frombuffer(r["change"], "<f4") for r in found]) / np.float32(found[0]["n"])
+    n = model.class_weights.size
+    return model.class_weights + change[:n].reshape(model.class_weights.shape), model.slot_weights + change[n:].reshape(model.slot_weights.shape)
 
 
 def scored(docs: DataFrame, model: Model, counts: DataFrame, scratch: Scratch) -> DataFrame:
@@ -316,9 +337,10 @@ def scored(docs: DataFrame, model: Model, counts: DataFrame, scratch: Scratch) -
             out = []
             for doc_id, text, held_out in zip(batch["doc_id"], batch["text"], batch["held_out"], strict=True):
                 h, ends = tokens(text)
-                cls, c, known = m.classes(h, ends)
-                context = log_class(m.weights, context_features(h, p), cls).sum() / np.log(10)
-                shared = cls >= p.singles
+                cls, slot, c, known = m.targets(h, ends)
+                keys = context_keys(h)
+                context = (log_softmax(m.class_weights, class_rows(keys, p), cls).sum() + log_softmax(m.slot_weights, slot_rows(keys, cls, p), slot).sum()) / np.log(10)
+                shared = slot == p.slots - 1
                 log_c = np.log10(c[known] + 1.0)
                 rest, times = np.unique(h[~known], return_counts=True)
                 inside = log_c[shared[known]].sum() - np.log10(m.class_total[cls[shared]]).sum()
@@ -326,7 +348,7 @@ def scored(docs: DataFrame, model: Model, counts: DataFrame, scratch: Scratch) -
                 row += 1
             yield pd.DataFrame(out, columns=["doc_id", "held_out", "row", "n_tokens", "known", "log_c", "s", "rest", "times"])
 
-    rows = scratch.table(docs.mapInPandas(run, "doc_id long, held_out boolean, row long, n_tokens long, known long, log_c double, s double, rest array<long>, times array<int>"), "scored")
+    rows = scratch.table(docs.mapInPandas(trimmed(run), "doc_id long, held_out boolean, row long, n_tokens long, known long, log_c double, s double, rest array<long>, times array<int>"), "scored")
     asked = rows.select("row", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("row", F.col("x.rest").alias("h"), F.col("x.times").alias("times"))
     more = asked.join(counts.select("h", "c"), "h").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("more_c"))
     zero = F.lit(0.0)
@@ -341,7 +363,7 @@ def score_documents(docs: DataFrame, params: Params | None = None, id_col: str =
     split = _split(docs, p, id_col, text_col)
     train = split.where(~F.col("held_out"))
     counts = scratch.table(_read(train, p).groupBy("h").agg(F.min("class").alias("class"), F.sum("c").alias("c")), "counts")
-    model = fit(train, counts, p, scratch)
+    model = fit(train, counts, p)
     scratch.settle()
     return scored(split, model, counts, scratch)
 
