@@ -2,24 +2,52 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH_ROWS = 2000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Sets the session's Arrow batches to at most BATCH_ROWS rows: rows of the corpus tables are whole texts, and a worker and its executor hold a batch several times over."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The function of a mapInPandas or mapInArrow; as a task ends, what it has freed goes back to the machine, as the worker stays for other tasks."""
+
+    def whole(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # not this C library
+                pass
+
+    return whole
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (in tests) a folder made once per session."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, else (on one machine, as in tests) a folder made once per session."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
-        current = spark.sparkContext.getCheckpointDir()
-        if current:
-            return current
-        where = tempfile.mkdtemp(prefix="keyspan-")
-        spark.sparkContext.setCheckpointDir(where)
-        return spark.sparkContext.getCheckpointDir()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="keyspan-"))
+        where = spark.sparkContext.getCheckpointDir()
     return where
 
 
@@ -27,6 +55,7 @@ class Scratch:
     """Parquet tables in the shared folder: they cut lineage, survive lost executors and can be read by column."""
 
     def __init__(self, spark: SparkSession):
+        bounded_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/keyspan-{uuid.uuid4().hex}"
         self.n = 0

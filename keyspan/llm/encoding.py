@@ -6,8 +6,7 @@ every unit that isn't known yet is encoded by the library. Units of letters go t
 merges act within a unit only, since no entry of the vocabulary crosses the boundary, and the ids that begin (or end) a unit show
 where each one stands. A text with unusual white space or special-token markers is encoded whole.
 
-What is known is held to a number of bytes: beyond it the most used half stays. When a task ends, a small head stays alone, so that
-a worker that goes on to other work holds little.
+What is known is held to a number of bytes: beyond it the most used half stays. An encoder belongs to one task.
 """
 
 from __future__ import annotations
@@ -16,7 +15,6 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from contextlib import contextmanager
 from itertools import repeat
 
 import numpy as np
@@ -323,21 +321,3 @@ def _boxed(arrays: list[np.ndarray]) -> np.ndarray:
     for i, a in enumerate(arrays):
         out[i] = a
     return out
-
-
-_ENCODERS: dict[tuple[str, str], CachedEncoder] = {}
-_HEAD_BYTES = 6 << 20
-
-
-@contextmanager
-def encoder(path: str, mode: str, max_bytes: int = 40 << 20) -> Iterator[CachedEncoder]:
-    """This worker's encoder of a file. It holds max_bytes of known units at most, and 6 MB (the most used) once the task is done."""
-    if (path, mode) not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[path, mode] = CachedEncoder(path, mode, max_bytes)
-    held = _ENCODERS[path, mode]
-    try:
-        yield held
-    finally:
-        held.keep(_HEAD_BYTES)
-        pa.default_memory_pool().release_unused()

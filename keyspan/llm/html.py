@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keyspan.llm.common import Scratch, bounded_broadcast
+from keyspan.llm.common import Scratch, bounded_broadcast, trimmed
 
 #: Elements whose content is no displayed text.
 _RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript"}
@@ -356,7 +356,7 @@ def winning_paths(pages: DataFrame, html_col: str = "html", url_col: str = "url"
             votes = [vote(h) for h in batch["html"]]
             yield pd.DataFrame({"host": batch["host"], "path": [v[0] for v in votes], "score": [v[1] for v in votes]})
 
-    cast = pages.select(host_of(F.col(url_col)).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html")).mapInPandas(ballots, "host string, path string, score double")
+    cast = pages.select(host_of(F.col(url_col)).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html")).mapInPandas(trimmed(ballots), "host string, path string, score double")
     counted = cast.where("path <> ''").groupBy("host", "path").agg(F.count("*").alias("pages"), F.sum("score").alias("score"))
     first = F.max(F.struct("pages", "score", F.length("path"), F.col("path")))
     return counted.groupBy("host").agg(first.alias("best")).select("host", "best.path")

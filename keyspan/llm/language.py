@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keyspan.llm.common import Scratch, bounded_broadcast
+from keyspan.llm.common import Scratch, bounded_broadcast, trimmed
 
 BUCKETS = 8192
 _SLICE = 1 << 20
@@ -99,7 +99,7 @@ def fit_text(evidence: DataFrame, p: Params, scratch: Scratch) -> tuple[list[str
             yield pd.DataFrame({"lang": lang, "bucket": at, "n": n[at]})
 
     named = evidence.where("declared <> ''").select("text", "declared")
-    cells = named.mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    cells = named.mapInPandas(trimmed(count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     cells = scratch.table(cells, "trigrams")
     langs = [r["lang"] for r in cells.select("lang").distinct().orderBy("lang").collect()]
     blocks = []

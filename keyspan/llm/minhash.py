@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keyspan.llm.common import Scratch
+from keyspan.llm.common import Scratch, trimmed
 from keyspan.llm.components import components
 from keyspan.llm.words import mix64, word_hashes
 
@@ -75,7 +75,7 @@ def _sketches(docs: DataFrame, p: Params) -> DataFrame:
             sets = [shingle_set(t, p.words) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n": [len(s) for s in sets], "mark": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], "sketch": [s[: p.k].tobytes() for s in sets]})
 
-    return docs.mapInPandas(run, "doc_id long, n long, mark binary, sketch binary")
+    return docs.mapInPandas(trimmed(run), "doc_id long, n long, mark binary, sketch binary")
 
 
 def _runs(nodes: DataFrame) -> DataFrame:
@@ -91,7 +91,7 @@ def _runs(nodes: DataFrame) -> DataFrame:
                 if sum(size):
                     yield pd.DataFrame({"run": _signed(np.concatenate(made)), "node": np.repeat(b["node"].to_numpy(), size)})
 
-    return nodes.where("n >= 2").select("node", "sketch").mapInPandas(run, "run long, node long")
+    return nodes.where("n >= 2").select("node", "sketch").mapInPandas(trimmed(run), "run long, node long")
 
 
 def _lists(nodes: DataFrame, scratch: Scratch) -> DataFrame:
@@ -168,7 +168,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, scratch: Scratch, p: Params)
                 yield pd.DataFrame({"node": b["doc_id"].to_numpy(), "whole": [shingle_set(t, p.words).tobytes() for t in b["text"]]})
 
     slots = docs.where("doc_id IS NOT NULL").withColumn("slot", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(bits)))
-    return scratch.table(slots.mapInPandas(run, "node long, whole binary").join(wanted.select("node").distinct(), "node", "left_semi"), "sets")
+    return scratch.table(slots.mapInPandas(trimmed(run), "node long, whole binary").join(wanted.select("node").distinct(), "node", "left_semi"), "sets")
 
 
 def _prefix_lists(sets: DataFrame, hot: DataFrame, scratch: Scratch, p: Params) -> DataFrame:
@@ -180,7 +180,7 @@ def _prefix_lists(sets: DataFrame, hot: DataFrame, scratch: Scratch, p: Params)
                 v = np.frombuffer(whole, np.int64)
                 yield pd.DataFrame({"node": node, "n": len(v), "value": v})
 
-    values = sets.join(hot.select("node"), "node", "left_semi").mapInPandas(explode, "node long, n long, value long")
+    values = sets.join(hot.select("node"), "node", "left_semi").mapInPandas(trimmed(explode), "node long, n long, value long")
     values = scratch.table(values.distinct(), "hot-values")
     common = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     ranked = values.join(common, "value", "left").select("node", "n", F.struct(F.coalesce("df", F.lit(1)).alias("df"), "value").alias("x"))

@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keyspan.llm.common import Scratch
-from keyspan.llm.encoding import encoder
+from keyspan.llm.common import Scratch, trimmed
+from keyspan.llm.encoding import CachedEncoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, pid int, k long"
 PLACED = T.StructType([T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
@@ -38,29 +38,29 @@ def cut_documents(docs: DataFrame, path: str, end_id: int, capacity: int, id_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid, seen = TaskContext.get().partitionId(), Counter()
-        with encoder(path, "words") as enc:
-            for batch in batches:
-                rows: list[list] = [[] for _ in range(6)]
-                doc, number, start, length, crc, rank = rows
-                for doc_id, ids in zip(batch["i"].to_pylist(), enc.encode_all(batch["t"]), strict=True):
-                    ids = np.append(ids, np.uint32(end_id)).astype("<u4", copy=False)
-                    for piece, at in enumerate(range(0, len(ids), capacity)):
-                        part = ids[at : at + capacity]
-                        n = len(part)
-                        doc.append(doc_id)
-                        number.append(piece)
-                        start.append(at)
-                        length.append(n)
-                        crc.append(zlib.crc32(part))
-                        rank.append(seen[n])
-                        seen[n] += 1
-                types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-                arrays = [pa.array(x, t) for x, t in zip(rows, types, strict=True)]
-                arrays.insert(5, pa.array([pid] * len(doc), pa.int32()))
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "piece", "start", "length", "ids_crc32", "pid", "k"])
+        enc = CachedEncoder(path, "words")
+        for batch in batches:
+            rows: list[list] = [[] for _ in range(6)]
+            doc, number, start, length, crc, rank = rows
+            for doc_id, ids in zip(batch["i"].to_pylist(), enc.encode_all(batch["t"]), strict=True):
+                ids = np.append(ids, np.uint32(end_id)).astype("<u4", copy=False)
+                for piece, at in enumerate(range(0, len(ids), capacity)):
+                    part = ids[at : at + capacity]
+                    n = len(part)
+                    doc.append(doc_id)
+                    number.append(piece)
+                    start.append(at)
+                    length.append(n)
+                    crc.append(zlib.crc32(part))
+                    rank.append(seen[n])
+                    seen[n] += 1
+            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            arrays = [pa.array(x, t) for x, t in zip(rows, types, strict=True)]
+            arrays.insert(5, pa.array([pid] * len(doc), pa.int32()))
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "piece", "start", "length", "ids_crc32", "pid", "k"])
 
     source = docs.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    return source.mapInArrow(run, PIECES)
+    return source.mapInArrow(trimmed(run), PIECES)
 
 
 def best_two_fit(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:

@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from keyspan.llm.common import bounded_batches, trimmed
+
 DIMENSIONS = 8192
 _STYLE = 512  # the last dimensions hold bucketed style measures
 _SLICE = 1 << 20
@@ -148,6 +150,7 @@ def _code_column(docs: DataFrame, text: str) -> DataFrame:
 def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", params: Params | None = None) -> np.ndarray | None:
     """The scorer's weights; None for a table without rows."""
     p = params or Params()
+    bounded_batches(docs.sparkSession)
     counts = {r["code"]: r["count"] for r in _code_column(docs, text).groupBy("code").count().collect()}  # at most 3**LABELLERS rows
     total = sum(counts.values())
     if not total:
@@ -167,7 +170,7 @@ def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", params: Params
         if len(all_):
             yield pd.DataFrame({"w": [train(list(map(np.asarray, all_["idx"])), list(map(np.asarray, all_["val"])), all_["target"].to_numpy(float), p)]})
 
-    sample = picked.mapInPandas(prepare, "idx array<int>, val array<double>, target double").limit(2 * p.sample_docs)
+    sample = picked.mapInPandas(trimmed(prepare), "idx array<int>, val array<double>, target double").limit(2 * p.sample_docs)
     found = sample.repartition(1).mapInPandas(learn, "w array<double>").first()
     return np.array(found["w"]) if found else np.zeros(DIMENSIONS + 1)
 
@@ -175,6 +178,7 @@ def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", params: Params
 def scored(docs: DataFrame, weights: np.ndarray | None, text: str = "text", params: Params | None = None) -> DataFrame:
     """Columns row (the input row), quality, accepted."""
     p = params or Params()
+    bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(weights if weights is not None else np.zeros(DIMENSIONS + 1))
 
     @F.pandas_udf(T.DoubleType())

@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keyspan.llm.common import Scratch
-from keyspan.llm.encoding import encoder
+from keyspan.llm.common import Scratch, trimmed
+from keyspan.llm.encoding import CachedEncoder
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _INVERSE = pow(_MULTIPLIER, -1, 2**64)
@@ -125,21 +125,21 @@ def encode_documents(docs: DataFrame, path: str, end_id: int, id_col: str = "doc
         import zstandard
 
         pack = zstandard.ZstdCompressor(level=1)
-        with encoder(path, "attached") as enc:
-            for batch in batches:
-                doc_ids, documents, size = [], [], 0
-                for doc_id, ids in zip(batch["i"].to_pylist(), enc.encode_all(batch["t"]), strict=True):
-                    doc_ids.append(doc_id)
-                    documents.append(np.append(ids, np.uint32(end_id)))
-                    size += len(ids) + 1
-                    if size > 1 << 20:
-                        yield stored(doc_ids, documents, pack)
-                        doc_ids, documents, size = [], [], 0
-                if documents:
+        enc = CachedEncoder(path, "attached")
+        for batch in batches:
+            doc_ids, documents, size = [], [], 0
+            for doc_id, ids in zip(batch["i"].to_pylist(), enc.encode_all(batch["t"]), strict=True):
+                doc_ids.append(doc_id)
+                documents.append(np.append(ids, np.uint32(end_id)))
+                size += len(ids) + 1
+                if size > 1 << 20:
                     yield stored(doc_ids, documents, pack)
+                    doc_ids, documents, size = [], [], 0
+            if documents:
+                yield stored(doc_ids, documents, pack)
 
     source = docs.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    return source.mapInArrow(run, ENCODED)
+    return source.mapInArrow(trimmed(run), ENCODED)
 
 
 def merkle_root(leaves: list[bytes]) -> bytes:
@@ -229,7 +229,7 @@ def read_chunks(spark: SparkSession, where: str) -> DataFrame:
             raw = [_ids(w, p, unpack).tobytes() for w, p in zip(batch["width"], batch["payload"], strict=True)]
             yield pd.DataFrame({"digest": batch["digest"], "intact": [_digest(r) == bytes(d) for r, d in zip(raw, batch["digest"], strict=True)], "n": [len(r) // 4 for r in raw], "crc": [zlib.crc32(r) for r in raw]})
 
-    return spark.read.parquet(f"{where}/chunks").mapInPandas(run, "digest binary, intact boolean, n long, crc long")
+    return spark.read.parquet(f"{where}/chunks").mapInPandas(trimmed(run), "digest binary, intact boolean, n long, crc long")
 
 
 @F.pandas_udf(T.LongType())
@@ -275,7 +275,7 @@ def read_documents(spark: SparkSession, where: str) -> DataFrame:
 
     steps = _steps(spark, where).join(spark.read.parquet(f"{where}/chunks"), "digest")
     docs = steps.groupBy("part", "pos").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("seq", "width", "payload"))).alias("chunks"))
-    return docs.select("doc_id", "chunks").mapInPandas(run, "doc_id long, ids array<long>")
+    return docs.select("doc_id", "chunks").mapInPandas(trimmed(run), "doc_id long, ids array<long>")
 
 
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

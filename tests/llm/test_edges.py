@@ -106,7 +106,7 @@ def test_damage_is_seen(spark, docs, tmp_path):
 
 
 def test_lm(spark, docs):
-    got = lm.score_documents(docs, lm.Params(rounds=1, stride=2)).collect()
+    got = lm.score_documents(docs, lm.Params(rounds=1)).collect()
     assert len(got) == docs.count()
     assert all(r["n_tokens"] == 1 for r in got if r["doc_id"] in (0, 1, 2))
     assert lm.score_documents(docs.limit(0)).count() == 0
