@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyspan.operators.snapshot import bulk_build, delete_many, put_many
+from keyspan.operators.snapshot import bulk_build
 from keyspan.sources.store import Store
 
 
@@ -17,24 +18,24 @@ def follow_logs(spark: SparkSession, where: str) -> DataFrame:
     return spark.readStream.text(where).select("value", F.col("_metadata.file_path").alias("file"))
 
 
-def commit_feed(store: Store, branch: str, author: str = "feed") -> Callable[[DataFrame, int], None]:
+def commit_feed(store: Store, branch: str, author: str = "feed", clock: Callable[[], float] = time.time) -> Callable[[DataFrame, int], None]:
     """foreachBatch function: applies a batch of changes (key, value; null value: delete; ord) to a branch and commits it.
 
-    The batch id in the message makes a repeated batch a no-op.
+    Only the buckets that a batch touches are read and written. The batch id in the message makes a repeated batch a no-op.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
         tip = store.refs().get(f"branch/{branch}")
         message = f"batch {number}"
-        if tip and not store.commits().where((F.col("hash") == tip) & (F.col("message") == message)).isEmpty():
+        last = store.commits().where(F.col("hash") == tip).first() if tip else None
+        if last and last["message"] == message:
             return
-        spark = batch.sparkSession
-        tree = store.commits().where(F.col("hash") == tip).first()["tree"] if tip else None
-        now = store.snapshot(tree).select("key", "value") if tree else spark.createDataFrame([], "key string, value string")
-        changes = bulk_build(batch.select("key", "value", "ord"), [F.col("ord")]).drop("ord")
-        after = delete_many(put_many(now, changes.where("value IS NOT NULL")), changes.where("value IS NULL"))
-        name = store.write_snapshot(after)
-        store.set_ref("branch", branch, store.commit(name, [tip] if tip else [], author, message, number), expected=tip)
+        changes = bulk_build(batch.select("key", "value", "ord"), [F.col("ord")]).drop("ord").persist()
+        try:
+            name = store.apply(last["tree"] if last else None, changes)
+        finally:
+            changes.unpersist()
+        store.set_ref("branch", branch, store.commit(name, [tip] if tip else [], author, message, int(clock())), expected=tip)
 
     return apply
 

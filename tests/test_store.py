@@ -40,6 +40,80 @@ def test_snapshots(spark, tmp_path):
     assert s.diff(empty, one).count() == 300
 
 
+def test_damaged_objects(spark, tmp_path):
+    s = Store(spark, str(tmp_path))
+    rows = spark.createDataFrame([(bytearray(b"x" * 99),), (bytearray(b"y"),)], "bytes binary")
+    named = s.put(rows).select("hash").collect()
+    bad = s.objects().where(F.col("hash") == named[0]["hash"]).withColumn("bytes", F.lit(bytearray(b"z"))).select("hash", "kind", "bytes", "shard").collect()
+    s.delete(spark.createDataFrame([(named[0]["hash"],)], "hash string"))
+    spark.createDataFrame(bad, "hash string, kind string, bytes binary, shard string").write.mode("append").partitionBy("shard").parquet(f"{s.root}/objects")
+    wanted = spark.createDataFrame([(r["hash"],) for r in named] + [("0" * 64,)], "hash string")
+    assert sorted(r["status"] for r in s.read(wanted).collect()) == ["corrupt", "missing", "ok"]
+    assert s.quarantine() == 1 and s.quarantine() == 0 and s.objects().count() == 1
+    s.put(rows)
+    assert sorted(r["status"] for r in s.read(wanted).collect()) == ["missing", "ok", "ok"]
+
+
+def test_deleting_keeps_the_rest_of_a_shard(spark, tmp_path):
+    s = Store(spark, str(tmp_path))
+    s.put(spark.createDataFrame([(bytearray(str(i).encode()),) for i in range(600)], "bytes binary"))
+    gone = s.objects().orderBy("hash").limit(150).select("hash").collect()
+    # rows that a broken-off delete left twice
+    s.objects().where("shard < '80'").write.mode("append").partitionBy("shard").parquet(f"{s.root}/objects")
+    s.delete(spark.createDataFrame(gone, "hash string"))
+    left = [r["hash"] for r in s.objects().select("hash").collect()]
+    assert set(left) & {r["hash"] for r in gone} == set() and len(set(left)) == 450
+
+
+def test_broken_off_snapshots_are_written_again(spark, tmp_path):
+    import shutil
+
+    s = Store(spark, str(tmp_path))
+    rows = snap(spark, {f"k{i}": str(i) for i in range(50)})
+    name = s.write_snapshot(rows)
+    shutil.rmtree(tmp_path / "snapshots" / name)
+    (tmp_path / "snapshots" / name).mkdir()
+    with pytest.raises(FileNotFoundError):
+        s.snapshot(name)
+    assert s.write_snapshot(rows) == name and s.snapshot(name).count() == 50
+
+
+def test_changes_touch_their_buckets_alone(spark, tmp_path):
+    s = Store(spark, str(tmp_path))
+    a = {f"k{i}": str(i) for i in range(500)}
+    one = s.write_snapshot(snap(spark, a))
+    two = s.apply(one, spark.createDataFrame([("k7", "new"), ("k8", None)], "key string, value string"))
+    assert two == s.write_snapshot(snap(spark, {k: v for k, v in (a | {"k7": "new"}).items() if k != "k8"}))
+    homes = [{r["bucket"]: r["home"] for r in s.manifest(x).collect()} for x in (one, two)]
+    assert 1 <= sum(homes[0][b] != h for b, h in homes[1].items()) <= 2
+    assert sorted(tuple(r) for r in s.diff(one, two).collect()) == [("k7", "modified", "7", "new"), ("k8", "removed", "8", None)]
+
+
+def test_divisions_of_different_size(spark, tmp_path):
+    s = Store(spark, str(tmp_path))
+    a = {f"k{i}": str(i) for i in range(300)}
+    one, two = s.write_snapshot(snap(spark, a), 64), s.write_snapshot(snap(spark, a | {"k3": "x"}), 256)
+    assert [tuple(r) for r in s.diff(one, two).collect()] == [("k3", "modified", "3", "x")]
+
+
+def test_a_crash_leaves_the_references(spark, tmp_path):
+    s = Store(spark, str(tmp_path), lock_seconds=0.5)
+    s.set_ref("branch", "main", "c1")
+    (tmp_path / "refs" / "fresh-dead").write_text("{broken")
+    (tmp_path / "refs" / "lock").write_text("dead")
+    assert s.refs() == {"branch/main": "c1"}
+    with pytest.raises(RefConflict):
+        Store(spark, str(tmp_path)).set_ref("branch", "main", "c2", expected="c1")
+    import time
+
+    time.sleep(1.2)
+    s.set_ref("branch", "main", "c2", expected="c1")
+    assert s.refs() == {"branch/main": "c2"} and not (tmp_path / "refs" / "lock").exists()
+    with pytest.raises(RefConflict):
+        s.set_refs({"branch/main": ("c3", "c2"), "branch/x": ("c1", "c9")})
+    assert s.refs() == {"branch/main": "c2"}
+
+
 def test_references(spark, tmp_path):
     s = Store(spark, str(tmp_path))
     c1 = s.commit("t1", [], "me", "one", 1)
