@@ -6,13 +6,14 @@ import ctypes
 import gc
 import tempfile
 import uuid
+import warnings
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -22,24 +23,46 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
+def _trim() -> None:
+    """Hands memory that this worker has freed back to the machine."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
 def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """The function of a mapInPandas or mapInArrow; as a task ends, what it has freed goes back to the machine, as the worker stays for other tasks."""
+    """The function of a mapInPandas or mapInArrow; as a task starts and ends, freed memory goes back, as workers stay for tasks of other stages."""
 
     def whole(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
+        _trim()
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (AttributeError, OSError):  # not this C library
-                pass
+            _trim()
 
     return whole
 
 
+def series_udf(f: Callable, kind):
+    """A pandas UDF of series, as a stream of batches, that hands freed memory back as trimmed() does."""
+
+    def whole(batches: Iterator) -> Iterator:
+        _trim()
+        try:
+            for b in batches:
+                yield f(*b) if isinstance(b, tuple) else f(b)
+        finally:
+            _trim()
+
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        return F.pandas_udf(whole, kind, F.PandasUDFType.SCALAR_ITER)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, else (on one machine, as in tests) a folder made once per session."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

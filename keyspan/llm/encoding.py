@@ -32,7 +32,7 @@ _MARKS = ".,!?;:*#%&$|"
 #: Where the last letters of words stand in the files that mark word ends: one private character for each byte.
 _FINAL = 0xE000
 _JOINED = 64
-_SLICE_BYTES = 1 << 21
+_SLICE_BYTES = 1 << 20
 _NONE = np.zeros(0, np.uint32)
 #: Bytes of a unit's string, table entry and numbers beside its letters and ids.
 _ENTRY = 180
@@ -68,7 +68,7 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class CachedEncoder:
     """Encodes texts; mode 'attached': a blank belongs to the word after it; 'words': white space is dropped."""
 
-    def __init__(self, path: str, mode: str, max_bytes: int = 40 << 20):
+    def __init__(self, path: str, mode: str, max_bytes: int = 24 << 20):
         if mode not in MODES:
             raise ValueError(f"mode is one of {MODES}")
         os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keyspan.llm.common import Scratch, bounded_broadcast, trimmed
+from keyspan.llm.common import Scratch, bounded_broadcast, series_udf, trimmed
 
 #: Elements whose content is no displayed text.
 _RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript"}
@@ -368,11 +368,10 @@ def main_texts(pages: DataFrame, html_col: str = "html", url_col: str = "url", m
     paths = scratch.table(winning_paths(pages, html_col, url_col), "paths")
     held = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row"), host_of(F.col(url_col)).alias("host"))
 
-    @F.pandas_udf("string")
     def text(html: pd.Series, path: pd.Series) -> pd.Series:
         return pd.Series([extract(h, p) for h, p in zip(html, path, strict=True)], dtype=object)
 
-    return held.join(bounded_broadcast(paths, max_broadcast_hosts), "host", "left").select("row", text(F.coalesce(F.col(f"row.`{html_col}`"), F.lit("")), F.col("path")).alias("text"))
+    return held.join(bounded_broadcast(paths, max_broadcast_hosts), "host", "left").select("row", series_udf(text, "string")(F.coalesce(F.col(f"row.`{html_col}`"), F.lit("")), F.col("path")).alias("text"))
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keyspan.llm.common import Scratch, bounded_broadcast, trimmed
+from keyspan.llm.common import Scratch, bounded_broadcast, series_udf, trimmed
 
 BUCKETS = 8192
 _SLICE = 1 << 20
@@ -122,12 +122,11 @@ def _text_scores(text: str, blocks: list[Broadcast]) -> np.ndarray | None:
 
 
 def _guesser(blocks: list[Broadcast]):
-    @F.pandas_udf(T.IntegerType())
     def guess(texts: pd.Series) -> pd.Series:
         scores = (_text_scores(t, blocks) for t in texts)
         return pd.Series([-1 if s is None else int(s.argmax()) for s in scores], dtype="int32")
 
-    return guess
+    return series_udf(guess, T.IntegerType())
 
 
 def _fuser(blocks: list[Broadcast], whole: np.ndarray, p: Params):
@@ -140,7 +139,6 @@ def _fuser(blocks: list[Broadcast], whole: np.ndarray, p: Params):
             out[places] = counts
         return out
 
-    @F.pandas_udf("g int, posterior double")
     def fuse(texts: pd.Series, suffix: pd.Series, declared: pd.Series, sg: pd.Series, sn: pd.Series, hg: pd.Series, hn: pd.Series, dg: pd.Series, dn: pd.Series) -> pd.DataFrame:
         best, posterior = [], []
         for t, of_suffix, said, *cells in zip(texts, suffix, declared, sg, sn, hg, hn, dg, dn, strict=True):
@@ -160,7 +158,7 @@ def _fuser(blocks: list[Broadcast], whole: np.ndarray, p: Params):
             posterior.append(1 / np.exp(z - z.max()).sum())
         return pd.DataFrame({"g": np.array(best, np.int32), "posterior": posterior})
 
-    return fuse
+    return series_udf(fuse, "g int, posterior double")
 
 
 def _tally(cells: DataFrame, keys: list[str], name: str) -> DataFrame:

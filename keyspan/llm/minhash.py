@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keyspan.llm.common import Scratch, trimmed
+from keyspan.llm.common import Scratch, series_udf, trimmed
 from keyspan.llm.components import components
 from keyspan.llm.words import mix64, word_hashes
 
@@ -110,7 +110,6 @@ def _stars(lists: DataFrame, least: int) -> DataFrame:
 
 
 def _estimate(p: Params):
-    @F.pandas_udf(T.BooleanType())
     def likely(a: pd.Series, b: pd.Series) -> pd.Series:
         t, out = p.percent / 100, []
         for x, y in zip(a, b, strict=True):
@@ -122,10 +121,9 @@ def _estimate(p: Params):
             out.append(both >= union * t - 6 * np.sqrt(union * t * (1 - t)))
         return pd.Series(out, dtype=bool)
 
-    return likely
+    return series_udf(likely, T.BooleanType())
 
 
-@F.pandas_udf(T.LongType())
 def _shared(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(a, b, strict=True)], dtype="int64")
 
@@ -143,7 +141,7 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
     """The links among the pairs (a, b), by whole sets."""
-    full = pairs.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b").withColumn("both", _shared("xa", "xb"))
+    full = pairs.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b").withColumn("both", series_udf(_shared, T.LongType())("xa", "xb"))
     size = lambda c: F.octet_length(c) / 8
     return full.where(F.col("both") * 100 >= (size("xa") + size("xb") - F.col("both")) * p.percent).select("a", "b")
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keyspan.llm.common import Scratch, trimmed
+from keyspan.llm.common import Scratch, series_udf, trimmed
 from keyspan.llm.encoding import CachedEncoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, pid int, k long"
@@ -144,7 +144,6 @@ def pack(docs: DataFrame, path: str, end_id: int, capacity: int) -> DataFrame:
     counts = {r["length"]: r["n"] for r in per_part.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # at most `capacity` rows
     where = docs.sparkSession.sparkContext.broadcast(placements(best_two_fit(counts, capacity)))
 
-    @F.pandas_udf(PLACED)
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
         seq, off, ranks, lengths = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64), rank.to_numpy(), length.to_numpy()
         for n in np.unique(lengths):
@@ -158,7 +157,7 @@ def pack(docs: DataFrame, path: str, end_id: int, capacity: int) -> DataFrame:
 
     before = Window.partitionBy("length").orderBy("pid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     starts = per_part.select("pid", "length", (F.sum("count").over(before) - F.col("count")).alias("first"))
-    placed = pieces.join(starts, ["pid", "length"]).withColumn("at", place("length", F.col("first") + F.col("k")))
+    placed = pieces.join(starts, ["pid", "length"]).withColumn("at", series_udf(place, PLACED)("length", F.col("first") + F.col("k")))
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "at.sequence_id", "at.offset")
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keyspan.llm.common import bounded_batches, trimmed
+from keyspan.llm.common import bounded_batches, series_udf, trimmed
 
 DIMENSIONS = 8192
 _STYLE = 512  # the last dimensions hold bucketed style measures
@@ -140,11 +140,10 @@ def train(idx: list[np.ndarray], val: list[np.ndarray], target: np.ndarray, p: P
 
 
 def _code_column(docs: DataFrame, text: str) -> DataFrame:
-    @F.pandas_udf(T.IntegerType())
     def code(texts: pd.Series) -> pd.Series:
-        return texts.map(vote_code)
+        return texts.map(vote_code).astype("int32")
 
-    return docs.select(code(F.coalesce(F.col(text), F.lit(""))).alias("code"))
+    return docs.select(series_udf(code, T.IntegerType())(F.coalesce(F.col(text), F.lit(""))).alias("code"))
 
 
 def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", params: Params | None = None) -> np.ndarray | None:
@@ -181,7 +180,6 @@ def scored(docs: DataFrame, weights: np.ndarray | None, text: str = "text", para
     bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(weights if weights is not None else np.zeros(DIMENSIONS + 1))
 
-    @F.pandas_udf(T.DoubleType())
     def score(texts: pd.Series) -> pd.Series:
         def one(t: str) -> float:
             if not t.split():
@@ -191,7 +189,7 @@ def scored(docs: DataFrame, weights: np.ndarray | None, text: str = "text", para
 
         return texts.map(one).astype(float)
 
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), score(F.coalesce(F.col(text), F.lit(""))).alias("quality"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), series_udf(score, T.DoubleType())(F.coalesce(F.col(text), F.lit(""))).alias("quality"))
     return rows.withColumn("accepted", F.col("quality") >= p.least_score)
 
 
