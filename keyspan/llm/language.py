@@ -4,12 +4,12 @@ log P(language | document) is, up to a constant, the sum of
 
 * ``text_weight`` times the log-likelihood of the text's byte trigrams (hashed to a fixed number of buckets; the weight below 1
   allows for the dependence of neighbouring trigrams),
-* log P(declared language | language), where declared is the ``lang`` attribute of the text's own ``<html>`` tag, else the
-  declared column,
-* log P(address suffix | language), from the address column or the first web address in the text,
-* the log prior of the host, smoothed towards its suffix group and that towards the whole corpus.
+* log P(declared language | language, one is declared), where declared is the ``lang`` attribute of the text's own ``<html>`` tag, else
+  the declared column, with add-a-half counts over the declared codes,
+* the log prior of the host, smoothed towards that of its address suffix and that towards the whole corpus; the suffix comes from
+  the address column or the first web address in the text, and counts here alone.
 
-Trigram tables come from all documents that declare a language; the other three tables are grouped aggregates over all
+Trigram tables come from all documents that declare a language; the other tables are grouped aggregates over all
 documents of the text's own best guess. A document is accepted if it holds a letter and its best posterior reaches
 ``least_posterior``.
 
@@ -129,9 +129,16 @@ def _guesser(blocks: list[Broadcast]):
     return series_udf(guess, T.IntegerType())
 
 
-def _fuser(blocks: list[Broadcast], whole: np.ndarray, p: Params):
-    """The place of the best language (-1 if the text has no letter) and its posterior, from the text and the counts (sparse, by guess) of its suffix, host and declared language."""
+def fused(s: np.ndarray, whole: np.ndarray, n_suffix: np.ndarray, n_host: np.ndarray, n_said: np.ndarray | None, declaring: np.ndarray, p: Params) -> np.ndarray:
+    """Log-posterior of each language but for a constant: the text's log-likelihoods s, and by guess the documents in all, of the suffix, of the host, that declare the same, and that declare anything."""
     top = whole / whole.sum()
+    prior = (n_suffix + p.smoothing * top) / (n_suffix.sum() + p.smoothing)
+    z = s * p.text_weight + np.log((n_host + p.smoothing * prior) / (n_host.sum() + p.smoothing))
+    return z if n_said is None else z + np.log((n_said + 0.5) / (declaring + 0.5 * len(whole)))
+
+
+def _fuser(blocks: list[Broadcast], whole: np.ndarray, declaring: np.ndarray, p: Params):
+    """The place of the best language (-1 if the text has no letter) and its posterior, from the text and the counts (sparse, by guess) of its suffix, host and declared language."""
 
     def dense(places: np.ndarray | None, counts: np.ndarray | None) -> np.ndarray:
         out = np.zeros(len(whole))
@@ -139,21 +146,16 @@ def _fuser(blocks: list[Broadcast], whole: np.ndarray, p: Params):
             out[places] = counts
         return out
 
-    def fuse(texts: pd.Series, suffix: pd.Series, declared: pd.Series, sg: pd.Series, sn: pd.Series, hg: pd.Series, hn: pd.Series, dg: pd.Series, dn: pd.Series) -> pd.DataFrame:
+    def fuse(texts: pd.Series, declared: pd.Series, sg: pd.Series, sn: pd.Series, hg: pd.Series, hn: pd.Series, dg: pd.Series, dn: pd.Series) -> pd.DataFrame:
         best, posterior = [], []
-        for t, of_suffix, said, *cells in zip(texts, suffix, declared, sg, sn, hg, hn, dg, dn, strict=True):
+        for t, said, *cells in zip(texts, declared, sg, sn, hg, hn, dg, dn, strict=True):
             s = _text_scores(t, blocks)
             if s is None:
                 best.append(-1)
                 posterior.append(0.0)
                 continue
             n_suffix, n_host, n_said = (dense(*cells[i : i + 2]) for i in (0, 2, 4))
-            prior = (n_suffix + p.smoothing * top) / (n_suffix.sum() + p.smoothing)
-            z = s * p.text_weight + np.log((n_host + p.smoothing * prior) / (n_host.sum() + p.smoothing))
-            if of_suffix:
-                z += np.log((n_suffix + 0.5) / (whole + 1))
-            if said:
-                z += np.log((n_said + 0.5) / (whole + 1))
+            z = fused(s, whole, n_suffix, n_host, n_said if said else None, declaring, p)
             best.append(int(z.argmax()))
             posterior.append(1 / np.exp(z - z.max()).sum())
         return pd.DataFrame({"g": np.array(best, np.int32), "posterior": posterior})
@@ -178,14 +180,15 @@ def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang",
         return evidence.select("row", "declared", F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("posterior"), F.lit(False).alias("accepted"))
     guesses = evidence.select("suffix", "host", "declared", _guesser(blocks)("text").alias("g")).where("g >= 0")
     cells = scratch.table(guesses.groupBy("suffix", "host", "declared", "g").count(), "cells")
-    whole = np.ones(len(langs))
-    for r in cells.groupBy("g").agg(F.sum("count").alias("n")).collect():  # at most a row per language
+    whole, declaring = np.ones(len(langs)), np.zeros(len(langs))
+    for r in cells.groupBy("g").agg(F.sum("count").alias("n"), F.sum(F.when(F.col("declared") != "", F.col("count")).otherwise(0)).alias("said")).collect():  # at most a row per language
         whole[r["g"]] += r["n"]
+        declaring[r["g"]] = r["said"]
     prior = scratch.table(_tally(cells, ["suffix", "host"], "h").join(_tally(cells, ["suffix"], "s"), "suffix"), "prior")
     said = scratch.table(_tally(cells, ["declared"], "d"), "declared")
     joined = evidence.join(bounded_broadcast(prior, p.max_broadcast_hosts), ["suffix", "host"], "left").join(bounded_broadcast(said, p.max_broadcast_hosts), "declared", "left")
     names = F.array(*map(F.lit, langs))
-    fused = joined.withColumn("found", _fuser(blocks, whole, p)("text", "suffix", "declared", "sg", "sn", "hg", "hn", "dg", "dn"))
+    fused = joined.withColumn("found", _fuser(blocks, whole, declaring, p)("text", "declared", "sg", "sn", "hg", "hn", "dg", "dn"))
     return fused.select("row", "declared", F.when(F.col("found.g") >= 0, F.element_at(names, F.col("found.g") + 1)).alias("language"), F.col("found.posterior").alias("posterior")).withColumn("accepted", F.col("language").isNotNull() & (F.col("posterior") >= p.least_posterior))
 
 

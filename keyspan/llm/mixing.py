@@ -5,6 +5,8 @@ cells' weights until their margins match the targets for sources, languages and
 proportional to its cell's calibrated weight; the largest such probability is 1, so no margin is bent by clipping. The draw is
 a hash of the document's id, text and a seed, so it can be repeated and doesn't depend on partitioning.
 
+The topic is a column if one is named, else the coarse subject that the form of the text gives (`topic_of`).
+
 Targets are shares per value. Where none are given, the share of tokens to a power below 1 is taken, which lifts rare values. Values
 without a target get none of the weight and are left out only if targets were given.
 
@@ -28,7 +30,7 @@ MARGINS = ("source", "language", "topic")
 
 @dataclass(frozen=True)
 class Params:
-    power: dict[str, float] = field(default_factory=lambda: {"source": 0.8, "language": 0.9, "topic": 1.0})
+    power: dict[str, float] = field(default_factory=lambda: {"source": 0.8, "language": 0.9, "topic": 0.9})
     targets: dict[str, dict[str, float]] = field(default_factory=dict)
     rounds: int = 50
     tolerance: float = 1e-9
@@ -48,9 +50,10 @@ def topic_of(text: Column) -> Column:
         .when(text.rlike(r"[0-9]{6}"), "record").otherwise("prose"))
 
 
-def _cells(docs: DataFrame, source: Column, language: Column, text: Column) -> DataFrame:
+def _cells(docs: DataFrame, source: Column, language: Column, text: Column, topic: Column | None = None) -> DataFrame:
     safe = F.coalesce(text, F.lit(""))
-    return docs.withColumn("cell", F.struct(F.coalesce(source.cast("string"), F.lit("")).alias("source"), F.coalesce(language.cast("string"), F.lit("")).alias("language"), topic_of(safe).alias("topic"))).withColumn("tokens", token_count(safe).cast("long"))
+    subject = topic_of(safe) if topic is None else F.coalesce(topic.cast("string"), F.lit(""))
+    return docs.withColumn("cell", F.struct(F.coalesce(source.cast("string"), F.lit("")).alias("source"), F.coalesce(language.cast("string"), F.lit("")).alias("language"), subject.alias("topic"))).withColumn("tokens", token_count(safe).cast("long"))
 
 
 def _target(tokens: dict[str, float], p: Params, margin: str) -> dict[str, float]:
@@ -113,12 +116,12 @@ def _rake_frame(cells: DataFrame, p: Params, scratch: Scratch) -> DataFrame:
     return now.select(*MARGINS, "tokens", "w")
 
 
-def probabilities(docs: DataFrame, source: str = "source", language: str = "lang", text: str = "text", params: Params | None = None) -> DataFrame:
+def probabilities(docs: DataFrame, source: str = "source", language: str = "lang", text: str = "text", params: Params | None = None, topic: str | None = None) -> DataFrame:
     """(source, language, topic, tokens, probability) of every cell."""
     p, spark = params or Params(), docs.sparkSession
     scratch = Scratch(spark)
-    bare = docs.select(F.col(source).alias("s"), F.col(language).alias("l"), F.col(text).alias("t"))
-    cells = scratch.table(_cells(bare, F.col("s"), F.col("l"), F.col("t")).groupBy("cell").agg(F.sum("tokens").alias("tokens")).select("cell.*", "tokens"), "cells")
+    bare = docs.select(F.col(source).alias("s"), F.col(language).alias("l"), F.col(text).alias("t"), (F.col(topic) if topic else F.lit(None)).alias("subject"))
+    cells = scratch.table(_cells(bare, F.col("s"), F.col("l"), F.col("t"), F.col("subject") if topic else None).groupBy("cell").agg(F.sum("tokens").alias("tokens")).select("cell.*", "tokens"), "cells")
     schema = "source string, language string, topic string, tokens long, w double"
     if cells.limit(p.max_driver_cells + 1).count() <= p.max_driver_cells:
         rows = [((r["source"], r["language"], r["topic"]), r["tokens"]) for r in cells.orderBy(*MARGINS).collect()]
@@ -129,12 +132,12 @@ def probabilities(docs: DataFrame, source: str = "source", language: str = "lang
     return weighed.select(*MARGINS, "tokens", F.when(F.col("tokens") > 0, F.col("w") / top).otherwise(1.0).alias("probability"))
 
 
-def drawn(docs: DataFrame, source: str = "source", language: str = "lang", text: str = "text", key: str = "doc_id", params: Params | None = None) -> DataFrame:
+def drawn(docs: DataFrame, source: str = "source", language: str = "lang", text: str = "text", key: str = "doc_id", params: Params | None = None, topic: str | None = None) -> DataFrame:
     """Columns row (the input row), source, language, topic, tokens, probability, kept."""
     p = params or Params()
-    odds = bounded_broadcast(probabilities(docs, source, language, text, p).drop("tokens"), p.max_driver_cells)
+    odds = bounded_broadcast(probabilities(docs, source, language, text, p, topic).drop("tokens"), p.max_driver_cells)
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    cells = _cells(held, F.col(f"row.`{source}`"), F.col(f"row.`{language}`"), F.col(f"row.`{text}`")).select("row", "cell.*", "tokens")
+    cells = _cells(held, F.col(f"row.`{source}`"), F.col(f"row.`{language}`"), F.col(f"row.`{text}`"), F.col(f"row.`{topic}`") if topic else None).select("row", "cell.*", "tokens")
     draw = F.pmod(F.xxhash64(F.col(f"row.`{key}`"), F.col(f"row.`{text}`"), F.lit(p.seed)), F.lit(1 << 52)) / float(1 << 52)
     return cells.join(odds, list(MARGINS)).withColumn("kept", draw < F.col("probability"))
 

@@ -3,7 +3,8 @@
 Overlapping heuristic labellers vote good, bad or nothing on every document. The number of documents with each combination of
 votes (at most 3 to the power of the labellers, however many documents) is all that expectation-maximisation needs to estimate
 each labeller's behaviour given the hidden class. The posterior of the class given the votes then labels a sample of at most
-``sample_docs`` documents, spread by a hash of the id, on which a linear scorer over hashed features is trained in one task.
+``sample_docs`` documents, those with the smallest hashes of id and text (the same ones whatever the partitioning), on which a
+linear scorer over hashed features is trained in one task.
 The scorer rates all documents; those below ``least_score`` are rejected.
 
 Defined cases: null or empty text has no words, gets score 0 and is rejected; null ids are scored like any other; repeated rows
@@ -155,21 +156,21 @@ def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", params: Params
     if not total:
         return None
     q = posterior_by_code(counts, p.em_rounds)
-    share = min(1.0, p.sample_docs / total)
-    spread = F.pmod(F.xxhash64(F.col(key), F.lit(p.seed)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1
-    picked = docs.where(spread).select(F.coalesce(F.col(text), F.lit("")).alias("text"))
+    keyed = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.xxhash64(F.col(key), F.col(text), F.lit(p.seed)).alias("h"))
+    last = keyed.select("h").orderBy("h").limit(p.sample_docs).agg(F.max("h")).first()[0]
+    picked = keyed.where(F.col("h") <= last).dropDuplicates(["h"])
 
     def prepare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             made = [features(t) for t in batch["text"]]
-            yield pd.DataFrame({"idx": [a for a, _ in made], "val": [b for _, b in made], "target": [float(q[vote_code(t)]) for t in batch["text"]]})
+            yield pd.DataFrame({"h": batch["h"], "idx": [a for a, _ in made], "val": [b for _, b in made], "target": [float(q[vote_code(t)]) for t in batch["text"]]})
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        all_ = pd.concat([pd.DataFrame({"idx": [], "val": [], "target": []}), *batches])
+        all_ = pd.concat([pd.DataFrame({"h": [], "idx": [], "val": [], "target": []}), *batches]).sort_values("h")
         if len(all_):
             yield pd.DataFrame({"w": [train(list(map(np.asarray, all_["idx"])), list(map(np.asarray, all_["val"])), all_["target"].to_numpy(float), p)]})
 
-    sample = picked.mapInPandas(trimmed(prepare), "idx array<int>, val array<double>, target double").limit(2 * p.sample_docs)
+    sample = picked.mapInPandas(trimmed(prepare), "h long, idx array<int>, val array<double>, target double")
     found = sample.repartition(1).mapInPandas(learn, "w array<double>").first()
     return np.array(found["w"]) if found else np.zeros(DIMENSIONS + 1)
 
