@@ -9,9 +9,9 @@ and t = 0.8 a link without such a run has a chance under 1e-14, and sets of at m
 3. each list's most central class (the one whose lists are longest in all) is compared with those others of the list that share
    three lists with it, and links found there join classes into components;
 4. lists that still hold several components yield all pairs between components, if the list is short; pairs with at least three
-   runs in common are candidates (a link has fewer with a chance under 1e-9), or with one if the sets are small. A class most of whose
-   runs lie in long lists (large groups of near copies, or texts that consist mainly of a passage many others share) is paired by
-   an exact prefix filter instead: its rarest shingles, a share of 1 - t of the set and one more, meet those of each partner;
+   runs in common are candidates (a link has fewer with a chance under 1e-9), or with one if the sets are small. A class with a quarter
+   of its runs (`hot_share`) in long lists (large groups of near copies, or texts that hold a passage many others share) is paired
+   by an exact prefix filter instead: its rarest shingles, a share of 1 - t of the set and one more, meet those of each partner;
 5. a candidate pair passes if the union sketch's estimate reaches t less six standard deviations, and is a link if the whole
    shingle sets have the similarity; then components are formed again.
 
@@ -47,6 +47,7 @@ class Params:
     least_runs: int = 3
     small_set: int = 15
     long_list: int = 64
+    hot_share: float = 0.25
     filter_bits: int = 1 << 26
 
 
@@ -252,7 +253,7 @@ def near_duplicates(docs: DataFrame, params: Params | None = None, id_col: str =
     scratch.settle()
     pairs = scratch.table(_likely(_pairs_between(left.where(F.col("c") <= p.long_list), "run", p.least_runs), nodes, p).union(_small_pairs(left, nodes, p)).distinct(), "pairs")
     crowded = left.where(F.col("c") > p.long_list).groupBy("node").agg(F.count("*").alias("hot")).join(nodes.select("node", "n"), "node")
-    hot = scratch.table(crowded.where(F.col("hot") * 10 >= (F.least(F.col("n"), F.lit(p.k)) - 1) * 4).select("node"), "hot")
+    hot = scratch.table(crowded.where(F.col("hot") >= (F.least(F.col("n"), F.lit(p.k)) - 1) * p.hot_share).select("node"), "hot")
     sets = _full_sets(docs, _ends(pairs).unionByName(hot), scratch, p)
     found = _verified(pairs, sets, p)
     if not hot.isEmpty():
