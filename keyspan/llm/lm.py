@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyspan.llm.common import Scratch, trimmed
-from keyspan.llm.words import mix64, words_and_ends
+from keyspan.llm.words import mix64, words_of_all
 
 END = np.uint64(0x0E0D)
 START = np.uint64(0x0B0E)
@@ -53,10 +53,42 @@ class Params:
     fan_in: int = 32
 
 
-def tokens(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words and of the end, and the words' last bytes (0 for the end)."""
-    h, ends = words_and_ends(text)
-    return np.append(h, END), np.append(ends, 0)
+@dataclass
+class Tokens:
+    """The tokens of several texts one after the other: hashes of the words and of the ends, the words' last bytes (0 for an end), and where each text begins."""
+
+    h: np.ndarray
+    ends: np.ndarray
+    begins: np.ndarray
+
+    def lengths(self) -> np.ndarray:
+        return np.diff(self.begins, append=len(self.h))
+
+    def per_text(self, x: np.ndarray) -> np.ndarray:
+        """Sums over each text."""
+        return np.add.reduceat(x, self.begins) if len(self.begins) else np.zeros(0)
+
+
+def tokens_of(texts: list[str]) -> Tokens:
+    words, last, counts = words_of_all(texts)
+    begins = np.cumsum(counts + 1) - (counts + 1)
+    h, ends = np.full(len(words) + len(texts), END), np.zeros(len(words) + len(texts), np.int64)
+    at = np.arange(len(words)) + np.repeat(np.arange(len(texts)), counts)
+    h[at], ends[at] = words, last
+    return Tokens(h, ends, begins)
+
+
+def groups(texts: Iterator[str], size: int = 1 << 18) -> Iterator[list[str]]:
+    """Texts in groups of about so many characters, a longer text by itself."""
+    held, n = [], 0
+    for t in texts:
+        held.append(t)
+        n += len(t)
+        if n >= size:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
 
 
 def surface_class(ends: np.ndarray, p: Params) -> np.ndarray:
@@ -64,10 +96,13 @@ def surface_class(ends: np.ndarray, p: Params) -> np.ndarray:
     return (mix64(ends.astype(np.uint64)) % np.uint64(p.classes)).astype(np.int64)
 
 
-def context_keys(h: np.ndarray) -> np.ndarray:
-    """[token, feature]: 64-bit values of the features of what stands before each token."""
-    padded = np.concatenate([np.full(3, START), h])
-    one, two, three = padded[2:-1], padded[1:-2], padded[:-3]
+def context_keys(t: Tokens) -> np.ndarray:
+    """[token, feature]: 64-bit values of the features of what stands before each token in its text."""
+    back, place = [t.h], np.arange(len(t.h)) - np.repeat(t.begins, t.lengths())
+    for k in range(1, 4):
+        before = np.concatenate([np.full(min(k, len(t.h)), START), t.h[:-k]])
+        back.append(np.where(place >= k, before, START))
+    _, one, two, three = back
     with np.errstate(over="ignore"):
         return mix64(np.stack([one + np.uint64(1), two + np.uint64(2), three + np.uint64(3), one * np.uint64(31) + two], 1))
 
@@ -205,10 +240,10 @@ def _read(train: DataFrame, p: Params) -> DataFrame:
 
         held, size = [], 0
         for batch in batches:
-            for text in batch["text"]:
-                h, e = tokens(text)
-                held.append((h, e, np.ones(len(h), np.int64)))
-                size += len(h)
+            for part in groups(batch["text"]):
+                t = tokens_of(part)
+                held.append((t.h, t.ends, np.ones(len(t.h), np.int64)))
+                size += len(t.h)
                 if size > 3_000_000:
                     held = [merged(held)]
                     if len(held[0][0]) > 2_000_000:
@@ -271,27 +306,15 @@ def steps_through(model: Model, texts: Iterator[str]) -> tuple[np.ndarray, np.nd
     p, seen = model.params, 0
     w1, w2 = model.class_weights.copy(), model.slot_weights.copy()
     g1, g2 = np.ones(len(w1), np.float32), np.ones(len(w2), np.float32)
-    held: list[tuple[np.ndarray, ...]] = []
-    size = 0
-
-    def stepped() -> None:
-        nonlocal size
-        keys, cls, slot = (np.concatenate(x) for x in zip(*held, strict=True))
+    for part in groups(texts):
+        t = tokens_of(part)
+        seen += len(t.h)
+        cls, slot = model.targets(t.h, t.ends)[:2]
+        keys = context_keys(t)
         for a in range(0, len(cls), PIECE):
-            k, c, t = keys[a : a + PIECE], cls[a : a + PIECE], slot[a : a + PIECE]
+            k, c, s = keys[a : a + PIECE], cls[a : a + PIECE], slot[a : a + PIECE]
             gradient_steps(w1, g1, class_rows(k, p), c, p)
-            gradient_steps(w2, g2, slot_rows(k, c, p), t, p)
-        held.clear()
-        size = 0
-
-    for text in texts:
-        h, ends = tokens(text)
-        held.append((context_keys(h), *model.targets(h, ends)[:2]))
-        size, seen = size + len(h), seen + len(h)
-        if size >= PIECE:
-            stepped()
-    if held:
-        stepped()
+            gradient_steps(w2, g2, slot_rows(k, c, p), s, p)
     return w1, w2, seen
 
 
@@ -334,25 +357,32 @@ def scored(docs: DataFrame, model: Model, counts: DataFrame, scratch: Scratch) -
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m, pid, row = held.value, TaskContext.get().partitionId(), 0
         for batch in batches:
-            out = []
-            for doc_id, text, held_out in zip(batch["doc_id"], batch["text"], batch["held_out"], strict=True):
-                h, ends = tokens(text)
-                cls, slot, c, known = m.targets(h, ends)
-                keys = context_keys(h)
-                context = (log_softmax(m.class_weights, class_rows(keys, p), cls).sum() + log_softmax(m.slot_weights, slot_rows(keys, cls, p), slot).sum()) / np.log(10)
+            at = 0
+            for part in groups(batch["text"]):
+                t = tokens_of(part)
+                cls, slot, c, known = m.targets(t.h, t.ends)
+                model = np.empty(len(t.h))
+                keys = context_keys(t)
+                for a in range(0, len(model), PIECE):
+                    k, x, y = keys[a : a + PIECE], cls[a : a + PIECE], slot[a : a + PIECE]
+                    model[a : a + PIECE] = log_softmax(m.class_weights, class_rows(k, p), x) + log_softmax(m.slot_weights, slot_rows(k, x, p), y)
+                log_c = np.where(known, np.log10(c + 1.0), 0.0)
                 shared = slot == p.slots - 1
-                log_c = np.log10(c[known] + 1.0)
-                rest, times = np.unique(h[~known], return_counts=True)
-                inside = log_c[shared[known]].sum() - np.log10(m.class_total[cls[shared]]).sum()
-                out.append((doc_id, held_out, (pid << 36) + row, len(h), known.sum(), log_c.sum(), context + inside, rest.view(np.int64), times))
-                row += 1
-            yield pd.DataFrame(out, columns=["doc_id", "held_out", "row", "n_tokens", "known", "log_c", "s", "rest", "times"])
-
-    rows = scratch.table(docs.mapInPandas(trimmed(run), "doc_id long, held_out boolean, row long, n_tokens long, known long, log_c double, s double, rest array<long>, times array<int>"), "scored")
-    asked = rows.select("row", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("row", F.col("x.rest").alias("h"), F.col("x.times").alias("times"))
+                inside = np.where(shared, log_c - np.log10(m.class_total)[cls], 0.0)
+                lost = np.flatnonzero(~known)
+                bounds = np.searchsorted(lost, np.append(t.begins, len(t.h)))
+                rest = [np.sort(t.h[lost[a:b]]) for a, b in zip(bounds, bounds[1:], strict=False)]
+                rows = batch.iloc[at : at + len(part)]
+                yield pd.DataFrame({
+                    "doc_id": rows["doc_id"].to_numpy(), "held_out": rows["held_out"].to_numpy(), "row": (pid << 36) + row + np.arange(len(part)), "n_tokens": t.lengths(),
+                    "known": t.per_text(known.astype(np.int64)), "log_c": t.per_text(log_c), "s": t.per_text(model / np.log(10) + inside), "rest": [r.view(np.int64) for r in rest]})
+                at, row = at + len(part), row + len(part)
+
+    rows = scratch.table(docs.mapInPandas(trimmed(run), "doc_id long, held_out boolean, row long, n_tokens long, known long, log_c double, s double, rest array<long>"), "scored")
+    asked = rows.select("row", F.explode("rest").alias("h")).groupBy("row", "h").agg(F.count("*").alias("times"))
     more = asked.join(counts.select("h", "c"), "h").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("more_c"))
     zero = F.lit(0.0)
-    return rows.drop("rest", "times").join(more, "row", "left").select(
+    return rows.drop("rest").join(more, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(model.n_tokens).cast("long").alias("train_tokens"),
         (F.col("log_c") + F.coalesce("more_c", zero) - F.col("n_tokens") * F.log10(F.lit(float(model.n_tokens + model.n_words + 1)))).alias("base_score"), (F.col("s") + F.coalesce("more_c", zero)).alias("score"))
 

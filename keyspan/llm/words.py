@@ -75,3 +75,30 @@ def words_and_ends(text: str) -> tuple[np.ndarray, np.ndarray]:
 def word_hashes(text: str) -> np.ndarray:
     """Hashes of the words in order."""
     return words_and_ends(text)[0]
+
+
+def words_of_all(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """words_and_ends of texts one after the other, and each text's number of words; short texts go through together."""
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    at = 0
+    while at < len(texts):
+        first, size = at, 0
+        while at < len(texts) and (at == first or size + 4 * len(texts[at]) < _SLICE):
+            size += 4 * len(texts[at])
+            at += 1
+        if at - first == 1:
+            h, ends = words_and_ends(texts[first])
+            found.append((h, ends, np.array([len(h)])))
+            continue
+        raws = [t.encode() for t in texts[first:at]]
+        raw = np.frombuffer(b"\n".join(raws), np.uint8)
+        begins = np.cumsum([0, *[len(r) + 1 for r in raws]])
+        with np.errstate(over="ignore"):
+            h, start, last = _slice_words(raw)
+        counts = np.diff(np.searchsorted(start, begins))
+        low = _LOWER[raw]
+        ends = low[last - 1].astype(np.int64) | np.where(last - start > 1, low[last - 2], 0).astype(np.int64) << 8 if len(h) else np.zeros(0, np.int64)
+        found.append((h, ends, counts))
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))

@@ -38,6 +38,15 @@ def test_words():
     assert len(h) == 400_002 and h[0] == h[-1] == h[399_999] and len(set(h.tolist())) == 2
 
 
+def test_words_of_many_texts():
+    rng = random.Random(1)
+    texts = ["".join(rng.choices(["a", "B", "é", " ", "\n", "word", "\t"], k=rng.randrange(0, 60))) for _ in range(500)] + ["x " * 400_000, "", "last"]
+    h, ends, counts = words.words_of_all(texts)
+    one = [words.words_and_ends(t) for t in texts]
+    assert counts.tolist() == [len(x) for x, _ in one] and np.array_equal(h, np.concatenate([x for x, _ in one])) and np.array_equal(ends, np.concatenate([y for _, y in one]))
+    assert [len(x) for x in words.words_of_all([])] == [0, 0, 0]
+
+
 def near_copies(rng, n_groups=12, hot=120):
     vocabulary = [f"w{i}" for i in range(3000)]
     passage = [rng.choice(vocabulary) for _ in range(60)]
@@ -119,7 +128,7 @@ def test_top_k(spark):
     rng = np.random.default_rng(4)
     m = np.round(rng.normal(size=(300, 12)), 1).astype(np.float32)
     rows = [(int(i), [float(x) for x in v]) for i, v in enumerate(m)]
-    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), topk.Params(every=10, block=64, query_block=8)).collect())
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), topk.Params(every=10, block=64, query_block=4)).collect())
     q = np.floor(m.astype(np.float64) * 256).astype(np.int64)
     want = []
     for i in range(0, 300, 10):
@@ -128,6 +137,24 @@ def test_top_k(spark):
     assert got == sorted(want)
 
 
+def test_the_cutoff_saves_work():
+    """Near copies give a high cutoff: lists are read in part, and few entries are resolved; results are those of all scores."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(150, 32)) * rng.uniform(0.2, 3, 150)[:, None]
+    v = np.floor(256 * np.repeat(centres, 20, 0) * rng.uniform(0.9, 1.1, 3000)[:, None])
+    p = topk.Params()
+    at = np.arange(0, 3000, 50)
+    low = topk.cutoffs_in(v[at], v, at, p)
+    lists = topk.Lists(np.arange(3000), v, p)
+    whole = v[at] @ v.T
+    for i, cols, score in lists.reaching(v[at], low):
+        assert np.array_equal(np.sort(cols), np.flatnonzero(whole[i] >= low[i])) and np.array_equal(score, whole[i][cols]) and (cols != at[i]).sum() >= p.k
+    assert lists.touched < 0.6 * 2 * p.slices * whole.size  # lists and what is resolved of them
+    a = topk.Lists(np.arange(3000), v, p)
+    list(a.reaching(v[at], np.full(len(at), -np.inf)))
+    assert a.touched == 2 * p.slices * whole.size  # without a cutoff all is read, then resolved
+
+
 def test_packing_beats_its_greedy_start():
     rng = random.Random(2)
     counts = Counter(rng.randrange(1, 101) for _ in range(3000))
@@ -340,6 +367,11 @@ def test_lm_against_brute_force(spark):
         assert math.isclose(r["base_score"], sum(math.log10((counts[t] + 1) / (n + v + 1)) for t in ts), rel_tol=1e-9)
 
 
+def tokens(text):
+    t = lm.tokens_of([text])
+    return t.h, t.ends
+
+
 def fitted(docs, p):
     train = lm._split(docs, p, "doc_id", "text").where(~F.col("held_out"))
     counts = lm._read(train, p).groupBy("h").agg(F.min("class").alias("class"), F.sum("c").alias("c")).cache()
@@ -349,10 +381,10 @@ def fitted(docs, p):
 def plain_log10(m, total, words, i, word):
     """log10 P of the word at place i after words[:i], term by term."""
     p = m.params
-    back = [int(lm.tokens(w)[0][0]) for w in words[:i][::-1][:3]]
+    back = [int(tokens(w)[0][0]) for w in words[:i][::-1][:3]]
     one, two, three = (back + [int(lm.START)] * 3)[:3]
     keys = lm.mix64(np.array([x % 2**64 for x in (one + 1, two + 2, three + 3, one * 31 + two)], np.uint64))
-    h, ends = lm.tokens(word) if word is not None else ([int(lm.END)] * 2, [0, 0])
+    h, ends = tokens(word) if word is not None else ([int(lm.END)] * 2, [0, 0])
     at = [k for k, x in enumerate(m.head.tolist()) if x == int(h[0])]
     cls, slot = (int(m.own_class[at[0]]), int(m.own_slot[at[0]])) if at and m.own_slot[at[0]] >= 0 else (int(lm.surface_class(np.array([ends[0]]), p)[0]), p.slots - 1)
     out = 0.0
@@ -386,7 +418,7 @@ def class_members(p):
     found = {}
     for i in range(10_000):
         w = f"never{i}"
-        found.setdefault(int(lm.surface_class(lm.tokens(w)[1][:1], p)[0]), w)
+        found.setdefault(int(lm.surface_class(tokens(w)[1][:1], p)[0]), w)
     return found.values()
 
 
@@ -407,7 +439,7 @@ def test_lm_steps_over_every_position(spark):
     for k in range(p.rounds):
         part = [r["text"] for r in split.where(F.pmod(F.xxhash64("text", "doc_id"), F.lit(p.rounds)) == k).collect()]
         w1, w2, n = lm.steps_through(model, part)
-        assert n == sum(len(lm.tokens(t)[0]) for t in part) and (n == 0 or not np.array_equal(w1, model.class_weights))
+        assert n == sum(len(tokens(t)[0]) for t in part) and (n == 0 or not np.array_equal(w1, model.class_weights))
         seen.append(n)
     assert sum(seen) == model.n_tokens
 
