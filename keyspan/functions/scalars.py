@@ -134,3 +134,9 @@ def splice(content: Column, offset: Column, written: Column) -> Column:
 def resize(content: Column, size: Column) -> Column:
     """Content cut or filled with zeros to the size."""
     return F.unhex(F.substring(F.rpad(F.hex(content.cast("binary")), F.greatest(size * 2, F.lit(0)), "0"), F.lit(1), size * 2))
+
+
+def control_verb(line: Column) -> Column:
+    """struct(verb, argument) of a control line: the first word, and the rest without white space around it."""
+    t = F.trim(line)
+    return F.struct(F.regexp_extract(t, r"^(\S*)", 1).alias("verb"), F.trim(F.regexp_extract(t, r"(?s)^\S*\s*(.*)$", 1)).alias("argument"))

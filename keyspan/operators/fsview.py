@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyspan.functions.paths import below, strict_ancestors, under
+from keyspan.functions.scalars import read_range
 from keyspan.operators.snapshot import delete_many, put_many
 
 
@@ -160,3 +161,16 @@ def delete_paths(entries: DataFrame, paths: DataFrame) -> DataFrame:
     """Entries without any of many paths (column key) and what lies below them: two equi-joins."""
     gone = entries.select("key", F.explode(strict_ancestors(F.col("key"))).alias("up")).join(paths.select(F.col("key").alias("up")), "up", "left_semi").select("key").distinct()
     return delete_many(delete_many(entries, paths), gone)
+
+
+def read_file_range(entries: DataFrame, objects: DataFrame, path: str, offset: int, size: int) -> DataFrame:
+    """read_file with the bytes from offset on, clamped to the end."""
+    return read_file(entries, objects, path).withColumn("bytes", read_range(F.col("bytes"), F.lit(offset), F.lit(size)))
+
+
+def read_symlink(entries: DataFrame, path: str) -> DataFrame:
+    """One row path, target; links aren't followed, and anything else at the path is refused."""
+    row = entries.where(F.col("key") == path).select("kind", "target").first()
+    if row is None or row["kind"] != "symlink":
+        raise PathError(f"not a symlink: {path!r}")
+    return entries.sparkSession.createDataFrame([(path, row["target"])], "path string, target string")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyspan.functions.scalars import wants_restart
+from keyspan.functions.scalars import role_rank, wants_restart
 
 #: Seconds of the first wait, of the longest wait, and of an attempt that counts as healthy.
 FIRST_WAIT, LONGEST_WAIT, HEALTHY = 1, 60, 60
@@ -72,3 +72,16 @@ def healthy(attempts: DataFrame, grace: int = 10) -> DataFrame:
     window = max(grace, 3)
     first = attempts.groupBy("id").agg(F.min(F.struct("attempt", "up_seconds", "exit_code")).alias("x"), F.count("*").alias("n"))
     return first.select("id", ((F.col("x.up_seconds") >= window) | (F.col("x.exit_code").isNull() & (F.col("n") == 1))).alias("healthy"))
+
+
+def role_of(peers: DataFrame, keys: DataFrame) -> DataFrame:
+    """pubkey, role of the asked keys; null for a key that no peer with a known role has, the first name if several do."""
+    known = peers.where(role_rank(F.col("role")) > 0).groupBy("pubkey").agg(F.min_by("role", "name").alias("role"))
+    return keys.select("pubkey").distinct().join(known, "pubkey", "left").select("pubkey", "role")
+
+
+def container_status(containers: DataFrame) -> DataFrame:
+    """container, status of (container, branch, head, changed): one line, with the first twelve digits of the head."""
+    head = F.when(F.col("head").isNull(), "no commits").otherwise(F.substring("head", 1, 12))
+    state = F.when(F.col("changed"), "modified").otherwise("clean")
+    return containers.select("container", F.format_string("%s on %s at %s, %s", "container", F.coalesce("branch", F.lit("(detached)")), head, state).alias("status"))

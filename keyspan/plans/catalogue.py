@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +10,11 @@ from pyspark.sql import functions as F
 
 from keyspan.functions import paths, scalars
 from keyspan.operators import config, fsview, history, instances, maintenance, merge, overlay, setops, snapshot
-from keyspan.plans import digests
 from keyspan.plans.inputs import (
     GRAPH_SQL, MERGE_TREES_SQL, OBJECTS_SQL, SNAPSHOTS_SQL, TIPS_SQL, TREE_SQL, commit_graph, document_tree, kept_objects, merge_trees, objects, table, three_snapshots, tips)
+from keyspan.plans.scratch import shared_dir
 from keyspan.schema import stored_value
+from keyspan.sources.store import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Epoch seconds of the order date, which has no time zone.
@@ -141,8 +143,20 @@ def diff(spark, sf):
 
 @query(f"WITH {SNAPSHOTS_SQL} {_DIFF_SQL}")
 def diff_pruned(spark, sf):
+    """Two stored snapshots: the second is the first with changes to some keys, and buckets with equal digests aren't read."""
     base, ours, _ = three_snapshots(spark, sf)
-    return digests.pruned_diff(base, ours)
+    store = Store(spark, f"{shared_dir(spark)}/keyspan-{uuid.uuid4().hex}")
+    return store.diff(store.write_snapshot(base), store.write_snapshot(ours))
+
+
+@query("SELECT o_orderkey AS key, 'modified' AS change, o_orderstatus AS old, 'new' AS new FROM orders WHERE o_orderkey IN (SELECT max(o_orderkey) FROM orders GROUP BY o_orderpriority)")
+def diff_few_buckets(spark, sf):
+    """The diff after a change to one key of each priority: at most five of the stored buckets are read and written."""
+    orders = table(spark, sf, "orders")
+    store = Store(spark, f"{shared_dir(spark)}/keyspan-{uuid.uuid4().hex}")
+    before = store.write_snapshot(orders.selectExpr("o_orderkey AS key", "o_orderstatus AS value"))
+    changes = orders.groupBy("o_orderpriority").agg(F.max("o_orderkey").alias("key")).select("key", F.lit("new").alias("value"))
+    return store.diff(before, store.apply(before, changes))
 
 
 @query(f"WITH {SNAPSHOTS_SQL}, d AS ({_DIFF_SQL}) SELECT change, CASE change WHEN 'added' THEN '+' WHEN 'removed' THEN '-' ELSE '~' END AS label, count(*) AS n FROM d GROUP BY 1, 2")
@@ -416,7 +430,10 @@ def closure_export(spark, sf):
     return maintenance.export_closure(kept_objects(spark, sf), objects(spark, sf)).select("hash", "n_bytes")
 
 
-@query()
+@query(f"""WITH RECURSIVE {OBJECTS_SQL}, o AS (SELECT substr(hash, 1, 1) AS peer, hash, n_bytes, row_number() OVER (PARTITION BY substr(hash, 1, 1) ORDER BY hash) AS i FROM objects),
+r AS (SELECT peer, hash, n_bytes, i, 0 AS batch, n_bytes AS held FROM o WHERE i = 1 UNION ALL SELECT o.peer, o.hash, o.n_bytes, o.i, CASE WHEN r.held + o.n_bytes > 524288 THEN r.batch + 1 ELSE r.batch END,
+  CASE WHEN r.held + o.n_bytes > 524288 THEN o.n_bytes ELSE r.held + o.n_bytes END FROM r JOIN o ON o.peer = r.peer AND o.i = r.i + 1)
+SELECT peer, hash, n_bytes, batch FROM r""")
 def send_batches(spark, sf):
     return maintenance.send_batches(objects(spark, sf).withColumn("peer", F.substring("hash", 1, 1)))
 
@@ -429,10 +446,10 @@ def normalize_path(spark, sf):
     return table(spark, sf, "pages").select("page_id", paths.normalize_path(F.regexp_replace("url", "^[a-z]+://", "./")).alias("path"))
 
 
-@query(r"SELECT page_id, '/' || split_part(regexp_replace(url, '^[a-z]+://', ''), '/', 1) || '/x' AS path FROM pages")
+@query(r"SELECT page_id, '/' || array_to_string([x FOR x IN string_split(regexp_replace(url, '^[a-z]+://', ''), '/') IF x <> '' AND x <> '.'], '/') || '/x' AS path FROM pages")
 def collapse_dotdot(spark, sf):
-    host = F.substring_index(F.regexp_replace("url", "^[a-z]+://", ""), "/", 1)
-    return table(spark, sf, "pages").select("page_id", paths.collapse_dotdot(F.concat(F.lit("../"), host, F.lit("/a/./b/../..//x"))).alias("path"))
+    rest = F.regexp_replace("url", "^[a-z]+://", "")
+    return table(spark, sf, "pages").select("page_id", paths.collapse_dotdot(F.concat(F.lit("../"), rest, F.lit("/a/./b/../..//x"))).alias("path"))
 
 
 @query(r"SELECT page_id, regexp_extract(url, '^([^:/]+):', 1) AS ref, regexp_replace(url, '^[^:/]+:', '') AS path FROM pages")

@@ -2,7 +2,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from keyspan.plans import catalogue
+from keyspan.plans import catalogue, more  # noqa: F401 - more adds to the catalogue
 from tests.conftest import SF
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
