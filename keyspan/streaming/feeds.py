@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import time
 from collections.abc import Callable, Iterator
 
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyspan.operators.snapshot import bulk_build
+from keyspan.sources.files import _file_system
 from keyspan.sources.store import Store
 
 
@@ -18,6 +20,43 @@ def follow_logs(spark: SparkSession, where: str) -> DataFrame:
     return spark.readStream.text(where).select("value", F.col("_metadata.file_path").alias("file"))
 
 
+class LogTail:
+    """What is appended to one log file after an offset; a file that became shorter is read from its start again."""
+
+    def __init__(self, path: str, offset: int = 0):
+        self.system, self.path = _file_system(path)
+        self.offset = offset
+        self._decoder = codecs.getincrementaldecoder("utf-8")("replace")
+
+    def read(self) -> str:
+        """The text since the last read, as far as its characters are whole; empty if nothing came or the file isn't there yet."""
+        from pyarrow import fs
+
+        info = self.system.get_file_info(self.path)
+        if info.type == fs.FileType.NotFound:
+            return ""
+        if info.size < self.offset:
+            self.offset = 0
+            self._decoder.reset()
+        with self.system.open_input_file(self.path) as f:
+            f.seek(self.offset)
+            data = f.read()
+        self.offset += len(data)
+        return self._decoder.decode(data)
+
+
+def followed(tail: LogTail, running: Callable[[], bool], wait: float = 0.25, sleep: Callable[[float], None] = time.sleep) -> Iterator[str]:
+    """Pieces of a log as they come, until its writer has ended and what it wrote last is read."""
+    while True:
+        alive = running()
+        text = tail.read()
+        if text:
+            yield text
+        if not alive:
+            return
+        sleep(wait)
+
+
 def commit_feed(store: Store, branch: str, author: str = "feed", clock: Callable[[], float] = time.time) -> Callable[[DataFrame, int], None]:
     """foreachBatch function: applies a batch of changes (key, value; null value: delete; ord) to a branch and commits it.
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from keyspan.operators import overlay
+from keyspan.operators.config import ConfigError
 from keyspan.sources import files
 from keyspan.sources.store import RefConflict, Store
 from keyspan.streaming import feeds
@@ -132,16 +133,44 @@ def test_references(spark, tmp_path):
 
 
 def test_directories(spark, tmp_path):
-    (tmp_path / "in/d").mkdir(parents=True)
+    (tmp_path / "in/d/deep").mkdir(parents=True)
     (tmp_path / "in/d/ä b.txt").write_bytes(b"hello")
+    (tmp_path / "in/d/deep/x").write_bytes(b"x")
     (tmp_path / "in/e").write_bytes(b"")
+    (tmp_path / "in/d/link").symlink_to("../e")
+    (tmp_path / "in/away").symlink_to("d")
     found = files.read_directory(spark, str(tmp_path / "in"))
-    assert sorted((r["key"], r["size"]) for r in found.collect()) in ([("d/ä b.txt", 5), ("e", 0)], [("d/%C3%A4%20b.txt", 5), ("e", 0)])
+    rows = {r["key"]: (r["kind"], r["size"], r["target"]) for r in found.collect()}
+    assert rows == {"d/ä b.txt": ("file", 5, None), "d/deep/x": ("file", 1, None), "e": ("file", 0, None), "d/link": ("symlink", 0, "../e"), "away": ("symlink", 0, "d")}
     out = str(tmp_path / "out")
-    assert files.write_directory(found, out) == 2
-    assert (tmp_path / "out/e").read_bytes() == b""
+    assert files.write_directory(found, out) == 5
+    assert (tmp_path / "out/e").read_bytes() == b"" and (tmp_path / "out/d/link").readlink().as_posix() == "../e" and (tmp_path / "out/away/deep/x").read_bytes() == b"x"
     with pytest.raises(FileExistsError):
         files.write_directory(found, out)
+    assert files.write_directory(found, out, overwrite=True) == 5
+    assert files.read_directory(spark, str(tmp_path / "in/d/deep")).count() == 1
+
+
+def test_manifests_and_projects(spark):
+    index = lambda *m: [(d, (o, a)) for d, o, a in m]
+    schema = "digest string, manifests array<struct<digest string, platform struct<os string, architecture string>>>, layers array<string>"
+    rows = [("top", index(("a", "linux", "arm64"), ("in", "linux", "amd64")), []), ("in", index(("leaf", "linux", "amd64")), []), ("leaf", [], ["l1"]), ("a", [], []), ("loop", index(("loop", "linux", "amd64")), [])]
+    m = spark.createDataFrame(rows, schema)
+    assert files.resolve_manifest(m, "top", "linux", "amd64") == "leaf"
+    for root, arch, why in (("top", "arm64", "no layers"), ("top", "x", "no manifest"), ("loop", "amd64", "deeper")):
+        with pytest.raises(ValueError, match=why):
+            files.resolve_manifest(m, root, "linux", arch)
+    text = 'image = "i"\n[env]\nA = "1"\n[profile.dev]\nrun = "x"\n[profile.dev.env]\nB = "2"\n[deploy]\ncontainer = "c"\nbranch = "b"\n'
+    got = files.read_project(text, "dev")
+    assert got["app"] == {"image": "i", "env": {"A": "1", "B": "2"}, "run": "x", "env_pass": []} and got["deploy"]["grace_secs"] == 10
+    assert files.read_project('[deploy]\ncontainer = "c"\nbranch = "b"')["app"] is None
+    for bad, why in (('name = "x"', "image"), ('[deploy]\nbranch = "b"', "container"), ('[deploy]\ncontainer = "c"\nbranch = "b"\nrun = []', "run"), ('[deploy]\ncontainer = "c"\nbranch = "b"\nrun = " "', "run")):
+        with pytest.raises(ConfigError, match=why):
+            files.read_project(bad)
+    with pytest.raises(ConfigError, match="dev"):
+        files.read_project(text, "prod")
+    peers = files.read_peers(spark, '[peers.b]\naddress = "h:2"\npubkey = "k\\"2"\n[peers.a]\naddress = "h:1"\npubkey = "k"\nrole = "sync"\n')
+    assert sorted(files.read_peers(spark, files.write_peers(peers)).collect()) == sorted(peers.collect())
 
 
 def tarball(*members):
@@ -198,6 +227,25 @@ def test_change_feed_and_tail(spark, tmp_path):
     assert sorted(r["value"] for r in spark.table("tailed").collect()) == ["one", "two"]
 
 
+def test_a_log_is_followed_to_its_end(tmp_path):
+    log, steps = tmp_path / "log", [b"one\n", "t\u00e4".encode()[:2], "t\u00e4".encode()[2:] + b"wo\n", None, b"three\n"]
+
+    def running():
+        if not steps:
+            return False
+        step = steps.pop(0)
+        if step is None:
+            log.write_bytes(b"")
+        else:
+            with log.open("ab") as f:
+                f.write(step)
+        return True
+
+    tail = feeds.LogTail(str(log))
+    assert tail.read() == "" and list(feeds.followed(tail, running, sleep=lambda _: None)) == ["one\n", "t", "\u00e4wo\n", "three\n"]
+    assert feeds.LogTail(str(log), 2).read() == "ree\n"
+
+
 def test_supervised_waits_stream(spark, tmp_path):
     schema = "id string, attempt long, up_seconds double, exit_code int, policy string"
     spark.createDataFrame([("i", n, u, 1, "always") for n, u in enumerate([1.0, 1.0, 70.0, 1.0])], schema).write.parquet(str(tmp_path / "in"))
