@@ -1,4 +1,11 @@
-"""From raw documents to packed training sequences: every stage is written as Parquet and reread by the next."""
+"""From raw documents to packed training sequences: every stage is written as Parquet and reread by the next.
+
+Defined cases, for every stage: texts are taken whole, however long; extra columns pass through whatever their names (packing
+returns its own); an empty table stays empty. A document with null or empty text, or one without letters, has no language and goes in
+the first stage; a null language or source is a value of its own; a null doc_id is a document like any other, except that it links
+with none in the dedup. Rows that repeat a doc_id and text are judged alike, are one document to the dedup, share a draw, and are
+packed each. Ties: the smallest doc_id of a group stays; languages go by alphabet. Nothing is drawn by place or partition.
+"""
 
 from __future__ import annotations
 

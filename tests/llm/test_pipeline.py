@@ -67,3 +67,26 @@ def test_stages(spark):
 def test_without_documents(spark, tmp_path):
     spark.read.parquet(f"{SF}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_defined_cases(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows and clashing columns through all stages."""
+    rng = __import__("random").Random(5)
+    words = "the house and garden of old town was green with many trees that people from near and far came to see every year in spring".split()
+    prose = lambda n: ". ".join(" ".join(rng.choices(words, k=12)).capitalize() for _ in range(n)) + "."
+    texts = [None, "", " \n", "12 34 !!", prose(20_000), *[prose(rng.randrange(4, 40)) for _ in range(60)]]
+    rows = [(i, t, "en" if i % 5 else None, "web" if i % 7 else None, len(t or ""), "r", 0.5, 3, "c") for i, t in enumerate(texts)]
+    rows += [rows[10], (999, rows[10][1], *rows[10][2:]), (None, prose(9), *rows[11][2:])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row string, quality double, piece int, cell string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    scratch, seen = Scratch(spark), {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = seen[name] = scratch.table(stage(spark, docs, str(tmp_path)), name)
+    ids = {name: [r["doc_id"] for r in d.select("doc_id").collect()] for name, d in seen.items()}
+    assert all(d.columns == seen["language_id"].columns for name, d in seen.items() if name != "pack_sequences")
+    assert set(ids["language_id"]) == {r[0] for r in rows} - {0, 1, 2, 3} and len(ids["language_id"]) == len(rows) - 4
+    assert {4, 999, None} <= set(ids["quality_filter"]) <= set(ids["language_id"])
+    assert 999 not in ids["near_dedup"] and ids["near_dedup"].count(10) == 2 and None in ids["near_dedup"]
+    assert {r["lang"] for r in seen["language_id"].collect()} == {"en"}
+    pieces = [r["piece"] for r in seen["pack_sequences"].where("doc_id = 4").collect()]
+    assert 4 not in ids["mix_sources"] or sorted(pieces) == list(range(len(pieces))) and len(pieces) > 100
