@@ -74,6 +74,18 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+_ROOTS: list[str] = []
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Deletes all tables that this process has written to the shared folder; the number of folders. Results that were not saved elsewhere can't be read any more."""
+    conf, n = spark._jsc.hadoopConfiguration(), 0
+    while _ROOTS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_ROOTS.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
+
+
 class Scratch:
     """Parquet tables in the shared folder: they cut lineage, survive lost executors and can be read by column."""
 
@@ -82,6 +94,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/keyspan-{uuid.uuid4().hex}"
         self.n = 0
+        _ROOTS.append(self.root)
 
     def path(self, name: str) -> str:
         self.n += 1

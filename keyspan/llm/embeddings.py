@@ -110,12 +110,14 @@ def _tile_pairs(tiles: DataFrame, p: Params) -> DataFrame:
     """Pairs (a, b), a <= b, of tiles whose boxes come within reach."""
     reach = float(np.sqrt(2 - 2 * p.cosine)) + 1e-9
     boxes = tiles.select("tile", "label", "d", "lo", "hi")
-    bins = F.sequence(F.floor((F.col("lo")[0] - reach / 2) / reach), F.floor((F.col("hi")[0] + reach / 2) / reach))
-    binned = boxes.withColumn("bin", F.explode(bins))
-    a, b = (binned.select("label", "d", "bin", F.col("tile").alias(n), F.col("lo").alias(f"lo_{n}"), F.col("hi").alias(f"hi_{n}")) for n in "ab")
+    side = lambda box, axis: F.coalesce(F.get(box, F.lit(axis)), F.lit(0.0))  # noqa: E731 - vectors of one component have one axis
+    bins = lambda axis: F.sequence(F.floor((side("lo", axis) - reach / 2) / reach), F.floor((side("hi", axis) + reach / 2) / reach))
+    # boxes within reach overlap on each axis once both are widened by half of it, so they share a bin of the first two axes together
+    binned = boxes.withColumn("bin", F.explode(bins(0))).withColumn("bin2", F.explode(bins(1)))
+    a, b = (binned.select("label", "d", "bin", "bin2", F.col("tile").alias(n), F.col("lo").alias(f"lo_{n}"), F.col("hi").alias(f"hi_{n}")) for n in "ab")
     gaps = F.zip_with(F.zip_with("lo_a", "hi_b", lambda x, y: x - y), F.zip_with("lo_b", "hi_a", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0)))
     apart = F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x * x)
-    return a.join(b, ["label", "d", "bin"]).where("a <= b").where(apart <= reach * reach).select("a", "b").distinct()
+    return a.join(b, ["label", "d", "bin", "bin2"]).where("a <= b").where(apart <= reach * reach).select("a", "b").distinct()
 
 
 def linked(a: np.ndarray, b: np.ndarray, axes: np.ndarray, t: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
