@@ -199,9 +199,23 @@ def _prefix_pairs(lists: DataFrame, p: Params) -> DataFrame:
     Of a link's two sets, what comes before the first shared value isn't shared; so many more values than follow it can't be.
     Where two lists of first values show that an earlier one is shared, that one stands for the pair.
     """
-    a, b = (lists.select("value", F.col("node").alias(x), F.col("component").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("at").alias(f"i{x}"), F.col("before").alias(f"e{x}")) for x in "ab")
+    part = lambda rows, x: rows.select("value", F.col("node").alias(x), F.col("component").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("at").alias(f"i{x}"), F.col("before").alias(f"e{x}"), F.col("main").alias(f"m{x}"))
+    # what a list's largest component holds is never paired with itself: one end of a pair lies outside
+    a, b = part(lists.where(~F.col("main")), "a"), part(lists, "b")
     most = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
-    return a.join(b, "value").where("a < b AND ca <> cb").where(most * (100 + p.percent) >= p.percent * (F.col("na") + F.col("nb"))).where(~F.arrays_overlap("ea", "eb")).select("a", "b").distinct()
+    near = a.join(b, "value").where("ca <> cb AND (mb OR a < b)").where(most * (100 + p.percent) >= p.percent * (F.col("na") + F.col("nb"))).where(~F.arrays_overlap("ea", "eb"))
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _split_lists(lists: DataFrame, key: str, comp: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of lists that hold several components, with the component and whether it is the list's largest.
+
+    The table of lists is written before it meets the rows, so that both sides of the join come straight from a shuffle and Spark can split a long list.
+    """
+    named = scratch.table(lists.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node")), "named")
+    sizes = named.groupBy(key, "component").agg(F.count("*").alias("size"))
+    mains = scratch.table(sizes.groupBy(key).agg(F.max(F.struct("size", "component"))["component"].alias("largest"), F.count("*").alias("held")).where("held > 1").select(key, "largest"), "mains")
+    return scratch.table(named.join(mains, key).withColumn("main", F.col("component") == F.col("largest")).drop("largest"), "split")
 
 
 def _pairs_between(lists: DataFrame, key: str, least: int) -> DataFrame:
@@ -257,7 +271,7 @@ def near_duplicates(docs: DataFrame, params: Params | None = None, id_col: str =
     sets = _full_sets(docs, _ends(pairs).unionByName(hot), scratch, p)
     found = _verified(pairs, sets, p)
     if not hot.isEmpty():
-        inside = _open_lists(_prefix_lists(sets, hot, scratch, p), "value", comp)
+        inside = _split_lists(_prefix_lists(sets, hot, scratch, p), "value", comp, scratch)
         found = found.unionByName(_verified(_likely(_prefix_pairs(inside, p), nodes, p), sets, p))
     found = scratch.table(found, "links")
     if not found.isEmpty():
