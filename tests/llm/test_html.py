@@ -51,10 +51,10 @@ def test_names():
 
 def test_long_pages_take_time_in_proportion():
     for part in ("<div>x", "<b><p>x", "<a><div>", "<ul><li><span>x", "<p x='", "<table><tr><td>x", "<!-- x", "<h1>x", "<header><h1>a", '<div a="x', "</p>x", "<div class=sidebar>x", "<![CDATA[x"):
-        page = part * (1_000_000 // len(part))
+        page = part * (300_000 // len(part))
         start = time.process_time()
         html.extract(page, html.vote(page)[0])
-        assert time.process_time() - start < 30, part
+        assert time.process_time() - start < 15, part
     page = "<div>" * 50_000 + "text" + "</div>" * 50_000
     assert html.extract(page, None) == "text"
 
