@@ -122,6 +122,7 @@ class Lists:
         q_norm = [np.sqrt((q[:, a:b] ** 2).sum(1)) * (1 + 1e-12) for a, b in self.cuts]
         least = cutoffs / m
         seen: list[list[np.ndarray]] = [[] for _ in q]
+        dense: dict[int, np.ndarray] = {}
         for s, (a, b) in enumerate(self.cuts):
             # a list is read as deep as an entry's norm allows it the uniform part of the cutoff; one that may be zero or less is read whole
             need = np.where(least > 0, least / np.maximum(q_norm[s], 1e-300), 0.0)
@@ -134,8 +135,9 @@ class Lists:
             else:
                 for i in range(len(q)):
                     seen[i].append(self.order[s])
-        for i in range(len(q)):
-            cols = np.unique(np.concatenate(seen[i])) if self.cuts else np.arange(len(self.ids))
+        collected = [np.unique(np.concatenate(x)) if self.cuts else np.arange(len(self.ids)) for x in seen]
+        most = sum(4 * len(c) > len(self.ids) for c in collected) * 2 > len(q)
+        for i, cols in enumerate(collected):
             if not whole:
                 score = np.array([sum(int(x) * int(y) for x, y in zip(q[i], self.values[c], strict=True)) for c in cols], object)
                 on = score >= cutoffs[i] if len(cols) else np.zeros(0, bool)
@@ -144,8 +146,14 @@ class Lists:
             score = np.zeros(len(cols))
             bound = sum((q_norm[s][i] * self.norm[s][cols] for s in range(len(self.cuts))), np.zeros(len(cols)))
             for s, (a, b) in enumerate(self.cuts):
-                score = score + self.values[cols, a:b] @ q[i, a:b]
-                self.touched += len(cols)
+                if most and 4 * len(cols) > len(self.ids):  # where most queries ask for much of the block, one product for all is cheaper than picking rows
+                    if s not in dense:
+                        dense[s] = q[:, a:b] @ self.values[:, a:b].T
+                        self.touched += dense[s].size
+                    score = score + dense[s][i, cols]
+                else:
+                    score = score + self.values[cols, a:b] @ q[i, a:b]
+                    self.touched += len(cols)
                 bound = bound - q_norm[s][i] * self.norm[s][cols]
                 on = score + bound * (1 + 1e-9) + 1e-6 >= cutoffs[i]
                 cols, score, bound = cols[on], score[on], bound[on]
