@@ -100,9 +100,9 @@ def _digest(data: bytes) -> bytes:
 
 
 def encode_documents(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document with its chunks; ENCODED."""
+    """One row per document with its chunks; ENCODED. A chunk that a task has met before has a null payload."""
 
-    def stored(doc_ids: list, documents: list[np.ndarray], pack) -> pa.RecordBatch:
+    def stored(doc_ids: list, documents: list[np.ndarray], pack, seen: set[bytes]) -> pa.RecordBatch:
         ids = np.concatenate(documents).astype("<u4", copy=False)
         ends = np.cumsum([len(d) for d in documents])
         digests, lengths, widths, payloads, first = [], [], [], [], [0]
@@ -112,10 +112,12 @@ def encode_documents(docs: DataFrame, path: str, end_id: int, id_col: str = "doc
                 part = ids[last : begin + cut]
                 last = begin + cut
                 width = 2 if part.max() < 65536 else 4
-                digests.append(_digest(part))
+                digest = _digest(part)
+                digests.append(digest)
                 lengths.append(len(part))
                 widths.append(width)
-                payloads.append(pack.compress(part.astype("<u2") if width == 2 else part))
+                payloads.append(None if digest in seen else pack.compress(part.astype("<u2") if width == 2 else part))
+                seen.add(digest)
             first.append(len(digests))
         offsets = pa.array(first, pa.int32())
         lists = [pa.ListArray.from_arrays(offsets, pa.array(x, t)) for x, t in ((digests, pa.binary()), (lengths, pa.int32()), (widths, pa.int32()), (payloads, pa.binary()))]
@@ -124,7 +126,7 @@ def encode_documents(docs: DataFrame, path: str, end_id: int, id_col: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        pack = zstandard.ZstdCompressor(level=1)
+        pack, seen = zstandard.ZstdCompressor(level=3), set()  # digests of this task's chunks, whose bytes go on once
         enc = CachedEncoder(path, "attached")
         for batch in batches:
             doc_ids, documents, size = [], [], 0
@@ -133,10 +135,10 @@ def encode_documents(docs: DataFrame, path: str, end_id: int, id_col: str = "doc
                 documents.append(np.append(ids, np.uint32(end_id)))
                 size += len(ids) + 1
                 if size > 1 << 20:
-                    yield stored(doc_ids, documents, pack)
+                    yield stored(doc_ids, documents, pack, seen)
                     doc_ids, documents, size = [], [], 0
             if documents:
-                yield stored(doc_ids, documents, pack)
+                yield stored(doc_ids, documents, pack, seen)
 
     source = docs.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     return source.mapInArrow(trimmed(run), ENCODED)
@@ -175,7 +177,7 @@ def write_store(docs: DataFrame, where: str, path: str, end_id: int) -> None:
     scratch = Scratch(spark)
     staged = scratch.table(encode_documents(docs, path, end_id), "encoded")
     chunk = F.explode(F.arrays_zip("digests", "widths", "payloads")).alias("c")
-    chunks = staged.select(chunk).select("c.digests", "c.widths", "c.payloads")
+    chunks = staged.select(chunk).select("c.digests", "c.widths", "c.payloads").where("payloads IS NOT NULL")
     chunks.groupBy(F.col("digests").alias("digest")).agg(F.first("widths").alias("width"), F.first("payloads").alias("payload")).write.parquet(f"{where}/chunks")
     ordered = staged.select("doc_id", "n_tokens", "digests", "lengths").repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("digests")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("digests"))
     numbered = ordered.withColumn("part", F.spark_partition_id()).withColumn("pos", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
