@@ -23,7 +23,7 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
-def _trim() -> None:
+def trim() -> None:
     """Hands memory that this worker has freed back to the machine."""
     import pyarrow as pa
 
@@ -38,11 +38,11 @@ def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterato
     """The function of a mapInPandas or mapInArrow; as a task starts and ends, freed memory goes back, as workers stay for tasks of other stages."""
 
     def whole(batches: Iterator) -> Iterator:
-        _trim()
+        trim()
         try:
             yield from run(batches)
         finally:
-            _trim()
+            trim()
 
     return whole
 
@@ -51,12 +51,12 @@ def series_udf(f: Callable, kind):
     """A pandas UDF of series, as a stream of batches, that hands freed memory back as trimmed() does."""
 
     def whole(batches: Iterator) -> Iterator:
-        _trim()
+        trim()
         try:
             for b in batches:
                 yield f(*b) if isinstance(b, tuple) else f(b)
         finally:
-            _trim()
+            trim()
 
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")

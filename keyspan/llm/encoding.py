@@ -6,7 +6,8 @@ every unit that isn't known yet is encoded by the library. Units of letters go t
 merges act within a unit only, since no entry of the vocabulary crosses the boundary, and the ids that begin (or end) a unit show
 where each one stands. A text with unusual white space or special-token markers is encoded whole.
 
-What is known is held to a number of bytes: beyond it the most used half stays. An encoder belongs to one task.
+What is known stands in flat arrays, found by a hash and then compared letter by letter, and is held to a number of bytes:
+beyond it the most used half stays. An encoder belongs to one task.
 """
 
 from __future__ import annotations
@@ -15,12 +16,13 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from keyspan.llm.common import trim
+
 #: White space other than blank, tab and line feed, as any of the libraries sees it, and what may be white space to one of them.
 _ODD = "".join(map(chr, [*range(9), *range(11, 32), 0x7F, 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF]))
 _WHOLE = "[" + "".join(f"\\x{{{ord(c):X}}}" for c in _ODD) + r"]|<\|"
@@ -31,11 +33,14 @@ _UNIT = re.compile(r" ?[^ \t\n]+|[ \t\n]+(?![^ \t\n])|[ \t\n]+")
 _MARKS = ".,!?;:*#%&$|"
 #: Where the last letters of words stand in the files that mark word ends: one private character for each byte.
 _FINAL = 0xE000
-_JOINED = 64
+_JOINED = 256
+_BATCH = 16
 _SLICE_BYTES = 1 << 20
 _NONE = np.zeros(0, np.uint32)
-#: Bytes of a unit's string, table entry and numbers beside its letters and ids.
-_ENTRY = 180
+#: Bytes of a unit's hash, place in the table and numbers beside its letters and ids.
+_ENTRY = 40
+#: Factors of a unit's bytes in its hash, by their place, again and again.
+_FACTORS = np.random.default_rng(0).integers(0, 1 << 64, 256, np.uint64) | np.uint64(1)
 
 MODES = ("attached", "words")
 
@@ -48,6 +53,7 @@ def _byte_letters() -> np.ndarray:
 
 
 _LETTERS = _byte_letters()
+_BYTES = {chr(c): b for b, c in enumerate(_LETTERS.tolist())}
 _BLANK = chr(_LETTERS[32])
 
 
@@ -55,8 +61,7 @@ def _marked(entry: str, suffix: str) -> str:
     """An entry of a file that marks word ends, its last letter replaced by the private one."""
     if not suffix or not entry.endswith(suffix) or entry == suffix:
         return entry
-    last = int(np.flatnonzero(_LETTERS == ord(entry[-len(suffix) - 1]))[0])
-    return entry[: -len(suffix) - 1] + chr(_FINAL + last)
+    return entry[: -len(suffix) - 1] + chr(_FINAL + _BYTES[entry[-len(suffix) - 1]])
 
 
 def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -65,6 +70,23 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(int(done[-1]) if len(done) else 0) + np.repeat(starts - (done - lengths), lengths)
 
 
+def _raw(units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of strings one after the other, and where each begins and the last ends."""
+    wide = np.int64 if pa.types.is_large_string(units.type) else np.int32
+    offsets = np.frombuffer(units.buffers()[1], wide)[units.offset : units.offset + len(units) + 1].astype(np.int64) if len(units) else np.zeros(1, np.int64)
+    held = units.buffers()[2]
+    return np.frombuffer(held, np.uint8)[offsets[0] : offsets[-1]] if held else np.zeros(0, np.uint8), offsets - offsets[0]
+
+
+def _hashes(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    lengths = np.diff(offsets)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        places = np.arange(len(raw)) - np.repeat(offsets[:-1], lengths)
+        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _FACTORS[places & 255], out=sums[1:])
+        return sums[offsets[1:]] - sums[offsets[:-1]]
+
+
 class CachedEncoder:
     """Encodes texts; mode 'attached': a blank belongs to the word after it; 'words': white space is dropped."""
 
@@ -89,14 +111,42 @@ class CachedEncoder:
         self.edge = np.zeros(max(vocab.values()) + 1, bool)  # ids that begin a unit, or that end one
         for entry, i in vocab.items():
             self.edge[i] = entry not in special and (entry.startswith(_BLANK) if self.attached else ord(entry[-1]) >= _FINAL)
+        self.merger = Tokenizer(self.merges)
+        del vocab, pairs
+        trim()
         self._reset()
 
     def _reset(self) -> None:
-        self.known: tuple[dict[str, int], dict[str, int]] = ({}, {})  # units without and with a blank before them
+        self.index = [(np.zeros(0, np.uint64), np.zeros(0, np.int32)) for _ in range(2)]  # hashes in order and numbers of units, without and with a blank before them
         self.n = 0
-        self.start, self.length, self.uses = (np.zeros(1024, np.int64) for _ in range(3))
-        self.flat = np.zeros(8192, np.uint32)
-        self.used = self.bytes = 0
+        self.start, self.at = (np.zeros(1024, np.int64) for _ in range(2))  # of a unit's ids in flat, of its bytes in letters
+        self.length, self.size, self.uses = (np.zeros(1024, np.int32) for _ in range(3))
+        self.flat, self.letters = np.zeros(8192, np.uint32), np.zeros(8192, np.uint8)
+        self.used = self.written = self.bytes = 0
+
+    @property
+    def known(self) -> tuple[dict[str, int], dict[str, int]]:
+        """The units that are known, without and with a blank before them, and their numbers."""
+        return tuple({self.letters[self.at[i] : self.at[i] + self.size[i]].tobytes().decode(): i for i in numbers.tolist()} for _, numbers in self.index)
+
+    def _found(self, raw: np.ndarray, offsets: np.ndarray, hashes: np.ndarray, joined: bool) -> np.ndarray:
+        """The number of each unit, -1 if it isn't known."""
+        have, numbers = self.index[joined]
+        out = np.full(len(hashes), -1, np.int64)
+        if not len(have):
+            return out
+        place = np.minimum(np.searchsorted(have, hashes), len(have) - 1)
+        lengths = np.diff(offsets)
+        on = np.flatnonzero((have[place] == hashes) & (self.size[numbers[place]] == lengths))
+        at, sizes = numbers[place[on]].astype(np.int64), lengths[on]
+        other = raw[_ranges(offsets[:-1][on], sizes)] != self.letters[_ranges(self.at[at], sizes)]
+        if other.any():  # another unit of that hash
+            ends = np.cumsum(sizes)
+            wrong = np.append(0, np.cumsum(other))
+            same = wrong[ends] == wrong[ends - sizes]
+            on, at = on[same], at[same]
+        out[on] = at
+        return out
 
     @staticmethod
     def _grown(a: np.ndarray, n: int) -> np.ndarray:
@@ -113,9 +163,8 @@ class CachedEncoder:
         """Words of letters, one after the other as the file's merges take them, and where each ends."""
         if self.attached and joined:
             words = pc.binary_join_element_wise("", words, " ")
-        wide = np.int64 if pa.types.is_large_string(words.type) else np.int32
-        offsets = np.frombuffer(words.buffers()[1], wide)[words.offset : words.offset + len(words) + 1].astype(np.int64)
-        raw, ends = np.frombuffer(words.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets[1:] - offsets[0]
+        raw, offsets = _raw(words)
+        ends = offsets[1:]
         codes = _LETTERS[raw]
         if not self.attached:
             codes[ends - 1] = _FINAL + raw[ends - 1].astype(np.uint16)
@@ -127,21 +176,18 @@ class CachedEncoder:
             return _NONE, np.zeros(0, np.int64)
         text, ends = self._written(words, joined)
         step = _JOINED if joined else 1
-        found, lengths = [], []
-        at = 0
-        for a in range(0, len(ends), step):
-            part = ends[a : a + step]
-            ids = np.array([t.id for t in self.merges.tokenize(text[at : part[-1]])], np.uint32)
-            at = part[-1]
-            found.append(ids)
-            if not joined:
-                lengths.append([len(ids)])
-                continue
-            edges = np.flatnonzero(self.edge[ids])
-            if len(edges) != len(part):
-                raise ValueError("the file's merges cross words")
-            lengths.append(np.diff(edges, append=len(ids)) if self.attached else np.diff(edges, prepend=-1))
-        return np.concatenate(found), np.concatenate(lengths).astype(np.int64)
+        bounds = np.append(0, np.append(ends[step - 1 : -1 : step], ends[-1])).tolist()
+        found = []
+        for a in range(0, len(bounds) - 1, _BATCH):
+            part = bounds[a : a + _BATCH + 1]
+            found += [np.array(e.ids, np.uint32) for e in self.merger.encode_batch_fast([text[x:y] for x, y in zip(part, part[1:], strict=False)], add_special_tokens=False)]
+        ids = np.concatenate(found)
+        if not joined:
+            return ids, np.array([len(x) for x in found], np.int64)
+        edges = np.flatnonzero(self.edge[ids])
+        if len(edges) != len(ends):
+            raise ValueError("the file's merges cross words")
+        return ids, np.diff(edges, append=len(ids)) if self.attached else np.diff(edges, prepend=-1)
 
     def _plain(self, cores: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """The words as the file's normaliser writes them, and whether that is letters alone."""
@@ -163,9 +209,8 @@ class CachedEncoder:
             sure[other] = letters
         return plain, sure
 
-    def _learn(self, units: pa.Array, names: list[str], joined: bool) -> None:
+    def _learn(self, units: pa.Array, hashes: np.ndarray, joined: bool) -> None:
         """Notes the ids of distinct units that aren't known: words without their marks are encoded once, units with marks put together."""
-        known = self.known[joined]
         cores = pc.ascii_rtrim(units, characters=_MARKS)
         tail = pc.subtract(pc.binary_length(units), pc.binary_length(cores)).to_numpy()
         coded = cores.dictionary_encode()
@@ -175,7 +220,8 @@ class CachedEncoder:
         asked = pc.ascii_is_alpha(cores).to_numpy(zero_copy_only=False).copy()  # words that may be known as units
         asked[core_of[tail == 0]] = False
         held = np.flatnonzero(asked)
-        at = np.fromiter(map(known.get, cores.take(pa.array(held)).to_numpy(zero_copy_only=False).tolist(), repeat(-1)), np.int64, len(held))
+        raw, offsets = _raw(cores.take(pa.array(held)))
+        at = self._found(raw, offsets, _hashes(raw, offsets), joined)
         held, at = held[at >= 0], at[at >= 0]
         start[held], length[held], todo[held] = self.start[at], self.length[at], False
         rest = np.flatnonzero(todo)
@@ -186,12 +232,12 @@ class CachedEncoder:
         unit_start, unit_length = start[core_of], length[core_of]
         whole = np.flatnonzero(~sure[core_of])
         if len(whole):
-            found = self._whole([" " + names[i] if joined else names[i] for i in whole.tolist()])
+            found = self._whole([" " * joined + u for u in units.take(pa.array(whole)).to_pylist()])
             unit_length[whole] = n = np.array([len(x) for x in found], np.int64)
             unit_start[whole] = self._append(np.concatenate(found), n)
         long = np.flatnonzero(sure[core_of] & (tail > 0))
         if len(long):
-            marks = [names[i][-k:] for i, k in zip(long.tolist(), tail[long].tolist(), strict=True)]
+            marks = [u[-k:] for u, k in zip(units.take(pa.array(long)).to_pylist(), tail[long].tolist(), strict=True)]
             number = {m: k for k, m in enumerate(dict.fromkeys(marks))}
             found = self._whole(list(number))
             n = np.array([len(x) for x in found], np.int64)
@@ -200,7 +246,7 @@ class CachedEncoder:
             ids = self.flat[_ranges(np.stack([unit_start[long], first[which]], 1).ravel(), pairs.ravel())]
             unit_length[long] = pairs.sum(1)
             unit_start[long] = self._append(ids, unit_length[long])
-        self._note(names, joined, unit_start, unit_length)
+        self._note(*_raw(units), hashes, joined, unit_start, unit_length)
 
     def _append(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Where each run of ids starts, once it stands at the end of flat."""
@@ -211,51 +257,61 @@ class CachedEncoder:
         self.bytes += 4 * len(ids)
         return starts
 
-    def _note(self, names: list[str], joined: bool, starts: np.ndarray, lengths: np.ndarray) -> None:
-        n, m = self.n, self.n + len(names)
-        self.start, self.length, self.uses = self._grown(self.start, m), self._grown(self.length, m), self._grown(self.uses, m)
+    def _note(self, raw: np.ndarray, offsets: np.ndarray, hashes: np.ndarray, joined: bool, starts: np.ndarray, lengths: np.ndarray) -> None:
+        n, m = self.n, self.n + len(hashes)
+        self.start, self.at, self.length, self.size, self.uses = (self._grown(a, m) for a in (self.start, self.at, self.length, self.size, self.uses))
         self.start[n:m], self.length[n:m], self.uses[n:m] = starts, lengths, 0
-        self.known[joined].update(zip(names, range(n, m), strict=True))
+        self.at[n:m], self.size[n:m] = self.written + offsets[:-1], np.diff(offsets)
+        self.letters = self._grown(self.letters, self.written + len(raw))
+        self.letters[self.written : self.written + len(raw)] = raw
+        self.written += len(raw)
         self.n = m
-        self.bytes += sum(map(len, names)) + _ENTRY * len(names)
+        self.bytes += len(raw) + _ENTRY * len(hashes)
+        have, numbers = self.index[joined]
+        new, first = np.unique(hashes, return_index=True)  # of several units of one hash, one can be found again
+        place = np.searchsorted(have, new)
+        if len(have):
+            free = have[np.minimum(place, len(have) - 1)] != new
+            new, first, place = new[free], first[free], place[free]
+        self.index[joined] = np.insert(have, place, new), np.insert(numbers, place, (n + first).astype(np.int32))
 
     def keep(self, max_bytes: int) -> None:
         """Forgets all but the most used units, so that they take at most max_bytes."""
         if self.bytes <= max_bytes:
             return
-        was, start, length, uses, flat = self.known, self.start, self.length, self.uses, self.flat
-        sizes = np.zeros(self.n, np.int64)
-        for known in was:
-            sizes[np.fromiter(known.values(), np.int64, len(known))] = np.fromiter(map(len, known), np.int64, len(known))
-        order = np.argsort(-uses[: self.n], kind="stable")
+        index, start, length, at, size, uses, flat, letters = self.index, self.start, self.length, self.at, self.size, self.uses, self.flat, self.letters
+        held = np.concatenate([numbers for _, numbers in index])
+        held = held[np.argsort(-uses[held], kind="stable")]
+        held = held[np.cumsum((_ENTRY + size[held] + 4 * length[held]).astype(np.int64)) <= max_bytes]
         kept = np.zeros(self.n, bool)
-        kept[order[np.cumsum((sizes + _ENTRY + 4 * length[: self.n])[order]) <= max_bytes]] = True
+        kept[held] = True
         self._reset()
-        for joined, known in enumerate(was):
-            names = [u for u, i in known.items() if kept[i]]
-            at = np.fromiter((known[u] for u in names), np.int64, len(names))
-            first = self.n
-            self._note(names, bool(joined), self._append(flat[_ranges(start[at], length[at])], length[at]), length[at])
-            self.uses[first : self.n] = uses[at] // 2
+        for joined, (hashes, numbers) in enumerate(index):
+            on = kept[numbers]
+            i, first = numbers[on], self.n
+            offsets = np.append(0, np.cumsum(size[i], dtype=np.int64))
+            n = length[i].astype(np.int64)
+            self._note(letters[_ranges(at[i], size[i].astype(np.int64))], offsets, hashes[on], bool(joined), self._append(flat[_ranges(start[i], n)], n), n)
+            self.uses[first : self.n] = uses[i] // 2
 
     def _numbers(self, units: pa.Array, joined: bool) -> np.ndarray:
         """The number of each unit; joined: with a blank before it."""
         coded = units.dictionary_encode()
-        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        known = self.known[joined]
-        at = np.fromiter(map(known.get, names, repeat(-1)), np.int64, len(names))
+        raw, offsets = _raw(coded.dictionary)
+        hashes = _hashes(raw, offsets)
+        at = self._found(raw, offsets, hashes, joined)
         new = np.flatnonzero(at < 0)
         if len(new):
             first = self.n
-            self._learn(coded.dictionary.take(pa.array(new)), [names[i] for i in new.tolist()], joined)
+            self._learn(coded.dictionary.take(pa.array(new)), hashes[new], joined)
             at[new] = np.arange(first, self.n)
         codes = coded.indices.to_numpy()
-        self.uses[at] += np.bincount(codes, minlength=len(names))
+        self.uses[at] += np.bincount(codes, minlength=len(at)).astype(np.int32)
         return at[codes]
 
     def _gathered(self, numbers: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
         """The ids of the texts whose units end at the given places."""
-        n = self.length[numbers]
+        n = self.length[numbers].astype(np.int64)
         out = self.flat[_ranges(self.start[numbers], n)]
         bounds = np.append(0, np.cumsum(n))[ends].tolist()
         return [out[a:b] for a, b in zip([0, *bounds], bounds, strict=False)]

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keyspan.llm.common import Scratch, series_udf, trimmed
+from keyspan.llm.common import Scratch, series_udf, trim, trimmed
 from keyspan.llm.encoding import CachedEncoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, pid int, k long"
@@ -38,7 +38,7 @@ def cut_documents(docs: DataFrame, path: str, end_id: int, capacity: int, id_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid, seen = TaskContext.get().partitionId(), Counter()
-        enc = CachedEncoder(path, "words")
+        enc = CachedEncoder(path, "words", 12 << 20)
         for batch in batches:
             rows: list[list] = [[] for _ in range(6)]
             doc, number, start, length, crc, rank = rows
@@ -58,6 +58,7 @@ def cut_documents(docs: DataFrame, path: str, end_id: int, capacity: int, id_col
             arrays = [pa.array(x, t) for x, t in zip(rows, types, strict=True)]
             arrays.insert(5, pa.array([pid] * len(doc), pa.int32()))
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "piece", "start", "length", "ids_crc32", "pid", "k"])
+            trim()  # what a batch of texts took
 
     source = docs.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     return source.mapInArrow(trimmed(run), PIECES)

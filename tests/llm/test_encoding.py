@@ -50,6 +50,31 @@ def test_what_is_known_is_bounded():
     assert enc.bytes <= 4000 and enc.encode("the").tolist() == enc.library.encode("the", add_special_tokens=False).ids
 
 
+def test_what_is_known_is_small():
+    """A unit takes its letters, its ids and 40 bytes; the arrays have room to grow, no more."""
+    import public_tokenizers
+
+    enc = encoding.CachedEncoder(public_tokenizers.path("word_bpe_49k.json"), "words", 1 << 20)
+    words = ["".join(x) for x in itertools.product("bcdfg", "aeiou", "klmnp", "aeiou", "rstvz", "aou")]
+    list(enc.encode_all([" ".join(words)]))
+    assert set(enc.known[0]) == set(words)
+    held = [enc.start, enc.at, enc.length, enc.size, enc.uses, enc.flat, enc.letters, *enc.index[0], *enc.index[1]]
+    assert sum(a.nbytes for a in held) <= 2 * enc.bytes
+
+
+@pytest.mark.parametrize("name, mode", FILES)
+def test_units_of_one_hash(name, mode, monkeypatch):
+    """Units are told apart by their letters, not by their hash."""
+    import numpy as np
+    import public_tokenizers
+
+    monkeypatch.setattr(encoding, "_hashes", lambda raw, offsets: np.diff(offsets).astype(np.uint64) // np.uint64(4))
+    enc = encoding.CachedEncoder(public_tokenizers.path(name), mode, 20_000)
+    texts = ["cat dog, cat. dog owl", "", "owl cat! doggy catty", "dog owl cat", *(f"w{i} {i}x, dog" for i in range(500))]
+    for _ in range(2):
+        assert [ids.tolist() for ids in enc.encode_all(texts)] == [e.ids for e in enc.library.encode_batch(texts, add_special_tokens=False)]
+
+
 def whole_ids(docs, name, end):
     import public_tokenizers
     from tokenizers import Tokenizer
