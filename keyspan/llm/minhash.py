@@ -49,6 +49,7 @@ class Params:
     long_list: int = 64
     hot_share: float = 0.25
     filter_bits: int = 1 << 26
+    order_slots: int = 1 << 22
 
 
 def shingle_set(text: str, words: int) -> np.ndarray:
@@ -170,27 +171,48 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, scratch: Scratch, p: Params)
     return scratch.table(slots.mapInPandas(trimmed(run), "node long, whole binary").join(wanted.select("node").distinct(), "node", "left_semi"), "sets")
 
 
+def _levels(sets: DataFrame, p: Params) -> np.ndarray:
+    """Four times the binary logarithm of how many sets hold a value, by slots of values: the largest of a slot, 0 where each is held once."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                value, c = np.unique(np.concatenate([np.frombuffer(w, np.int64) for w in batch["whole"]]), return_counts=True)
+                yield pd.DataFrame({"value": value, "c": c})
+
+    common = sets.mapInPandas(trimmed(count), "value long, c long").groupBy("value").agg(F.sum("c").alias("c")).where("c > 1")
+    slots = common.groupBy(F.col("value").bitwiseAND(F.lit(p.order_slots - 1)).alias("slot")).agg(F.max("c").alias("c"))
+    words = slots.groupBy((F.col("slot") / 8).cast("long").alias("w")).agg(F.expr("bit_or(shiftleft(floor(4 * log2(c)), cast(8 * (slot % 8) AS int)))").alias("x"))
+    table = np.zeros(p.order_slots // 8, "<i8")  # 4 MB at the default size, whatever the input
+    got = words.toArrow()
+    table[got["w"].to_numpy()] = got["x"].to_numpy()
+    return table.view(np.uint8)
+
+
 def _prefix_lists(sets: DataFrame, hot: DataFrame, scratch: Scratch, p: Params) -> DataFrame:
-    """(value, node, n, at, before): the rarest shingles of hot nodes, of which the ends of every link among them share one."""
+    """(value, node, n, at, before): the rarest shingles of hot nodes, of which the ends of every link among them share one.
+
+    Any order of the values that is the same for all nodes keeps this exact. They go by level, then by value, so that a set's prefix is made
+    where the set lies and no row is made for the values behind it; a rare value that shares a slot with a frequent one only comes later.
+    """
+    inside = sets.join(hot.select("node"), "node", "left_semi")
+    held = sets.sparkSession.sparkContext.broadcast(_levels(inside, p))
 
-    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rarest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            made = []
             for node, whole in zip(batch["node"], batch["whole"], strict=True):
                 v = np.frombuffer(whole, np.int64)
-                yield pd.DataFrame({"node": node, "n": len(v), "value": v})
-
-    values = sets.join(hot.select("node"), "node", "left_semi").mapInPandas(trimmed(explode), "node long, n long, value long")
-    values = scratch.table(values.distinct(), "hot-values")
-    common = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = values.join(common, "value", "left").select("node", "n", F.struct(F.coalesce("df", F.lit(1)).alias("df"), "value").alias("x"))
-    rarest = ranked.groupBy("node", "n").agg(F.sort_array(F.collect_list("x")).alias("x"))
-    keep = F.floor(F.col("n") * (100 - p.percent) / 100) + 1
-    prefix = F.slice("x", 1, keep.cast("int"))
-    early = F.slice(F.filter(prefix, lambda x: x["df"] > 1), 1, 16)
-    spread = rarest.select("node", "n", early.alias("early"), F.posexplode(prefix).alias("at", "x")).where("x.df > 1")
-    before = F.transform(F.filter("early", lambda e: e < F.col("x")), lambda e: e["value"])
-    listed = spread.select(F.col("x.value").alias("value"), "node", "n", "at", before.alias("before"))
-    return scratch.table(listed, "hot-lists")
+                level = held.value[v & (p.order_slots - 1)]
+                first = np.lexsort((v, level))[: len(v) * (100 - p.percent) // 100 + 1]
+                at = np.flatnonzero(level[first])
+                shared = v[first[at]]
+                made += [(value, node, len(v), i, shared[: min(j, 16)]) for j, (value, i) in enumerate(zip(shared, at, strict=True))]
+            if made:
+                yield pd.DataFrame(made, columns=["value", "node", "n", "at", "before"])
+
+    listed = inside.mapInPandas(trimmed(rarest), "value long, node long, n long, at int, before array<long>")
+    return scratch.table(listed.distinct(), "hot-lists")
 
 
 def _prefix_pairs(lists: DataFrame, p: Params) -> DataFrame:

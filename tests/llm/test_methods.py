@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import os
 import random
 import re
 import zlib
@@ -105,6 +106,32 @@ def test_components(spark):
     assert {n: got.get(n, n) for n in root} == root
 
 
+def test_prefix_filter_makes_no_rows_behind_the_prefixes(spark):
+    """Texts that all hold one passage: a row for each value of a set would be several times the prefixes."""
+    rng = random.Random(3)
+    passage = [f"p{i}" for i in range(60)]
+    texts = [[*(f"w{rng.randrange(10**6)}" for _ in range(12)), *passage] for _ in range(120)]
+    texts += [[*t[:-1], "end"] for t in texts[:10]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)] * 2, "doc_id long, text string")
+    p = minhash.Params(words=2)
+    sets = {i: minhash.shingle_set(" ".join(t), 2) for i, t in enumerate(texts)}
+    nodes = spark.createDataFrame([(i, bytes(s.tobytes())) for i, s in sets.items()] * 2, "node long, whole binary")
+    scratch = Scratch(spark)
+    lists = minhash._prefix_lists(nodes, nodes.select("node").distinct(), scratch, p).collect()
+    most = sum(len(s) * 20 // 100 + 1 for s in sets.values())
+    assert sum(spark.read.parquet(f"{scratch.root}/{name}").count() for name in os.listdir(scratch.root)) == len(lists) <= most
+    held = {}
+    for r in lists:
+        held.setdefault(r["value"], set()).add(r["node"])
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                assert any({a, b} <= h for h in held.values())
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, p).collect()}
+    assert got == dict(enumerate(brute_components(list(map(set, map(np.ndarray.tolist, sets.values()))), 80)))
+
+
 def test_near_vectors(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(60, 24))
