@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+from array import array
 from collections import deque
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyspan.plans.scratch import numbered, written
 
-#: Graphs of up to this many commits are walked on the driver (hash and parents only); larger ones level by level in Spark, in the same order.
+#: Graphs of up to this many commits are walked on the driver (hash and parents only).
 DRIVER_COMMITS = 200_000
+#: Graphs of up to this many commits, and twice as many parents, are walked there by number, as Spark would need jobs for each level;
+#: larger ones level by level in Spark. All find the same commits in the same order.
+NUMBERED_COMMITS = 20_000_000
+#: Rows that pass between Spark and the driver at a time.
+BLOCK = 2_000_000
 RANKED = "hash string, depth int, rank long"
 
 
@@ -33,24 +42,83 @@ def _walked(parents: dict[str, list[str]], starts: list[str]) -> list[tuple[str,
     return out
 
 
-def _walks(commits: DataFrame, every: list[list[str]], driver_commits: int) -> list[DataFrame]:
+def _walks(commits: DataFrame, every: list[list[str]], driver_commits: int, numbered_commits: int) -> list[DataFrame]:
     """hash, depth, rank of what each list of starts reaches; the graph is read once."""
     spark, slim = commits.sparkSession, commits.select("hash", "parents")
     read = slim.limit(driver_commits + 1).collect()
     if len(read) > driver_commits:
+        del read
         held = written(slim)
+        if held.count() <= numbered_commits and held.agg(F.sum(F.greatest(F.size("parents"), F.lit(0)))).first()[0] <= 2 * numbered_commits:
+            return _by_number(held, every)
         return [_by_level(held, starts) for starts in every]
     parents = {r["hash"]: r["parents"] for r in read}
     return [spark.createDataFrame(_walked(parents, starts), RANKED) for starts in every]
 
 
-def ancestors(commits: DataFrame, start: str | list[str], driver_commits: int = DRIVER_COMMITS) -> DataFrame:
+def _flat(edges: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """first, to of edges (child, pos, to): the parents of commit i, in order, are to[first[i]:first[i + 1]]."""
+    size = edges.count()
+    first, to, at, step = np.zeros(n + 1, np.int64), np.empty(size, np.int32), 0, max(1, n * BLOCK // max(size, 1))
+    for low in range(0, n, step):
+        part = edges.where((F.col("child") >= low) & (F.col("child") < low + step)).toArrow()
+        child, pos, up = (part[c].to_numpy() for c in ("child", "pos", "to"))
+        first[low + 1:low + step + 1] = np.bincount(child - low, minlength=min(step, n - low))
+        to[at:at + len(up)] = up[np.lexsort((pos, child))]
+        at += len(up)
+    return np.cumsum(first, out=first), to
+
+
+def _walked_numbers(first: np.ndarray, to: np.ndarray, starts: list[int]) -> tuple[array, array, int]:
+    """The commits that the starts reach, breadth first, and their depths; the last is a commit with a missing parent, or -1."""
+    seen, order, depth = bytearray(len(first) - 1), array("i", starts), array("i", [0] * len(starts))
+    first, to = memoryview(first), memoryview(to)
+    for s in starts:
+        seen[s] = 1
+    for at, h in enumerate(order):  # grows
+        for i in range(first[h], first[h + 1]):
+            p = to[i]
+            if p < 0:
+                return order, depth, h
+            if not seen[p]:
+                seen[p] = 1
+                order.append(p)
+                depth.append(depth[at] + 1)
+    return order, depth, -1
+
+
+def _by_number(slim: DataFrame, every: list[list[str]]) -> list[DataFrame]:
+    """The walk on the driver with numbers for hashes, in flat arrays of about 25 bytes a commit."""
+    spark = slim.sparkSession
+    names = numbered(slim.select("hash").distinct(), [F.col("hash")], "id")
+    edges = slim.select("hash", F.posexplode("parents").alias("pos", "parent")).join(names.withColumnRenamed("id", "child"), "hash").join(names.select(F.col("hash").alias("parent"), F.col("id").alias("to")), "parent", "left")
+    first, to = _flat(written(edges.select(F.col("child").cast("int"), "pos", F.coalesce("to", F.lit(-1)).cast("int").alias("to"))), names.count())
+    out = []
+    for starts in every:
+        unique = list(dict.fromkeys(starts))
+        ids = {r["hash"]: r["id"] for r in names.join(spark.createDataFrame([(s,) for s in unique], "hash string"), "hash").collect()}
+        lost = [s for s in unique if s not in ids]
+        if not lost:
+            order, depth, at = _walked_numbers(first, to, [ids[s] for s in unique])
+            if at >= 0:
+                lost = [slim.join(names.where(F.col("id") == at), "hash").select(F.explode("parents").alias("hash")).join(names, "hash", "left_anti").first()["hash"]]
+        if lost:
+            raise HistoryError(f"missing commit {lost[0]}")
+        parts = []
+        for low in range(0, len(order), BLOCK):
+            part = np.asarray(order[low:low + BLOCK], np.int64)
+            parts.append(written(spark.createDataFrame(pa.table({"id": part, "depth": np.asarray(depth[low:low + BLOCK], np.int32), "rank": np.arange(low, low + len(part))}))))
+        out.append(names.join(reduce(DataFrame.unionByName, parts), "id").select("hash", "depth", "rank") if parts else spark.createDataFrame([], RANKED))
+    return out
+
+
+def ancestors(commits: DataFrame, start: str | list[str], driver_commits: int = DRIVER_COMMITS, numbered_commits: int = NUMBERED_COMMITS) -> DataFrame:
     """hash, depth, rank of all commits that the starts reach, themselves included; rank is the order of discovery: by level, then by the rank of the discovering commit and its order of parents."""
-    return _walks(commits, [[start] if isinstance(start, str) else list(start)], driver_commits)[0]
+    return _walks(commits, [[start] if isinstance(start, str) else list(start)], driver_commits, numbered_commits)[0]
 
 
 def _by_level(slim: DataFrame, starts: list[str]) -> DataFrame:
-    """The walk for graphs beyond the driver."""
+    """The walk in Spark."""
     spark, depth = slim.sparkSession, 0
     unique = list(dict.fromkeys(starts))
     front = known = written(spark.createDataFrame([(s, 0, i) for i, s in enumerate(unique)], RANKED))
@@ -71,15 +139,15 @@ def _by_level(slim: DataFrame, starts: list[str]) -> DataFrame:
     return known
 
 
-def log(commits: DataFrame, start: str, driver_commits: int = DRIVER_COMMITS) -> DataFrame:
+def log(commits: DataFrame, start: str, driver_commits: int = DRIVER_COMMITS, numbered_commits: int = NUMBERED_COMMITS) -> DataFrame:
     """The commits from start back with `position`, newest first; equal times in order of discovery."""
-    found = commits.join(ancestors(commits, start, driver_commits), "hash")
+    found = commits.join(ancestors(commits, start, driver_commits, numbered_commits), "hash")
     return numbered(found, [F.desc("ts"), F.col("rank")], "position").orderBy("position")
 
 
-def merge_base(commits: DataFrame, a: str, b: str, driver_commits: int = DRIVER_COMMITS) -> DataFrame:
+def merge_base(commits: DataFrame, a: str, b: str, driver_commits: int = DRIVER_COMMITS, numbered_commits: int = NUMBERED_COMMITS) -> DataFrame:
     """hash, ts of the best common ancestor: none of the others descends from it; of several the latest, then the largest hash. Empty if disjoint."""
-    left, right = _walks(commits, [[a], [b]], driver_commits)
+    left, right = _walks(commits, [[a], [b]], driver_commits, numbered_commits)
     common = left.select("hash").join(right.select("hash"), "hash", "left_semi")
     meta = commits.join(common, "hash", "left_semi")
     # a common ancestor is a proper ancestor of another common one iff it is a parent of a common one: the set is closed upwards

@@ -31,6 +31,37 @@ def test_levels_agree_with_the_driver(spark):
         assert history.merge_base(g, *pair).collect() == history.merge_base(g, *pair, driver_commits=3).collect()
 
 
+def test_numbers_agree_with_levels(spark):
+    """The walks by number and by level: same commits, same order, whatever the parents' order, and the same log."""
+    edges = {str(i): [str(j) for j in (i - 5, i - 1, i - 3) if j >= 0][::1 if i % 2 else -1] for i in range(14)} | {"z": [], "a": None, "top": ["z", "13", "a"]}
+    g = graph(spark, edges, {str(i): i // 4 for i in range(14)})
+    for starts in (["top", "z", "top"], []):
+        near, far, levels = ([tuple(r) for r in history.ancestors(g, starts, *limits).orderBy("rank").collect()] for limits in ((100,), (3,), (3, 0)))
+        assert near == far == levels
+    near, far = ([tuple(r) for r in history.log(g, "top", limit).collect()] for limit in (100, 3))
+    assert near == far and len(near) == len(edges)
+
+
+def test_deep_history_takes_few_tables(spark, monkeypatch):
+    """A walk beyond the driver's dictionary makes no table, and so no jobs, for each level."""
+    made = []
+    monkeypatch.setattr(history, "written", lambda df, written=history.written: made.append(1) or written(df))
+    g = graph(spark, {str(i): [str(i - 1)] * (i > 0) for i in range(40)})
+    got = history.ancestors(g, "39", driver_commits=3).orderBy("rank").collect()
+    assert [tuple(r) for r in got] == [(str(39 - i), i, i) for i in range(40)]
+    assert len(made) <= 5
+    with pytest.raises(HistoryError, match="missing commit zz"):
+        history.ancestors(g, ["39", "zz"], driver_commits=3)
+
+
+def test_numbers_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(history, "BLOCK", 7)
+    edges = {f"{i:02}": [f"{j:02}" for j in (i // 2, i - 1) if 0 <= j < i] for i in range(30)}
+    g = graph(spark, edges)
+    near, far = ({tuple(r) for r in history.ancestors(g, "29", limit).collect()} for limit in (100, 3))
+    assert near == far and len(near) == 30
+
+
 def test_walk_of_all_events(spark):
     """The catalogue's graph against a plain walk."""
     commits = inputs.commit_graph(spark, SF)
