@@ -18,8 +18,8 @@ DRIVER_COMMITS = 200_000
 #: Graphs of up to this many commits, and twice as many parents, are walked there by number, as Spark would need jobs for each level;
 #: larger ones level by level in Spark. All find the same commits in the same order.
 NUMBERED_COMMITS = 20_000_000
-#: Rows that pass between Spark and the driver at a time.
-BLOCK = 2_000_000
+#: Rows that pass between Spark and the driver at a time: tasks carry them, and the driver's heap holds several copies of these.
+BLOCK = 500_000
 RANKED = "hash string, depth int, rank long"
 
 
@@ -106,9 +106,10 @@ def _by_number(slim: DataFrame, every: list[list[str]]) -> list[DataFrame]:
             raise HistoryError(f"missing commit {lost[0]}")
         parts = []
         for low in range(0, len(order), BLOCK):
-            part = np.asarray(order[low:low + BLOCK], np.int64)
-            parts.append(written(spark.createDataFrame(pa.table({"id": part, "depth": np.asarray(depth[low:low + BLOCK], np.int32), "rank": np.arange(low, low + len(part))}))))
-        out.append(names.join(reduce(DataFrame.unionByName, parts), "id").select("hash", "depth", "rank") if parts else spark.createDataFrame([], RANKED))
+            part = np.asarray(order[low:low + BLOCK], np.int32)
+            parts.append(written(spark.createDataFrame(pa.table({"id": part, "depth": np.asarray(depth[low:low + BLOCK], np.int32), "rank": np.arange(low, low + len(part), dtype=np.int32)}))))
+        walk = reduce(DataFrame.unionByName, parts, spark.createDataFrame([], "id int, depth int, rank int")).select(F.col("id").cast("long"), "depth", F.col("rank").cast("long"))
+        out.append(names.join(walk, "id").select("hash", "depth", "rank"))
     return out
 
 
